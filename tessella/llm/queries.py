@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import media, mixing, packing
+from tessella.llm import media, mixing, ngram_join, packing, token_counts, topk, url_rules
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -15,10 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -27,10 +40,30 @@ def op7_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS)
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mix": op2_source_mix,
+    "op3_exact_topk": op3_exact_topk,
+    "op5_url_filter": op5_url_filter,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, d.vec_id,
+                          list_inner_product(list_transform(q.v, lambda x: x::DOUBLE), list_transform(d.v, lambda x: x::DOUBLE))::BIGINT AS score
+                   FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id AND len(d.v) = len(q.v)),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
