@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import media, mixing, ngram_join, packing, token_counts, topk, url_rules
+from tessella.llm import media, mixing, ngram_join, packing, quality, token_counts, topk, toxicity, url_rules
+from tessella.llm.labelled import held_out
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -44,6 +45,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json")
 
 
+def _scored(rows: DataFrame, least: float) -> DataFrame:
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, labels)), 0.7)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(quality.score(docs, quality.fit(docs, labels)), 0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mix": op2_source_mix,
@@ -52,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.plans.ship import ship
+
 K = 10
 LEAF, FAN, SHRINK = 128, 32, 1.5
 DATA_BLOCK, QUERY_BLOCK = 16_384, 2_048
@@ -138,6 +140,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     each block of data in a task of its own; a task returns at most k rows per
     query.  Scores beyond 64 bits are cut to them.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where("vec_id is not null and v is not null").dropDuplicates(["vec_id", "v"])
     rows = rows.withColumn("dim", F.size("v"))

@@ -13,6 +13,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 
+from tessella.plans.ship import ship
+
 U = np.uint64
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 4096
@@ -120,4 +122,5 @@ def blocks(batches: Iterable[pd.DataFrame], text: str = "text", max_bytes: int =
 
 def tune(spark) -> None:
     """Small Arrow batches: a worker then holds few long texts at once."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
