@@ -65,15 +65,31 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     certain ones.  A null source is a source.  Repeated rows (equal doc_id)
     stand side by side in the ranks, ordered by size.  A table without words
     takes nothing; an empty table gives an empty table.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = scratch.keep(docs.select("doc_id", "source", size_of().alias("size"), draw("doc_id").alias("u")))
+    rows = _copies(sized, *_plan(sized, most, scratch))
+    return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast(T.DoubleType()), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.  Texts are not shuffled: the plan joins them by source."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = scratch.keep(docs.select("doc_id", "source", size_of().alias("size"), draw("doc_id").alias("u")))
+    names = [f"`{c}`" for c in docs.columns]
+    plan = _plan(sized, most, scratch)
+    held = docs.select("doc_id", "source", size_of().alias("size"), draw("doc_id").alias("u"), F.struct(*names).alias("row"))
+    return _copies(held, *plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def _plan(sized: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Two tables with a row per source: where its sample ends, and the document that closes it.
 
     The lowest rank left out is found by counts over ranges of u, range within
     range, each step summed on the map side first; only the rows of the last
     range, about one in a million, are ranked one by one.  So a source that
     holds most rows is not gathered in any task.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    sized = scratch.keep(docs.select("doc_id", "source", size_of().alias("size"), draw("doc_id").alias("u")))
     by_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     goal = scratch.keep(
         targets(by_source, most, scratch)
@@ -108,16 +124,25 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
         .select("source", "last", (F.col("left") - F.coalesce("sum", F.lit(0))).alias("gap"))
     )
     cut = scratch.keep(goal.join(cut.join(state.select("source", "range"), cut["source"].eqNullSafe(state["source"])).select(cut["source"].alias("s"), "last", "gap", "range"), goal["source"].eqNullSafe(F.col("s")), "left").drop("s"))
-    rows = sized.join(cut.withColumnRenamed("source", "s"), sized["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    here = F.struct("u", "doc_id", "size")
-    taken = F.coalesce((F.shiftright("u", shift) < F.col("range")) | ((F.shiftright("u", shift) == F.col("range")) & (here <= F.col("last"))), F.lit(False))
-    rows = rows.withColumn("sampled", taken & (F.col("size") > 0))
+    rows = _sampled(sized, cut, shift)
     off = F.abs(F.col("gap") - F.col("size"))
     near = rows.where(~F.col("sampled") & (F.col("size") > 0) & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "u", "doc_id", "size")).alias("near"))
-    near = near.select(F.col("source").alias("n"), "near.u", "near.doc_id", "near.size")
-    near = scratch.keep(near.select("n", F.struct("u", "doc_id", "size").alias("extra")))
+    near = near.select(F.col("source").alias("n"), F.struct("near.u", "near.doc_id", "near.size").alias("extra"))
+    return cut, scratch.keep(near)
+
+
+def _sampled(sized: DataFrame, cut: DataFrame, shift: int) -> DataFrame:
+    rows = sized.join(cut.withColumnRenamed("source", "s"), sized["source"].eqNullSafe(F.col("s")), "left").drop("s")
+    here = F.struct("u", "doc_id", "size")
+    bucket = F.shiftright("u", shift)
+    taken = F.coalesce((bucket < F.col("range")) | ((bucket == F.col("range")) & (here <= F.col("last"))), F.lit(False))
+    return rows.withColumn("sampled", taken & (F.col("size") > 0))
+
+
+def _copies(sized: DataFrame, cut: DataFrame, near: DataFrame) -> DataFrame:
+    """All columns of ``sized`` and of the plan, and copies."""
+    rows = _sampled(sized, cut, BITS - LEVELS * (FANOUT.bit_length() - 1))
     rows = rows.join(near, rows["source"].eqNullSafe(near["n"]), "left")
-    # of equal rows that all match the extra one, each would count: their ids are equal, which the ids of a table are not
-    extra = F.coalesce(here == F.col("extra"), F.lit(False))
-    copies = F.col("whole") + F.when(F.col("sampled") | extra, 1).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast(T.DoubleType()), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    # of equal rows that all match the closing one, each would count: their ids are equal, which the ids of a table are not
+    extra = F.coalesce(F.struct("u", "doc_id", "size") == F.col("extra"), F.lit(False))
+    return rows.withColumn("copies", F.col("whole") + F.when(F.col("sampled") | extra, 1).otherwise(0))

@@ -293,7 +293,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sender(k, parts), SENT)
     counted = scratch.keep(sent.groupBy("part").applyInPandas(_counter(buckets), COUNTED))
     blocks_, tokens = counted.where("bucket < 0"), counted.where("bucket >= 0")
-    members = blocks_.mapInPandas(_members, "doc_id long, n_shingles long, set_id long")
+    members = scratch.keep(blocks_.mapInPandas(_members, "doc_id long, n_shingles long, set_id long"))
     classes = scratch.keep(tokens.unionByName(blocks_.mapInPandas(_classes_of(buckets), COUNTED)).groupBy("bucket").applyInPandas(_cutter(num, den), CLASS))
     linkable = classes.where("keys is not null")
     # groups: equal prefix and size
@@ -316,10 +316,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     final = scratch.keep(labelled.join(least, "label").select("set_id", "component_id"))
     out = members.join(final, "set_id", "left")
+    scratch.drop(counted)
     real = lambda c: F.when(F.col(c) != F.lit(int(NO_ID)), F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, real("component_id")).otherwise(real("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without near duplicates: of each component the one with the least doc_id stays, with all columns.
+
+    Documents with a null id stay.  A row repeated with the same id and text
+    stays once.
+    """
+    scratch = Scratch(docs.sparkSession, "distinct")
+    found = scratch.keep(jaccard_components(docs, k, num, den).where("doc_id is not null"))
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    twice = scratch.keep(twice)
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+
+
 def _members(batches):
     for batch in batches:
         for s, i, n in zip(batch["sets"], batch["ids"], batch["sizes"], strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import media, mixing, ngram_join, packing, quality, token_counts, topk, toxicity, url_rules
+from tessella.llm import media, mixing, ngram_join, packing, quality, secrets, token_counts, topk, toxicity, url_rules
 from tessella.llm.labelled import held_out
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    vocabulary = f"{tokenizers}/byte_bpe_50k.json"
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(vocabulary=vocabulary), vocabulary)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mix": op2_source_mix,
     "op3_exact_topk": op3_exact_topk,
+    "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
