@@ -7,11 +7,16 @@ adaptive skew join splits; nothing is gathered per component.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.plans.ship import ship
 from tessella.plans.store import Scratch
 
+#: Some MB in a worker's memory.
+SMALL = 100_000
+
 
 def _towards_least(pairs: DataFrame, both: bool) -> DataFrame:
     """pairs (u, v): for every u the edges (v, m) and, for small stars, (u, m); m is the least of u and its v."""
@@ -23,14 +28,38 @@ def _towards_least(pairs: DataFrame, both: bool) -> DataFrame:
     return moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
 
 
-def star_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 64) -> DataFrame:
+def _in_one_task(batches):
+    """Union by least id over all edges of a small graph."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"id": list(parent), "label": [find(x) for x in parent]}, dtype="int64")
+
+
+def star_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 64, small: int = SMALL) -> DataFrame:
     """edges (src, dst) -> (id, label): the least id of each end's component.
 
+    Up to ``small`` edges, which are counted first, one task joins them; more
+    edges go through the steps.  Both ways give the same labels.
+
     Loops, repeated edges and both directions are allowed; rows with a null
     end are ignored.  An empty table gives an empty table.
     """
     scratch = scratch or Scratch(edges.sparkSession, "stars")
     known = edges.where("src is not null and dst is not null")
+    known = scratch.keep(known.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+    if known.count() <= small:
+        ship(scratch.spark)
+        return known.repartition(1).mapInPandas(_in_one_task, "id long, label long")
     ids = known.select(F.col("src").alias("id")).union(known.select("dst")).distinct()
     now = known.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, before = scratch.keep(now), None
@@ -39,7 +68,7 @@ def star_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds
         if state == before:
             break
         before = state
-        large = _towards_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True).distinct()
+        large = _towards_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
         small = _towards_least(large.where("u > v"), False).where("u <> v").distinct()
         fresh = scratch.keep(small)
         scratch.drop(now)
