@@ -11,9 +11,10 @@ verified by exact counts.
    which counts in how many classes each occurs.  A shingle of one class links
    nothing; only the others (some 6 % of all) go on, to the task of their
    class's range, which orders them and cuts the prefix.
-2. Each prefix token has a pivot group.  All members of the token's other
-   groups are verified against the pivot, which links groups of near copies in
-   time linear in their size; linked classes form components.
+2. Each prefix token has a pivot group, another one in each of a few rounds.
+   All members of the token's other groups are verified against the pivot,
+   which links groups of near copies in time linear in their size; linked
+   classes form components, within which no more pairs are looked at.
 3. What is left are pairs that share a token and lie in different components.
    Tokens of few classes give their pairs; those of many are cut into square
    blocks of bounded size, in which a bound on the overlap from the number of
@@ -36,9 +37,9 @@ from tessella.operators.stars import star_components
 from tessella.plans.store import Scratch
 
 KEY_BITS = 48
-PART_KEYS = 2_000_000  # shingles that a counting task holds
-FLUSH_KEYS, FLUSH_DOCS = 1_000_000, 60_000
-FEW, SIDE = 32, 256
+PART_KEYS = 1_000_000  # shingles that a counting task holds
+FLUSH_KEYS, FLUSH_DOCS = 600_000, 60_000
+ROUNDS, FEW, SIDE = 2, 32, 256
 NO_ID = np.iinfo(np.int64).max
 
 SENT = "part long, base long, keys binary, docs binary, sets binary, ids binary, sizes binary"
@@ -251,6 +252,38 @@ def _in_blocks(num: int, den: int):
     return run
 
 
+def _merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, label of all classes that ``links`` or earlier links join."""
+    edges = links.select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    if labels is not None:
+        edges = edges.unionByName(labels.select(F.col("id").alias("src"), F.col("label").alias("dst")))
+    return scratch.keep(star_components(edges, scratch))
+
+
+def _pivot_rounds(classes: DataFrame, grouped: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Components by pivots: in each round every token whose groups are not all in one component gets another pivot group, and the members of its other groups are verified against the pivot's head.  Ends with a round that finds no link, or after ROUNDS."""
+    heads = classes.join(grouped.where("set_id = head").select("set_id"), "set_id")
+    tokens = scratch.keep(heads.select(F.explode("prefix").alias("token"), F.col("set_id").alias("head"), "n", F.size("prefix").alias("shared")))
+    members, labels = grouped.withColumn("label", F.col("set_id")), None
+    for turn in range(ROUNDS):
+        own = members.where("set_id = head").select("head", "label")
+        now = tokens.join(own, "head") if turn else tokens.withColumn("label", F.col("head"))
+        # first the group with most shared prefix tokens: the text that the others were copied from has no shingle of its own
+        order = F.struct("shared", "head") if not turn else F.struct(F.xxhash64("head", F.lit(turn)))
+        pivot = F.struct(F.col("head").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))
+        pivots = now.groupBy("token").agg(F.max_by(pivot, order).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "p.*")
+        pairs = now.join(pivots, "token").where((F.col("head") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pn"), num, den)).select("pivot", "pl", "head").distinct()
+        pairs = pairs.join(members.select("head", "set_id", "label"), "head").where("label <> pl").select(F.col("pivot").alias("x"), F.col("set_id").alias("y"))
+        if not turn:  # members of a group that have not its head's label yet
+            pairs = pairs.unionByName(members.where("set_id <> head").select(F.col("head").alias("x"), F.col("set_id").alias("y")))
+        links = scratch.keep(_verify(pairs, classes, num, den))
+        if turn and links.isEmpty():
+            break
+        labels = _merged(labels, links, scratch)
+        members = scratch.keep(grouped.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", "head", F.coalesce("label", "set_id").alias("label")))
+    return labels
+
+
 def _left_over(classes: DataFrame, labels: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Candidate pairs of different components, each once."""
     own = classes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", "prefix", F.coalesce("label", "set_id").alias("label"))
@@ -300,17 +333,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shape = linkable.select("set_id", "n", F.md5(F.to_json(F.struct("prefix", "n"))).alias("shape"))
     heads = shape.groupBy("shape").agg(F.min("set_id").alias("head"))
     grouped = scratch.keep(shape.join(heads, "shape").select("set_id", "n", "head"))
-    head_tokens = linkable.join(grouped.where("set_id = head").select("set_id"), "set_id").select(F.explode("prefix").alias("token"), F.col("set_id").alias("head"), "n")
-    pivots = head_tokens.groupBy("token").agg(F.min(F.struct("head", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("token", F.col("p.head").alias("pivot"), F.col("p.n").alias("pn"))
-    group_pairs = head_tokens.join(pivots, "token").where((F.col("head") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pn"), num, den)).select("pivot", "head").distinct()
-    expanded = group_pairs.join(grouped.select("head", "set_id"), "head").select(F.col("pivot").alias("x"), F.col("set_id").alias("y"))
-    inside = grouped.where("set_id <> head").select(F.col("head").alias("x"), F.col("set_id").alias("y"))
-    links = scratch.keep(_verify(expanded.unionByName(inside), linkable, num, den))
-    edges = links.select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    labels = scratch.keep(star_components(edges, scratch))
+    labels = _pivot_rounds(linkable, grouped, scratch, num, den)
     late = scratch.keep(_verify(_left_over(linkable, labels, scratch, num, den), linkable, num, den))
     if not late.isEmpty():
-        labels = scratch.keep(star_components(edges.unionByName(late.select(F.col("x").alias("src"), F.col("y").alias("dst"))), scratch))
+        labels = _merged(labels, late, scratch)
     labelled = classes.select("set_id", "id").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "id", F.coalesce("label", "set_id").alias("label"))
     labelled = scratch.keep(labelled)
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
