@@ -70,23 +70,35 @@ def diagonal_preconditioner(entries: DataFrame, n: int) -> Operator:
 
 
 class _Vectors:
-    """Named vectors of one length in one table (id, a, b, ...)."""
+    """Named vectors of one length in one table (id, a, b, ...).
+
+    Expressions are added to the plan; the table is written when a product of
+    an operator joins it, so that a round costs as many writes as operators.
+    """
 
     def __init__(self, table: DataFrame, scratch: Scratch):
-        self.table, self.scratch = scratch.keep(table), scratch
+        self.scratch = scratch
+        self.table = self.written = scratch.keep(table)
 
     def get(self, expr: str | Column) -> DataFrame:
         return self.table.select("id", (F.expr(expr) if isinstance(expr, str) else expr).cast("double").alias("x"))
 
     def put(self, joined: dict[str, DataFrame] | None = None, drop: tuple[str, ...] = (), **columns: str) -> None:
-        """New columns, from tables (id, x) by name and from expressions over all names; the table is written anew."""
-        out = self.table
+        """New columns, from tables (id, x) by name and from expressions over all names."""
         for name, v in (joined or {}).items():
-            out = out.drop(name).join(v.select("id", F.col("x").alias(name)), "id")
-        out = out.withColumns({k: F.expr(v).cast("double") for k, v in columns.items()}).drop(*drop)
-        fresh = self.scratch.keep(out)
-        self.scratch.drop(self.table)
-        self.table = fresh
+            self.table = self.table.drop(name).join(v.select("id", F.col("x").alias(name)), "id")
+        if joined:
+            fresh = self.scratch.keep(self.table)
+            self.scratch.drop(self.written)
+            self.table = self.written = fresh
+        self.table = self.table.withColumns({k: F.expr(v).cast("double") for k, v in columns.items()}).drop(*drop)
+
+    def apply(self, name: str, op: Operator, of: str) -> None:
+        """name <- op(of); the identity joins nothing."""
+        if op is eye:
+            self.put(**{name: of})
+        else:
+            self.put({name: op(self.get(of))})
 
     def dots(self, *exprs: str) -> list[float]:
         row = self.table.agg(*[F.sum(F.expr(e)).alias(f"s{i}") for i, e in enumerate(exprs)]).first()
@@ -114,7 +126,8 @@ def cg(matvec: Operator, b: DataFrame, x_start: DataFrame | None = None, precon:
         return Solution(b, 0, 0, 0.0)
     v = _Vectors(_start(b, x_start), scratch)
     v.put({"ax": matvec(v.get("x"))}, r="b - ax")
-    v.put({"p": precon(v.get("r"))}, drop=("ax",))
+    v.apply("p", precon, "r")
+    v.put(drop=("ax",))
     rr, numer = v.dots("r * r", "p * r")
     rnorm, k = math.sqrt(rr), 0
     if rnorm < EPS:
@@ -127,7 +140,7 @@ def cg(matvec: Operator, b: DataFrame, x_start: DataFrame | None = None, precon:
             v.put({"ax": matvec(v.get("x"))}, r="b - ax")
         else:
             v.put(r=f"r - {alfa!r}D * ap")
-        v.put({"s": precon(v.get("r"))})
+        v.apply("s", precon, "r")
         rr, fresh = v.dots("r * r", "r * s")
         rnorm, beta, numer = math.sqrt(rr), fresh / numer, fresh
         v.put(p=f"s + {beta!r}D * p")
@@ -151,13 +164,15 @@ def minres(matvec: Operator, b: DataFrame, x_start: DataFrame | None = None, pre
     """
     v = _Vectors(_start(b, x_start), Scratch(b.sparkSession, "minres"))
     v.put({"ax": matvec(v.get("x"))}, r="b - ax")
-    v.put({"z": precon(v.get("r"))}, drop=("ax",))
+    v.apply("z", precon, "r")
+    v.put(drop=("ax",))
     square = v.dots("r * z")[0]
     if square < 0:
         return Solution(v.get("x"), 9, 0, 0.0)
     if square == 0:
         return Solution(v.get("x"), 0, 0, 0.0)
-    v.put({"t1": matvec(v.get("z")), "t3": precon(v.get("z"))})
+    v.put({"t1": matvec(v.get("z"))})
+    v.apply("t3", precon, "z")
     v.put({"t2": matvec(v.get("t1"))})
     ww, zw, zz, rz = v.dots("t1 * t1", "z * t2", "z * z", "r * t3")
     if not _symmetric(ww, zw):
@@ -179,7 +194,7 @@ def minres(matvec: Operator, b: DataFrame, x_start: DataFrame | None = None, pre
         alfa = v.dots("v * y")[0]
         v.put(y=f"y - {alfa / beta!r}D * r", r_old="r")
         v.put(drop=("y",), r="y")
-        v.put({"z": precon(v.get("r"))})
+        v.apply("z", precon, "r")
         square = v.dots("r * z")[0]
         if square < 0:
             return Solution(v.get("x"), 9, k, rnorm, anorm, acond, xnorm)
