@@ -3,8 +3,8 @@
 Each word, and each shape of a word (case, last sign, length), falls into one
 of BUCKETS buckets, which has a fixed sparse index vector of +1 and -1.  The
 vector of a bucket is the sum of the index vectors that stand near it in all
-documents.  A document's features are the means and deviations of its words'
-and shapes' vectors; a two-layer network in numpy turns them into a
+documents.  A document's features are pooled from its words' and shapes'
+vectors; a two-layer network in numpy turns them into a
 probability, whose temperature is set on rows that it was not trained on.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tessella.llm.labelled import SAMPLE, with_labels
 from tessella.llm.words import U, Words, blocks, mix, tune, utf8
 
-BUCKETS, DIM, ONES, WINDOW = 1 << 14, 32, 4, 2
+BUCKETS, DIM, ONES, WINDOW = 1 << 14, 32, 2, 2
 CHUNK = 256
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-3
 
@@ -31,6 +31,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 PLACE, SIGN = index_vectors()
+CODE = PLACE + DIM * (SIGN < 0)  # pluses and minuses are counted apart
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
 _LETTER = np.zeros(256, np.int64)
@@ -57,30 +58,30 @@ def buckets(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def context_sums(docs: DataFrame) -> np.ndarray:
-    """The vector of each bucket: index vectors within WINDOW words, and of the other half of the pair word and shape, summed over all whole texts.
+    """The vector of each bucket: for words the index vectors of words within WINDOW, for shapes those of the shapes beside them, for both each other's, summed over all whole texts.
 
     Each task adds up a table of fixed size and sends it in CHUNK-row pieces,
     so that the sums are merged piece by piece in parallel.
     """
 
     def run(batches):
-        total = np.zeros(BUCKETS * DIM, np.int64)
-
-        def add(to: np.ndarray, of: np.ndarray) -> None:
-            for j in range(ONES):
-                total[:] += np.bincount(to * DIM + PLACE[of, j], SIGN[of, j], minlength=BUCKETS * DIM).astype(np.int64)
-
+        signed = np.zeros(2 * BUCKETS * DIM, np.int64)
         for block in blocks(batches, max_bytes=4 << 20, max_rows=1 << 14):
             words, w, s = buckets(block["text"].tolist())
             if not len(w):
                 continue
             doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-            to, of = [w, s], [s, w]
+            pairs = [(w, s), (s, w)]
             for d in range(1, WINDOW + 1):
                 same = np.flatnonzero(doc[d:] == doc[:-d])
-                to += [w[same], w[same + d], s[same], s[same + d]]
-                of += [w[same + d], w[same], s[same + d], s[same]]
-            add(np.concatenate(to), np.concatenate(of))
+                pairs += [(w[same], w[same + d]), (w[same + d], w[same])]
+                if d == 1:
+                    pairs += [(s[same], s[same + d]), (s[same + d], s[same])]
+            to, of = np.concatenate([p[0] for p in pairs]) * (2 * DIM), np.concatenate([p[1] for p in pairs])
+            for j in range(ONES):
+                signed += np.bincount(to + CODE[of, j], minlength=len(signed))
+        parts = signed.reshape(BUCKETS, 2, DIM)
+        total = parts[:, 0] - parts[:, 1]
         table = total.reshape(-1, CHUNK * DIM)
         yield pd.DataFrame({"piece": np.arange(len(table), dtype=np.int32), "sums": [x.astype("<i8").tobytes() for x in table]})
 
@@ -107,21 +108,28 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return unit(near + 0.5 * unit(own)).astype(np.float32)
 
 
+FEATURES = 3 * DIM + 3
+
+
 def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """A row per text: pooled vectors, then the logarithm of the length and the part of words that are different.  Texts without words have zeros."""
+    """A row per text: the mean of its words' vectors and its length, mean and deviation of its shapes' vectors, the logarithm of the number of words, the part of words that are different.  Texts without words have zeros."""
     words, w, s = buckets(texts)
     n = np.diff(words.first)
-    out = np.zeros((len(n), 4 * DIM + 2))
+    out = np.zeros((len(n), FEATURES))
     some = np.flatnonzero(n)
     if not len(some):
         return out
     at, count = words.first[:-1][some], n[some][:, None]
-    for k, x in enumerate((vectors[w], vectors[s])):
-        mean = np.add.reduceat(x, at, axis=0, dtype=np.float64) / count
-        square = np.add.reduceat(x * x, at, axis=0, dtype=np.float64) / count
-        out[some, 2 * k * DIM : (2 * k + 1) * DIM] = mean
-        out[some, (2 * k + 1) * DIM : (2 * k + 2) * DIM] = np.sqrt(np.maximum(0, square - mean**2))
     doc = np.repeat(np.arange(len(n)), n)
+    mean = np.add.reduceat(vectors[w], at, axis=0) / count
+    kinds = np.flatnonzero(np.bincount(s, minlength=BUCKETS))  # a text has few different shapes
+    place = np.zeros(BUCKETS, np.int64)
+    place[kinds] = np.arange(len(kinds))
+    part = np.bincount(doc * len(kinds) + place[s], minlength=len(n) * len(kinds)).reshape(len(n), len(kinds))[some] / count
+    shape = part @ vectors[kinds]
+    out[some, :DIM], out[some, DIM : 2 * DIM] = mean, shape
+    out[some, 2 * DIM : 3 * DIM] = np.sqrt(np.maximum(0, part @ vectors[kinds] ** 2 - shape**2))
+    out[some, -3] = np.linalg.norm(mean, axis=1)
     pair = np.unique(doc * BUCKETS + w)
     out[:, -2] = np.log1p(n)
     out[some, -1] = (np.bincount(pair // BUCKETS, minlength=len(n)) / np.maximum(1, np.minimum(n, BUCKETS)))[some]
@@ -201,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
             yield pd.DataFrame({"doc_id": block["doc_id"], "label": block["label"], "x": [r.tobytes() for r in x]})
 
     rows = with_labels(docs, labels, "quality", bound).mapInPandas(run, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
-    x = np.array([np.frombuffer(r) for r in rows["x"]]).reshape(len(rows), 4 * DIM + 2)
+    x = np.array([np.frombuffer(r) for r in rows["x"]]).reshape(len(rows), FEATURES)
     return Model(vectors, train(x, rows["label"].to_numpy(np.float64)))
 
 
