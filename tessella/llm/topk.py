@@ -75,7 +75,7 @@ class Search:
             return
         if not q.children and not r.children:
             self.leaf(q, r)
-        elif not q.children or r.children and r.radius >= q.radius:
+        elif not q.children or r.children and r.radius >= 2 * q.radius:  # small query groups have tight bounds
             for child in sorted(r.children, key=lambda c: -bound(q, c)):
                 self.visit(q, child)
         else:
