@@ -6,10 +6,9 @@ from enum import Enum
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEMA = "name string, category string, scope string, value double, timestamp timestamp, labels map<string,string>"
-RAW = T.StructType.fromDDL("name string, category string, scope string, value double, timestamp string, user string, locale_name string, locale_num string, locale_hostname string, labels map<string,string>")
+RAW = "name string, category string, scope string, value double, timestamp string, user string, locale_name string, locale_num string, locale_hostname string, labels map<string,string>"
 
 
 class Category(Enum):
