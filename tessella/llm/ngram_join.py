@@ -40,6 +40,7 @@ KEY_BITS = 48
 PART_KEYS = 1_000_000  # shingles that a counting task holds
 FLUSH_KEYS, FLUSH_DOCS = 600_000, 60_000
 ROUNDS, FEW, SIDE = 2, 32, 256
+BROADCAST_IDS = 1_000_000  # some 20 MB in each executor
 NO_ID = np.iinfo(np.int64).max
 
 SENT = "part long, base long, keys binary, docs binary, sets binary, ids binary, sizes binary"
@@ -355,8 +356,9 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     """
     scratch = Scratch(docs.sparkSession, "distinct")
     found = scratch.keep(jaccard_components(docs, k, num, den).where("doc_id is not null"))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = scratch.keep(found.where("component_id <> doc_id").select("doc_id").distinct())
+    small = gone.count() <= BROADCAST_IDS  # then no text is shuffled; else the join deals both sides by id
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
