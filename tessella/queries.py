@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rowexpr, sexpr
 from tessella.functions.reducers import maximum, minimum, reducer
-from tessella.operators import centrality, community, components, cores, dense2d, distance, edges, generators, icws, independent, partition, solvers, spanning, summaries, traversal, triangles
+from tessella.operators import arrays, centrality, community, components, cores, dense2d, distance, edges, generators, icws, independent, partition, solvers, spanning, summaries, traversal, triangles
 from tessella.operators import degree as degrees
 from tessella.operators.matrix import SparseMatrix, expand, gen_ranges, segment_starts
 from tessella.plans.rank import with_rank
@@ -247,6 +247,72 @@ def reindex(spark, d):
     return partition.reindex(table(spark, d, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "rank")
 
 
+# arrays
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("value"))
+
+
+@query("SELECT c_custkey AS idx, o_custkey AS value FROM customer JOIN orders ON o_orderkey = c_custkey * 3")
+def array_gather(spark, d):
+    at = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_custkey") * 3).alias("at"))
+    return arrays.gather(_values(spark, d), at)
+
+
+@query("SELECT r.range AS idx, coalesce(max(o_orderkey), 0) AS value FROM range((SELECT count(*) FROM customer)) r LEFT JOIN orders ON o_custkey = r.range AND o_orderkey % 7 = 0 GROUP BY 1")
+def array_scatter(spark, d):
+    placed = _values(spark, d).where("idx % 7 = 0").select(F.col("value").alias("at"), F.col("idx").alias("value"))
+    return arrays.scatter(spark, table(spark, d, "customer").count(), placed)
+
+
+@query("SELECT o_orderkey AS idx, o_custkey IN (SELECT s_suppkey * 3 FROM supplier) AS found FROM orders")
+def array_membership(spark, d):
+    return arrays.in1d(_values(spark, d), table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("value")))
+
+
+@query("SELECT o_orderkey AS idx, CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE -o_custkey END AS value FROM orders")
+def array_where(spark, d):
+    v = F.col("value")
+    return _values(spark, d).select("idx", arrays.where(v % 2 == 0, v, -v).alias("value"))
+
+
+@query("SELECT o_orderkey AS idx, o_custkey AS value FROM orders UNION ALL SELECT o_orderkey + (SELECT count(*) FROM orders), o_custkey FROM orders")
+def array_concatenate(spark, d):
+    v = _values(spark, d)
+    return arrays.concatenate(v, v)
+
+
+@query("SELECT o_custkey AS value FROM orders UNION SELECT s_suppkey * 3 FROM supplier")
+def array_union1d(spark, d):
+    return arrays.union1d(_values(spark, d), table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("value")))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place, o_orderkey AS idx FROM orders")
+def array_coargsort(spark, d):
+    return arrays.coargsort(_values(spark, d), "value")
+
+
+@query("SELECT o_orderkey AS idx, sum(o_custkey) OVER (ORDER BY o_orderkey)::BIGINT AS value FROM orders")
+def array_cumsum(spark, d):
+    return arrays.cumsum(_values(spark, d))
+
+
+@query("SELECT idx, diff FROM (SELECT o_orderkey AS idx, o_custkey - lag(o_custkey) OVER (ORDER BY o_orderkey) AS diff FROM orders) WHERE diff IS NOT NULL")
+def array_diff(spark, d):
+    return arrays.neighbour_diff(_values(spark, d))
+
+
+@query("SELECT false AS is_sorted")
+def array_is_sorted(spark, d):
+    return arrays.is_sorted(_values(spark, d))
+
+
+@query("SELECT o_orderkey AS idx, o_custkey AS value, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS place FROM orders")
+def array_index_in_group(spark, d):
+    return arrays.index_in_group(_values(spark, d), "value", "idx")
+
+
 # traversal
 
 

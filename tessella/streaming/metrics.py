@@ -105,3 +105,66 @@ def server_totals(metrics: DataFrame) -> DataFrame:
     """Cores and memory summed over executors."""
     total = lambda s: F.sum(F.when(F.col("name") == s, F.col("value")))
     return metrics.agg(total("processing_units_per_locale").alias("processing_units"), total("memory_per_locale").alias("memory"))
+
+
+class Recorder:
+    """Keeps the requests of a session: who ran which command, how long it took, and how it failed.
+
+    It is a context for each request, and listens to streaming queries, whose
+    batches count as requests of the command ``stream:<name>``.
+    """
+
+    def __init__(self, spark: SparkSession, user: str = ""):
+        self.spark, self.user = spark, user
+        self.rows: list[tuple] = []
+
+    def request(self, command: str, user: str | None = None):
+        from contextlib import contextmanager
+        from time import perf_counter
+
+        @contextmanager
+        def timed():
+            began, error = perf_counter(), None
+            try:
+                yield
+            except Exception as e:
+                error = type(e).__name__
+                raise
+            finally:
+                self.add(command, perf_counter() - began, error, user)
+
+        return timed()
+
+    def add(self, command: str, seconds: float, error: str | None = None, user: str | None = None) -> None:
+        self.rows.append((len(self.rows), user or self.user, command, float(seconds), 0.0, error))
+
+    def listener(self):
+        """A StreamingQueryListener that records batches; the caller adds it to ``spark.streams``."""
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        recorder = self
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                recorder.add(f"stream:{event.progress.name or event.progress.id}", event.progress.batchDuration / 1000)
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                if event.exception:
+                    recorder.add("stream", 0.0, "StreamingQueryException")
+
+        return Listener()
+
+    def requests(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, "id long, user string, command string, seconds double, memory double, error string")
+
+    def metrics(self) -> DataFrame:
+        """All series of the requests and of the cluster."""
+        own = request_series(self.requests()).withColumn("timestamp", F.current_timestamp())
+        columns = ["name", "category", "scope", "value", "timestamp", "labels"]
+        return own.select(columns).unionByName(cluster_metrics(self.spark).select(columns))

@@ -91,3 +91,25 @@ def test_jobs(spark):
     slow = jobs.submit(lambda s: time.sleep(0.3) or 5)
     assert jobs.status(slow) in (Status.SUBMITTED, Status.PENDING)
     assert jobs.poll(slow, 0.05) == 5
+
+
+def test_recorder(spark):
+    r = metrics.Recorder(spark, "ann")
+    with r.request("sum"):
+        spark.range(5).count()
+    with pytest.raises(ValueError), r.request("fail", "bob"):
+        raise ValueError
+    spark.streams.addListener(own := r.listener())
+    try:
+        spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 5).load().limit(10).writeStream.format("noop").queryName("q").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(50):
+            if any(x[2] == "stream:q" for x in r.rows):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(own)
+    values = {(x["name"], tuple(sorted(x["labels"].items()))): x["value"] for x in r.metrics().collect()}
+    assert values[("number_of_requests_per_command", (("command", "sum"),))] == 1
+    assert values[("number_of_errors_per_error_type", (("error", "ValueError"),))] == 1
+    assert values[("per_user_total_number_of_requests", (("user", "bob"),))] == 1
+    assert any(k[0] == "number_of_requests_per_command" and ("command", "stream:q") in k[1] for k in values)
