@@ -77,7 +77,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
+#: A text's words, as the contracts define them.
+SQL_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {SQL_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+            s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+            n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+                HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE doc_id = a.doc_id) + (SELECT n FROM n WHERE doc_id = b.doc_id) - count(*))),
+            c(id, label) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents UNION
+                SELECT l.b, min(c.label) FROM c JOIN l ON l.a = c.id JOIN recurring.c r ON r.id = l.b WHERE c.label < r.label GROUP BY l.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.label AS component_id FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+    "op2_source_mix": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT AS u FROM documents),
+            s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+            o AS (SELECT *, 3.0::DOUBLE * source_size AS most, row_number() OVER f AS k, coalesce(sum(3.0::DOUBLE * source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+                sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM s WINDOW f AS (ORDER BY source_size / weight, source)),
+            r AS (SELECT arg_min(((SELECT sum(source_size) FROM s) - held) / w, k) AS rate FROM o WHERE ((SELECT sum(source_size) FROM s) - held) / w * weight <= most),
+            t AS (SELECT source, source_size, least(rate * weight, most) AS target, floor(least(rate * weight, most) / source_size)::BIGINT AS whole,
+                least(rate * weight, most) - floor(least(rate * weight, most) / source_size) * source_size AS rest FROM o, r),
+            c AS (SELECT d.*, t.source_size, target, whole, rest, sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+            g AS (SELECT *, upto <= rest AND size > 0 AS sampled, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c),
+            e AS (SELECT source, arg_min(doc_id, (abs(gap - size), u, doc_id)) AS extra FROM g WHERE NOT sampled AND size > 0 AND abs(gap - size) < gap GROUP BY source)
+        SELECT doc_id, size, source_size, target, ((whole + CASE WHEN sampled OR doc_id = extra THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+        FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source
+    """,
     "op3_exact_topk": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
                    FROM embeddings
