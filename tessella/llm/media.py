@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessella.llm.words import blocks, tune
+from tessella.llm.words import blocks, given, returned, tune
 
 WIDTH, HEIGHT, FPS = 64, 32, 25
 BLOCK = 64
@@ -209,9 +209,9 @@ def _each(docs: DataFrame, row, schema: str) -> DataFrame:
     def run(batches):
         for block in blocks(batches):
             out = [x for doc_id, text in zip(block["doc_id"], block["text"], strict=True) for x in row(doc_id, text)]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return returned(given(docs, "text").mapInPandas(run, schema))
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -233,9 +233,9 @@ def clips(stored: DataFrame) -> DataFrame:
                 begin = shots(decode_frames(avi.frames))
                 for k, (a, b) in enumerate(zip(begin, [*begin[1:], len(avi.frames)], strict=True)):
                     out.append((doc_id, k, a, b - a, a / avi.fps, b / avi.fps))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in CLIPS.split(",")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in CLIPS.split(",")])
 
-    return stored.select("doc_id", "media").mapInPandas(run, CLIPS)
+    return returned(given(stored, "media").mapInPandas(run, CLIPS))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import U, Words, blocks, mix, shingles, tune, utf8
+from tessella.llm.words import NO_ID, U, Words, blocks, given, mix, returned, shingles, tune, utf8
 from tessella.operators.stars import star_components
 from tessella.plans.store import Scratch
 
@@ -41,7 +41,6 @@ PART_KEYS = 1_000_000  # shingles that a counting task holds
 FLUSH_KEYS, FLUSH_DOCS = 600_000, 60_000
 ROUNDS, FEW, SIDE = 2, 32, 256
 BROADCAST_IDS = 1_000_000  # some 20 MB in each executor
-NO_ID = np.iinfo(np.int64).max
 
 SENT = "part long, base long, keys binary, docs binary, sets binary, ids binary, sizes binary"
 CLASS = "set_id long, n long, id long, keys binary, prefix array<long>"
@@ -91,7 +90,7 @@ def _sender(k: int, parts: int):
         for block in blocks(batches):
             fresh = shingles(Words([utf8(x) for x in block["text"]]), k)
             sets += fresh
-            ids += [NO_ID if pd.isna(x) else int(x) for x in block["doc_id"]]
+            ids += block["doc_id"].tolist()
             held += sum(map(len, fresh))
             if held >= FLUSH_KEYS or len(sets) >= FLUSH_DOCS - 4096:
                 yield pd.DataFrame(_send(sets, ids, parts), columns=names)
@@ -324,7 +323,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, round(chars / 6 / PART_KEYS))
     buckets = max(1, parts // 2)
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sender(k, parts), SENT)
+    sent = given(docs, "text").mapInPandas(_sender(k, parts), SENT)
     # as many tasks as ranges, whatever the session's number of partitions
     sent = sent.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
     counted = scratch.keep(sent.groupBy("part").applyInPandas(_counter(buckets), COUNTED))
@@ -347,8 +346,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     final = scratch.keep(labelled.join(least, "label").select("set_id", "component_id"))
     out = members.join(final, "set_id", "left")
     scratch.drop(counted)
-    real = lambda c: F.when(F.col(c) != F.lit(int(NO_ID)), F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, real("component_id")).otherwise(real("doc_id")).alias("component_id"))
+    least_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return returned(out.select("doc_id", "n_shingles", F.nullif(least_id, F.lit(NO_ID)).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import tune
+from tessella.llm.words import given, returned, tune
 from tessella.plans.store import Scratch
 
 CAPACITY = 1024
@@ -82,10 +82,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
                 begin = [0, *range(first, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(begin, [*begin[1:], len(ids)], strict=True)):
                     out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    return returned(given(docs, "text").mapInPandas(cut, PIECES))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +181,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, scratch:
         rows["sequence_id"], rows["offset"] = bins * groups + key[0], places
         return rows.drop(columns="group")
 
-    dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(groups)))
-    packed = dealt.groupBy("group").applyInPandas(fill, schema)
+    dealt = given(rest, *[c for c in rest.columns if c != "doc_id"]).select(*rest.columns).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(groups)))
+    packed = returned(dealt.groupBy("group").applyInPandas(fill, schema))
     alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(alone)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tessella.llm.labelled import SAMPLE, with_labels
-from tessella.llm.words import U, Words, blocks, mix, tune, utf8
+from tessella.llm.words import U, Words, blocks, given, mix, returned, tune, utf8
 
 BUCKETS, DIM, ONES, WINDOW = 1 << 14, 32, 2, 2
 CHUNK = 256
@@ -222,6 +222,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = kept.value
         for block in blocks(batches):
             value = m.network.probability(features(block["text"].tolist(), m.vectors))
-            yield pd.DataFrame({"doc_id": block["doc_id"].astype("Int64"), "score": value})
+            yield pd.DataFrame({"doc_id": block["doc_id"], "score": value})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return returned(given(docs, "text").mapInPandas(run, "doc_id long, score double"))

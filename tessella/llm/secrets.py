@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.packing import byte_letters
-from tessella.llm.words import tune
+from tessella.llm.words import given, returned, tune
 
 FINDINGS = "doc_id long, start long, length int, kind string, score double, secret boolean, digest string"
 THRESHOLD = 0.5
@@ -262,9 +262,9 @@ def scan(docs: DataFrame, forest: Forest, vocabulary: str | None = None, thresho
             for doc_id, text, path in zip(batch["doc_id"], batch["text"], batch["source"], strict=True):
                 for a, b, kind, p in judged(text or "", path, forest, vocabulary):
                     out.append((doc_id, a, b - a, kind, p, p >= threshold, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    return docs.select("doc_id", "text", "source").mapInPandas(run, FINDINGS)
+    return returned(given(docs, "text", "source").mapInPandas(run, FINDINGS))
 
 
 def redact(docs: DataFrame, forest: Forest, vocabulary: str | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tessella.llm.packing import byte_letters
-from tessella.llm.words import Words, blocks, tune, utf8
+from tessella.llm.words import Words, blocks, given, returned, tune, utf8
 
 END = 256
 SYMBOLS = 257
@@ -142,6 +142,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, end_mark: str = "</w>") -> Da
             _, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
             each = machine.counts(np.frombuffer(words.buf, np.uint8), words.start[first], words.end[first])
             total = np.r_[0, np.cumsum(each[which])] if len(which) else np.zeros(1, np.int64)
-            yield pd.DataFrame({"doc_id": block["doc_id"].astype("Int64"), "n_words": np.diff(words.first), "n_tokens": np.diff(total[words.first])})
+            yield pd.DataFrame({"doc_id": block["doc_id"], "n_words": np.diff(words.first), "n_tokens": np.diff(total[words.first])})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    return returned(given(docs, "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long"))

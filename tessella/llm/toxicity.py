@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.labelled import SAMPLE, with_labels
-from tessella.llm.words import Words, blocks, tune, utf8
+from tessella.llm.words import Words, blocks, given, returned, tune, utf8
 
 # Which letters a sign may stand for; "" means that it may be a mere mark.
 CHANNEL = {
@@ -55,7 +55,7 @@ class Model:
         if len(token) > LONGEST:
             return token
         if token not in self.seen:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             self.seen[token] = viterbi(token, self)
         return self.seen[token]
@@ -248,9 +248,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for block in blocks(batches):
             found = found_words(block["text"].tolist(), m, True)
             value = [1 - (1 - m.base) * math.prod(1 - m.toxic[w] for w in sorted(x)) for x in found]
-            yield pd.DataFrame({"doc_id": block["doc_id"].astype("Int64"), "score": value, "words": [",".join(sorted(x)) for x in found]})
+            yield pd.DataFrame({"doc_id": block["doc_id"], "score": value, "words": [",".join(sorted(x)) for x in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, words string")
+    return returned(given(docs, "text").mapInPandas(run, "doc_id long, score double, words string"))
 
 
 def toxic_column(model: Model, docs: DataFrame) -> Column:

@@ -12,10 +12,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.plans.ship import ship
 
 U = np.uint64
+NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 4096
 
@@ -120,6 +123,16 @@ def blocks(batches: Iterable[pd.DataFrame], text: str = "text", max_bytes: int =
             yield batch.iloc[begin:]
 
 
+def given(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and other columns for a Python function; a null id travels as NO_ID, since pandas would turn a column with nulls into doubles and round large ids."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), *columns)
+
+
+def returned(found: DataFrame) -> DataFrame:
+    """The inverse of :func:`given`, for what the function gave back."""
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")))
+
+
 def tune(spark) -> None:
     """Small Arrow batches: a worker then holds few long texts at once."""
     ship(spark)

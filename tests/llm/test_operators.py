@@ -72,6 +72,18 @@ def test_blocks_keep_rows_and_bounds():
     assert sum(map(len, got)) == 7 and all(len(b) <= 2 for b in got)
 
 
+def test_null_and_large_ids(spark, forest):
+    ids = [(1 << 60) + 1, None, (1 << 60) + 3, -5]
+    df = docs(spark, ['token = "0123abcd0123abcd0123abcd0123abcd0123abcd"', "a b", None, "c"], ids=ids)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    tox, good = toxicity.fit(df, labels), quality.fit(df, labels)
+    pieces = packing.pieces(df, VOCABULARY)
+    stored = media.media(df)
+    for out in (ngram_join.jaccard_components(df), mixing.mix(df), pieces, packing.pack(pieces), media.digest(df), media.clips(stored), token_counts.count_tokens(df, WORD_VOCABULARY), toxicity.score(df, tox), quality.score(df, good)):
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(ids)
+    assert [r["doc_id"] for r in secrets.scan(df, forest, VOCABULARY).collect()] == ids[:1]
+
+
 # 1: n-gram Jaccard join
 
 
