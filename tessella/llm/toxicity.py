@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.labelled import SAMPLE, with_labels
+from tessella.llm.labelled import SAMPLE, one_per_family, with_labels
 from tessella.llm.words import Words, blocks, given, returned, tune, utf8
 
 # Which letters a sign may stand for; "" means that it may be a mere mark.
@@ -32,7 +32,7 @@ EDGE = ".,;:!?\"'()[]{}<>«»…-–—*#%&~`/\\|_=+^$@"
 
 KEEP, LONGEST = 12, 32
 SUBSTITUTE, STRETCH, MARK, PLAIN = math.log(0.05), math.log(0.05), math.log(0.05), math.log(0.9)
-ODD = re.compile(r"[a-zа-яі0-9@$!|€£¡+(<][^\s]*[0-9@$!|€£¡+(<.\-_*~'`^:,;/\\=#%&\"?а-яі]|[0-9@$!|€£¡+(<а-яі][^\s]*[a-z]|([a-z])\1\1")
+ODD = re.compile(r"[a-zß-öø-ÿа-яі0-9@$!|€£¡+(<][^\s]*[0-9@$!|€£¡+(<.\-_*~'`^:,;/\\=#%&\"?а-яі]|[0-9@$!|€£¡+(<а-яі][^\s]*[a-z]|([a-z])\1\1")
 
 LEAST_DOCS, LEAST_P, Z = 4, 0.5, 1.96
 
@@ -66,7 +66,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     out = []
     for run in re.finditer(r"(.)\1*", token, re.S):
         c, n = run.group(1), run.end() - run.start()
-        letters = c if "a" <= c <= "z" else CHANNEL.get(c, "")
+        letters = CHANNEL.get(c, c if c.isalpha() else "")
         options = []
         for letter in letters:
             cost = PLAIN if letter == c else SUBSTITUTE
@@ -89,7 +89,7 @@ def viterbi(token: str, model: Model) -> str:
             for piece, cost in options:
                 s, x, y = score + cost, a, b
                 for letter in piece:
-                    k = ord(letter) - 96
+                    k = ord(letter) - 96 if "a" <= letter <= "z" else 0  # a letter beyond these counts as an edge
                     s += model.table[x][y][k]
                     x, y = y, k
                 whole = text + piece
@@ -186,7 +186,7 @@ def lower_bound(k: float, n: float, z: float = Z) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Learns the character model from all documents, the words from at most ``bound`` labelled ones.
+    """Learns the character model from all documents, the words from at most ``bound`` labelled ones, one of each family of near copies: else the rare words of a toxic text with many copies would look toxic.
 
     A word is held for toxic if it stands in at least LEAST_DOCS documents of
     the sample and the lower bound of its toxic part is at least LEAST_P; the
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
                 total.setdefault("", [0, 0])[int(label > 0)] += 1
         yield pd.DataFrame([(w, a, b) for w, (a, b) in total.items()], columns=["word", "clean", "toxic"])
 
-    sample = with_labels(docs, labels, "toxic", bound)
+    sample = one_per_family(with_labels(docs, labels, "toxic", bound))
     counts = sample.mapInPandas(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rows = counts.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).collect()  # words of several documents of the bounded sample
     n = next((r["clean"] + r["toxic"] for r in rows if r["word"] == ""), 0)
