@@ -8,7 +8,6 @@ they are taken), and what is left is packed into sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm import mixing, ngram_join, packing, secrets, toxicity
 from tessella.llm.queries import TOKENIZERS, table
@@ -20,8 +19,7 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below TOXIC."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    score = toxicity.toxic_column(model, docs)
-    return docs.withColumn("__score", score).where(F.col("__score") < TOXIC).select(*docs.columns)
+    return docs.where(toxicity.toxic_column(model, docs) < TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

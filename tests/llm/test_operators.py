@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import media, mixing, ngram_join, packing, quality, secrets, token_counts, topk, toxicity, url_rules
-from tessella.llm.labelled import held_out, training_sample
+from tessella.llm.labelled import held_out, one_per_family, training_sample
 from tessella.llm.words import Words, blocks, shingles, utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -662,6 +662,16 @@ def test_training_sample_leaves_out_held_out_rows(spark):
     assert training_sample(labels, "quality", 10).count() == 10
 
 
+def test_one_per_family(spark):
+    r = random.Random(4)
+    base = [[r.choice(WORDS) + str(r.randrange(99)) for _ in range(80)] for _ in range(6)]
+    texts = [" ".join(b[:k] + ["changed"] + b[k + 1 :]) for b in base for k in (3, 20, 44, 70)]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(50, None, 1), (51, "", 0)]
+    out = one_per_family(spark.createDataFrame(rows, "doc_id long, text string, label int")).collect()
+    assert sorted(x["doc_id"] for x in out) == [0, 4, 8, 12, 16, 20, 50]
+    assert one_per_family(spark.createDataFrame([], "doc_id long, text string, label int")).count() == 0
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import DOCS, WORDS, brute_components, brute_pieces, check_packed
 from tokenizers import Tokenizer
 
@@ -65,6 +66,18 @@ def test_stages(spark, tmp_path):
     assert Counter(map(key, whole)) == Counter(map(key, got))
 
 
+def test_stages_keep_other_columns(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    extra = {c: F.lit(c) for c in ("component_id", "copies", "row", "size", "u", "score", "kept_id", "source_size", "text2", "label")}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns(extra)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert out.select(*extra).distinct().collect() == [tuple(extra)]
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
+    assert packed.where("piece = 0").count() == docs.count()
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
