@@ -9,6 +9,7 @@ local run) a temporary folder of this machine is set.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessella-"))
+        own = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get().rstrip("/")
 
