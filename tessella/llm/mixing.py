@@ -7,8 +7,8 @@ p / (1 - p), p = r - floor(r), documents are ranked by their random odds
 u / (1 - u) over the inclusion odds, and taken from the lowest rank on until
 the source's target is reached.  u comes from the document's id alone, so that
 reruns agree.  Only whole documents are taken: the document that would pass
-the target is replaced by the one left over which comes nearest to it, if that
-comes nearer than none.
+the target is replaced by up to three that were left over, the one that comes
+nearest each time, as long as that comes nearer than none.
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ from tessella.plans.store import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, FANOUT, BITS = 2, 1024, 52
+CLOSING = 3
+
+
+def _here() -> Column:
+    """A row's place in its source's ranks."""
+    return F.struct("u", "doc_id", "size")
 
 
 def size_of(text: str = "text") -> Column:
@@ -83,7 +89,7 @@ def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def _plan(sized: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Two tables with a row per source: where its sample ends, and the document that closes it.
+    """Two tables with a row per source: where its sample ends, and the documents that close it.
 
     The lowest rank left out is found by counts over ranges of u, range within
     range, each step summed on the map side first; only the rows of the last
@@ -124,18 +130,33 @@ def _plan(sized: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, Dat
         .select("source", "last", (F.col("left") - F.coalesce("sum", F.lit(0))).alias("gap"))
     )
     cut = scratch.keep(goal.join(cut.join(state.select("source", "range"), cut["source"].eqNullSafe(state["source"])).select(cut["source"].alias("s"), "last", "gap", "range"), goal["source"].eqNullSafe(F.col("s")), "left").drop("s"))
-    rows = _sampled(sized, cut, shift)
-    off = F.abs(F.col("gap") - F.col("size"))
-    near = rows.where(~F.col("sampled") & (F.col("size") > 0) & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "u", "doc_id", "size")).alias("near"))
-    near = near.select(F.col("source").alias("n"), F.struct("near.u", "near.doc_id", "near.size").alias("extra"))
-    return cut, scratch.keep(near)
+    return cut, _closing(_sampled(sized, cut, shift), scratch)
+
+
+def _closing(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """source, extra: up to CLOSING documents that were left out and fill the gap, the nearest one each time, while that brings the source nearer to its target."""
+    left = scratch.keep(rows.where(~F.col("sampled") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select("source", "gap", _here().alias("doc")))
+    found = None
+    for _ in range(CLOSING):
+        if found is None:
+            now = left
+        else:
+            held = found.select(F.col("n"), F.col("extra"), F.aggregate("extra", F.lit(0).cast("long"), lambda total, x: total + x["size"]).alias("filled"))
+            now = left.join(held, left["source"].eqNullSafe(held["n"])).where(~F.array_contains("extra", F.col("doc"))).select("source", (F.col("gap") - F.col("filled")).alias("gap"), "doc")
+        off = F.abs(F.col("gap") - F.col("doc.size"))
+        near = now.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc")).alias("m")).select(F.col("source").alias("k"), F.col("m.doc").alias("doc"))
+        if found is None:
+            found = scratch.keep(near.select(F.col("k").alias("n"), F.array("doc").alias("extra")))
+        else:
+            more = found.join(near, found["n"].eqNullSafe(near["k"]), "left")
+            found = scratch.keep(more.select("n", F.when(F.col("doc").isNotNull(), F.array_append("extra", F.col("doc"))).otherwise(F.col("extra")).alias("extra")))
+    return found
 
 
 def _sampled(sized: DataFrame, cut: DataFrame, shift: int) -> DataFrame:
     rows = sized.join(cut.withColumnRenamed("source", "s"), sized["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    here = F.struct("u", "doc_id", "size")
     bucket = F.shiftright("u", shift)
-    taken = F.coalesce((bucket < F.col("range")) | ((bucket == F.col("range")) & (here <= F.col("last"))), F.lit(False))
+    taken = F.coalesce((bucket < F.col("range")) | ((bucket == F.col("range")) & (_here() <= F.col("last"))), F.lit(False))
     return rows.withColumn("sampled", taken & (F.col("size") > 0))
 
 
@@ -143,6 +164,6 @@ def _copies(sized: DataFrame, cut: DataFrame, near: DataFrame) -> DataFrame:
     """All columns of ``sized`` and of the plan, and copies."""
     rows = _sampled(sized, cut, BITS - LEVELS * (FANOUT.bit_length() - 1))
     rows = rows.join(near, rows["source"].eqNullSafe(near["n"]), "left")
-    # of equal rows that all match the closing one, each would count: their ids are equal, which the ids of a table are not
-    extra = F.coalesce(F.struct("u", "doc_id", "size") == F.col("extra"), F.lit(False))
+    # of equal rows that all match a closing one, each would count: their ids are equal, which the ids of a table are not
+    extra = F.coalesce(F.array_contains("extra", _here()), F.lit(False))
     return rows.withColumn("copies", F.col("whole") + F.when(F.col("sampled") | extra, 1).otherwise(0))

@@ -80,6 +80,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: A text's words, as the contracts define them.
 SQL_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: The documents that close a source's sample, one after the other.
+CLOSING_SQL = ", ".join(
+    f"""e{k} AS (SELECT source, arg_min(doc_id, (abs(gap - size), u, doc_id)) AS extra, arg_min(size, (abs(gap - size), u, doc_id)) AS filled
+                FROM g{k} WHERE NOT sampled AND size > 0 AND abs(gap - size) < gap GROUP BY source),
+            g{k + 1} AS (SELECT g{k}.* REPLACE (sampled OR coalesce(doc_id = extra, false) AS sampled, gap - coalesce(filled, 0) AS gap)
+                FROM g{k} LEFT JOIN e{k} ON g{k}.source IS NOT DISTINCT FROM e{k}.source)"""
+    for k in range(mixing.CLOSING)
+)
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {SQL_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
@@ -101,10 +110,9 @@ ORACLE: dict[str, str] = {
             t AS (SELECT source, source_size, least(rate * weight, most) AS target, floor(least(rate * weight, most) / source_size)::BIGINT AS whole,
                 least(rate * weight, most) - floor(least(rate * weight, most) / source_size) * source_size AS rest FROM o, r),
             c AS (SELECT d.*, t.source_size, target, whole, rest, sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-            g AS (SELECT *, upto <= rest AND size > 0 AS sampled, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c),
-            e AS (SELECT source, arg_min(doc_id, (abs(gap - size), u, doc_id)) AS extra FROM g WHERE NOT sampled AND size > 0 AND abs(gap - size) < gap GROUP BY source)
-        SELECT doc_id, size, source_size, target, ((whole + CASE WHEN sampled OR doc_id = extra THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-        FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source
+            g0 AS (SELECT *, upto <= rest AND size > 0 AS sampled, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c),
+            {CLOSING_SQL}
+        SELECT doc_id, size, source_size, target, ((whole + CASE WHEN sampled THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM g{mixing.CLOSING}
     """,
     "op3_exact_topk": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
