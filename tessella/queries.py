@@ -137,16 +137,21 @@ def sort_edges(spark, d):
     return edges.sort_edges(graph_s(spark, d))
 
 
-@query(f"WITH {N} SELECT src, dst FROM n WHERE src % 3 = 0 AND dst % 3 = 0")
+def _customers(spark: SparkSession, d: str, test: str) -> DataFrame:
+    return table(spark, d, "customer").where(test).select(F.col("c_custkey").alias("id"))
+
+
+RICH, SEGMENT = "c_acctbal > 0", "c_mktsegment = 'BUILDING'"
+
+
+@query(f"WITH {N}, c AS (SELECT c_custkey FROM customer WHERE {RICH}) SELECT src, dst FROM n WHERE src IN (FROM c) AND dst IN (FROM c)")
 def subgraph(spark, d):
-    g = graph_n(spark, d)
-    return edges.subgraph(g, edges.node_labels(g).where("id % 3 = 0"))
+    return edges.subgraph(graph_n(spark, d), _customers(spark, d, RICH))
 
 
-@query(f"WITH {S} SELECT src, dst FROM s WHERE src % 5 = 0 OR dst % 5 = 0")
+@query(f"WITH {S}, c AS (SELECT c_custkey FROM customer WHERE {SEGMENT}) SELECT src, dst FROM s WHERE src IN (FROM c) OR dst IN (FROM c)")
 def subgraph_onehop(spark, d):
-    g = graph_s(spark, d)
-    return edges.subgraph(g, edges.node_labels(g).where("id % 5 = 0"), one_hop=True)
+    return edges.subgraph(graph_s(spark, d), _customers(spark, d, SEGMENT), one_hop=True)
 
 
 @query(f"WITH {D} SELECT (src * 4294967296 + dst)::BIGINT AS packed FROM d")
@@ -260,9 +265,9 @@ def array_gather(spark, d):
     return arrays.gather(_values(spark, d), at)
 
 
-@query("SELECT r.range AS idx, coalesce(max(o_orderkey), 0) AS value FROM range((SELECT count(*) FROM customer)) r LEFT JOIN orders ON o_custkey = r.range AND o_orderkey % 7 = 0 GROUP BY 1")
+@query("SELECT r.range AS idx, coalesce(max(o_orderkey), 0) AS value FROM range((SELECT count(*) FROM customer)) r LEFT JOIN orders ON o_custkey = r.range GROUP BY 1")
 def array_scatter(spark, d):
-    placed = _values(spark, d).where("idx % 7 = 0").select(F.col("value").alias("at"), F.col("idx").alias("value"))
+    placed = _values(spark, d).select(F.col("value").alias("at"), F.col("idx").alias("value"))
     return arrays.scatter(spark, table(spark, d, "customer").count(), placed)
 
 
@@ -583,10 +588,10 @@ def spmv(spark, d):
     return m.dot(_vector(spark, m.shape[1]))
 
 
-@query(f"WITH {M} SELECT r.range AS id, coalesce(sum(val * (col % 10 + 1)), 0) AS y FROM range({SHAPE[0]}) r LEFT JOIN m ON row = r.range AND row % 3 = 0 GROUP BY ALL")
+@query(f"WITH {M} SELECT r.range AS id, coalesce(sum(val * (col % 10 + 1)), 0) AS y FROM range({SHAPE[0]} + 5) r LEFT JOIN m ON row = r.range GROUP BY ALL")
 def spmv_dense(spark, d):
     m = matrix(spark, d)
-    return SparseMatrix(m.entries.where("row % 3 = 0"), m.shape).dot(_vector(spark, m.shape[1]), full=True)
+    return SparseMatrix(m.entries, (m.shape[0] + 5, m.shape[1])).dot(_vector(spark, m.shape[1]), full=True)
 
 
 @query(f"WITH {M} SELECT a.col AS row, b.col, sum(a.val * b.val) AS val FROM m a JOIN m b ON a.row = b.row GROUP BY a.col, b.col")
@@ -607,26 +612,31 @@ def spgemm_size(spark, d):
     return spark.range(1).select(F.lit(m.transpose().product_size(m)).cast("long").alias("products"))
 
 
-def _half(m: SparseMatrix) -> SparseMatrix:
-    return SparseMatrix(m.entries.where("(row + col) % 2 = 0"), m.shape)
+RETURNED = "r AS MATERIALIZED (SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity) AS val FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)"
+
+
+def _returned(spark: SparkSession, d: str, shape: tuple[int, int]) -> SparseMatrix:
+    """The matrix of what was sent back, in the shape of all."""
+    rows = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    return SparseMatrix.from_coo(rows.select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_quantity").alias("val")), shape, sum_duplicates=True)
 
 
-@query(f"WITH {M} SELECT row, col, CASE WHEN (row + col) % 2 = 0 THEN 2 ELSE 1 END * val AS val FROM m")
+@query(f"WITH {M}, {RETURNED} SELECT m.row, m.col, m.val + coalesce(r.val, 0) AS val FROM m LEFT JOIN r ON r.row = m.row AND r.col = m.col")
 def mat_add(spark, d):
     m = matrix(spark, d)
-    return (m + _half(m)).entries
+    return (m + _returned(spark, d, m.shape)).entries
 
 
-@query(f"WITH {M} SELECT row, col, CASE WHEN (row + col) % 2 = 0 THEN 0 ELSE val END AS val FROM m")
+@query(f"WITH {M}, {RETURNED} SELECT m.row, m.col, m.val - coalesce(r.val, 0) AS val FROM m LEFT JOIN r ON r.row = m.row AND r.col = m.col")
 def mat_sub(spark, d):
     m = matrix(spark, d)
-    return (m - _half(m)).entries
+    return (m - _returned(spark, d, m.shape)).entries
 
 
-@query(f"WITH {M} SELECT row, col, val * val AS val FROM m WHERE (row + col) % 2 = 0")
+@query(f"WITH {M}, {RETURNED} SELECT m.row, m.col, m.val * r.val AS val FROM m JOIN r ON r.row = m.row AND r.col = m.col")
 def mat_hadamard(spark, d):
     m = matrix(spark, d)
-    return m.hadamard(_half(m)).entries
+    return m.hadamard(_returned(spark, d, m.shape)).entries
 
 
 @query(f"WITH {M} SELECT row, col, 10 - ((val * 3 + 1) - 2) / 4 AS val FROM m")
