@@ -90,9 +90,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin and place of each item, in the given order.
 
-    N(g) is the number of open bins with gap g.  An item goes to the bin (an
-    open one, or a new one) for which the sum of N(g)**2 gets smallest; of
-    equal choices, to the smallest gap.  Full bins are closed and not counted.
+    N(g) is the number of open bins with gap g.  An item goes to the open bin
+    for which the sum of N(g)**2 gets smallest; of equal choices, to the
+    smallest gap.  A new bin is opened only if no open one has room: letting
+    it compete costs one per cent more bins.  Full bins are closed and not
+    counted.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -106,11 +108,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
             change[0] -= 1
             change[count[s:capacity] == 0] = never
             k = int(change.argmin())
-            best = int(change[k])
-        else:
-            best = never
-        fresh = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
-        if best == never or fresh < best:
+        if not len(change) or change[k] == never:
             gap, b = capacity, len(used)
             used.append(0)
         else:
@@ -125,44 +123,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, places
 
 
-def refit(lengths: np.ndarray, bins: np.ndarray, places: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packs the items of bins that stayed open once more, largest first, each where the gap fits best; kept if it needs fewer bins."""
-    fill = np.bincount(bins, lengths, minlength=bins.max() + 1).astype(np.int64)
-    loose = np.flatnonzero(fill[bins] < capacity)
-    if not len(loose):
-        return bins, places
-    order = loose[np.argsort(-lengths[loose], kind="stable")]
-    gaps = np.zeros(capacity + 1, np.int64)
-    where: list[list[int]] = [[] for _ in range(capacity + 1)]
-    fresh, n = [], 0
-    for s in lengths[order].tolist():
-        fits = np.flatnonzero(gaps[s:])
-        gap = s + int(fits[0]) if len(fits) else capacity
-        if len(fits):
-            b = where[gap].pop()
-            gaps[gap] -= 1
-        else:
-            b, n = n, n + 1
-        fresh.append((b, capacity - gap))
-        gaps[gap - s] += gap > s
-        if gap > s:
-            where[gap - s].append(b)
-    if n >= len(np.unique(bins[loose])):
-        return bins, places
-    bins, places = bins.copy(), places.copy()
-    for i, (b, place) in zip(order.tolist(), fresh, strict=True):
-        bins[i], places[i] = len(fill) + b, place
-    return bins, places
-
-
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...).
 
     A piece of full length is a sequence alone.  The others are dealt by hash
     into groups of about ``group`` pieces, so that a task holds a bounded
     number and no document or source decides a group's size; each group is
-    packed by :func:`sum_of_squares`, largest first.  A group leaves a few
-    dozen bins open, so that the loss is about one sequence in a thousand.
+    packed by :func:`sum_of_squares`, largest first; what a group leaves open
+    is about one sequence in a thousand.
     An empty table gives an empty table.
     """
     spark = cut.sparkSession
@@ -177,7 +145,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, scratch:
     def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].to_numpy(np.int64)
-        bins, places = refit(lengths, *sum_of_squares(lengths, capacity), capacity)
+        bins, places = sum_of_squares(lengths, capacity)
         rows["sequence_id"], rows["offset"] = bins * groups + key[0], places
         return rows.drop(columns="group")
 

@@ -495,7 +495,8 @@ def brute_sum_of_squares(lengths, capacity):
     bins = []
     for s in lengths:
         best = None
-        for gap in [*sorted({capacity - b for b in bins if s <= capacity - b < capacity and b > 0}), capacity]:
+        fits = sorted({capacity - b for b in bins if s <= capacity - b < capacity})
+        for gap in fits or [capacity]:
             trial = [capacity - b for b in bins]
             if gap < capacity:
                 trial.remove(gap)
