@@ -111,6 +111,10 @@ def strip(word: str) -> str:
 
 def readings(word: str, model: Model) -> list[str]:
     """What a word may say: its core, and the word restored from it."""
+    if len(word) > 4 * LONGEST:  # too long for a word once the marks around it are gone
+        word = word.strip(EDGE)
+        if len(word) > 4 * LONGEST:
+            return []
     core = strip(word)
     if not core:
         return []
@@ -118,7 +122,7 @@ def readings(word: str, model: Model) -> list[str]:
     out = [bare] if bare.isalpha() else []
     if core in model.toxic:
         return [core]
-    if ODD.search(core):
+    if len(core) <= LONGEST and ODD.search(core):
         out.append(model.restore(core))
     return out
 

@@ -611,8 +611,8 @@ def test_toxicity(spark):
     assert set(model.toxic) == {"grobian", "halunke", "schuft"}
     rows = toxicity.score(clashing(df), model).join(df.select("doc_id", held_out(F.col("doc_id")).alias("h")), "doc_id").where("h").collect()
     assert len(rows) > 100 and all((r["score"] >= 0.7) == bool(toxic[r["doc_id"]]) for r in rows)
-    disguised = ["so ein gr0bi4n hier", "g r o b i a n", "schuuuuft", "h@lunke!", "s.c.h.u.f.t", "$chuft", "GROBIAN", "h4lunk3"]
-    clean = ["ein schaft", "a b c d e", "12345 67890", "grob ian", *[t for t in EDGE_TEXTS]]
+    disguised = ["so ein gr0bi4n hier", "g r o b i a n", "schuuuuft", "h@lunke!", "s.c.h.u.f.t", "$chuft", "GROBIAN", "h4lunk3", "schuft" + "!" * 300]
+    clean = ["ein schaft", "a b c d e", "12345 67890", "grob ian", "a1" * 50_000, "-" * 50_000 + "x", *EDGE_TEXTS]
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, disguised + clean), model).collect()}
     assert all(got[i] >= 0.7 for i in range(len(disguised)))
     assert all(got[i] == pytest.approx(model.base) for i in range(len(disguised), len(got)))
