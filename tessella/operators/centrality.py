@@ -44,7 +44,7 @@ def eigenvector_centrality(edges: DataFrame, max_iter: int = 100, tol: float = 1
         size = math.sqrt(square or 0.0) or 1.0
         scratch.drop(now)
         now = raw.select("id", (F.col("y") / size).alias("x"))
-        if raw.agg(F.sum(F.abs(F.col("y") / size - F.col("old")))).first()[0] < tol * n:
+        if tol > 0 and raw.agg(F.sum(F.abs(F.col("y") / size - F.col("old")))).first()[0] < tol * n:
             break
     else:
         warnings.warn(f"no convergence in {max_iter} rounds", stacklevel=2)
@@ -65,7 +65,7 @@ def hub_auth(edges: DataFrame, max_iter: int = 100, tol: float = 1e-8, full: boo
         hh, aa = raw.agg(F.sum(F.col("h") * F.col("h")), F.sum(F.col("a") * F.col("a"))).first()
         hs, as_ = math.sqrt(hh or 0.0) or 1.0, math.sqrt(aa or 0.0) or 1.0
         now = raw.select("id", (F.col("h") / hs).alias("h"), (F.col("a") / as_).alias("x"))
-        if raw.agg(F.sum(F.abs(F.col("a") / as_ - F.col("old")))).first()[0] < tol * n:
+        if tol > 0 and raw.agg(F.sum(F.abs(F.col("a") / as_ - F.col("old")))).first()[0] < tol * n:
             break
     else:
         warnings.warn(f"no convergence in {max_iter} rounds", stacklevel=2)
@@ -99,10 +99,11 @@ def pagerank(edges: DataFrame, p_vec: DataFrame | None = None, x_start: DataFram
         got = _product(parts, now, "dst", "src")
         y = F.coalesce("y", F.lit(0.0)) * alpha + F.lit(alpha * lost) * F.col("p") + F.lit(1 - alpha) * F.col("p")
         raw = scratch.keep(base.join(now, "id").join(got, "id", "left").select("id", "dangling", F.col("x").alias("old"), y.alias("y")))
-        total, lost = raw.agg(F.sum("y"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("y"))), F.lit(0.0))).first()
+        # y sums to 1 but for rounding, so that the changes can be summed before it is scaled
+        total, lost, moved = raw.agg(F.sum("y"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("y"))), F.lit(0.0)), F.sum(F.abs(F.col("y") - F.col("old")))).first()
         lost /= total
         now = raw.select("id", (F.col("y") / total).alias("x"))
-        if raw.agg(F.sum(F.abs(F.col("y") / total - F.col("old")))).first()[0] < tol * n:
+        if moved < tol * n:
             break
     else:
         if warn:
