@@ -15,6 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a writing task gathers before it writes a row group; these tables are read once or twice.
+BLOCK = 16 << 20
+
 _LIVE: dict[str, SparkSession] = {}
 
 
@@ -50,7 +53,7 @@ class Scratch:
         """Writes ``df`` and returns the written table."""
         path = f"{self.root}/{self.made}"
         self.made += 1
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.option("compression", "zstd").option("parquet.block.size", BLOCK)
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
