@@ -33,7 +33,14 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def exact_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str):
     """A function from texts to ids, equal to ``tokenizers`` on the file at ``path``, several times as fast.
 
@@ -42,9 +49,7 @@ def encoder(path: str):
     and those on which the faster library gives up, go to ``tokenizers``.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [x["content"] for x in spec.get("added_tokens", [])]
@@ -58,7 +63,7 @@ def encoder(path: str):
                 return fast.encode_ordinary(text)
             except Exception:  # a backtracking limit of its pattern engine
                 pass
-        return exact.encode(text, add_special_tokens=False).ids
+        return exact_encoder(path).encode(text, add_special_tokens=False).ids
 
     return encode
 
