@@ -324,12 +324,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     parts = max(1, round(chars / 6 / PART_KEYS))
     buckets = max(1, parts // 2)
     sent = given(docs, "text").mapInPandas(_sender(k, parts), SENT)
-    # as many tasks as ranges, whatever the session's number of partitions
-    sent = sent.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    # some ranges to a task, one after the other, whatever the session's number of partitions
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = sent.repartition(max(-(-parts // 4), least), "part")
     counted = scratch.keep(sent.groupBy("part").applyInPandas(_counter(buckets), COUNTED))
     blocks_, tokens = counted.where("bucket < 0"), counted.where("bucket >= 0")
     members = scratch.keep(blocks_.mapInPandas(_members, "doc_id long, n_shingles long, set_id long"))
-    both = tokens.unionByName(blocks_.mapInPandas(_classes_of(buckets), COUNTED)).repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+    both = tokens.unionByName(blocks_.mapInPandas(_classes_of(buckets), COUNTED)).repartition(max(-(-buckets // 4), least), "bucket")
     classes = scratch.keep(both.groupBy("bucket").applyInPandas(_cutter(num, den), CLASS))
     linkable = classes.where("keys is not null")
     # groups: equal prefix and size
