@@ -7,7 +7,7 @@ p / (1 - p), p = r - floor(r), documents are ranked by their random odds
 u / (1 - u) over the inclusion odds, and taken from the lowest rank on until
 the source's target is reached.  u comes from the document's id alone, so that
 reruns agree.  Only whole documents are taken: the document that would pass
-the target is replaced by up to three that were left over, the one that comes
+the target is replaced by up to two that were left over, the one that comes
 nearest each time, as long as that comes nearer than none.
 """
 
@@ -22,7 +22,7 @@ from tessella.plans.store import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, FANOUT, BITS = 2, 1024, 52
-CLOSING = 3
+CLOSING = 2
 
 
 def _here() -> Column:
