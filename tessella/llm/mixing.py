@@ -7,8 +7,8 @@ p / (1 - p), p = r - floor(r), documents are ranked by their random odds
 u / (1 - u) over the inclusion odds, and taken from the lowest rank on until
 the source's target is reached.  u comes from the document's id alone, so that
 reruns agree.  Only whole documents are taken: the document that would pass
-the target is replaced by up to two that were left over, the one that comes
-nearest each time, as long as that comes nearer than none.
+the target is replaced by those that were left over, the one that comes
+nearest each time, until none comes nearer than none.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tessella.plans.store import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, FANOUT, BITS = 2, 1024, 52
-CLOSING = 2
+CLOSING = 2  # closing documents that the query's SQL follows; the operator itself has no such bound
 
 
 def _here() -> Column:
@@ -89,13 +89,7 @@ def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def _plan(sized: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Two tables with a row per source: where its sample ends, and the documents that close it.
-
-    The lowest rank left out is found by counts over ranges of u, range within
-    range, each step summed on the map side first; only the rows of the last
-    range, about one in a million, are ranked one by one.  So a source that
-    holds most rows is not gathered in any task.
-    """
+    """Two tables with a row per source: where its sample ends, and the documents that close it."""
     by_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     goal = scratch.keep(
         targets(by_source, most, scratch)
@@ -103,67 +97,116 @@ def _plan(sized: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, Dat
         .withColumn("rest", (F.col("target") - F.col("whole") * F.col("source_size")).cast("double"))
     )
     # within a source all p are equal, so that the ranks are those of u
-    state = goal.select("source", F.col("rest").alias("left"), F.lit(0).cast("long").alias("range"))
+    cut = _cut(sized, goal.select("source", F.col("rest").alias("left")), scratch)
+    cut = scratch.keep(goal.join(cut, goal["source"].eqNullSafe(cut["s"]), "left").drop("s"))
+    return cut, _closing(_sampled(sized, cut), scratch)
+
+
+def _cut(rows: DataFrame, goal: DataFrame, scratch: Scratch) -> DataFrame:
+    """source, left -> s, last, gap, range: the last row of the ranks whose sizes up to it are at most ``left``, what then remains of it, and the range of u it was sought in.
+
+    The lowest rank left out is found by counts over ranges of u, range within
+    range, each step summed on the map side first; only the rows of the last
+    range, about one in a million, are ranked one by one.  So a source that
+    holds most rows is not gathered in any task.
+    """
+    state = goal.select(F.col("source").alias("s"), "left", F.lit(0).cast("long").alias("range"))
     shift = BITS
     for _ in range(LEVELS):
         shift -= FANOUT.bit_length() - 1
-        inside = sized.join(state, sized["source"].eqNullSafe(state["source"])).where(F.shiftright("u", shift + FANOUT.bit_length() - 1) == F.col("range"))
-        counts = inside.groupBy(sized["source"], F.shiftright("u", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"))
-        upto = W.partitionBy("source").orderBy("bucket")
+        inside = rows.join(state, rows["source"].eqNullSafe(state["s"])).where(F.shiftright("u", shift + FANOUT.bit_length() - 1) == F.col("range"))
+        counts = inside.groupBy("s", F.shiftright("u", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"))
+        upto = W.partitionBy("s").orderBy("bucket")
         state = (
             counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
             .where(F.col("before") <= F.col("left"))
-            .groupBy("source")
-            .agg(F.max_by(F.struct((F.col("left") - F.col("before")).alias("left"), F.col("bucket").alias("range")), "bucket").alias("s"))
-            .select("source", "s.left", "s.range")
+            .groupBy("s")
+            .agg(F.max_by(F.struct((F.col("left") - F.col("before")).alias("left"), F.col("bucket").alias("range")), "bucket").alias("m"))
+            .select("s", "m.left", "m.range")
         )
         state = scratch.keep(state)
-    last = sized.join(state, sized["source"].eqNullSafe(state["source"])).where(F.shiftright("u", shift) == F.col("range"))
-    ranked = last.select(sized["source"], "u", "doc_id", "size", "left", F.sum("size").over(W.partitionBy(sized["source"]).orderBy("u", "doc_id", "size")).alias("sum"))
-    cut = (
-        ranked.groupBy("source")
+    last = rows.join(state, rows["source"].eqNullSafe(state["s"])).where(F.shiftright("u", shift) == F.col("range"))
+    ranked = last.select("s", "u", "doc_id", "size", "left", "range", F.sum("size").over(W.partitionBy("s").orderBy("u", "doc_id", "size")).alias("sum"))
+    return (
+        ranked.groupBy("s")
         .agg(
-            F.max(F.when(F.col("sum") <= F.col("left"), F.struct("u", "doc_id", "size"))).alias("last"),
+            F.max(F.when(F.col("sum") <= F.col("left"), _here())).alias("last"),
             F.max(F.when(F.col("sum") <= F.col("left"), F.col("sum"))).alias("sum"),
             F.first("left").alias("left"),
+            F.first("range").alias("range"),
         )
-        .select("source", "last", (F.col("left") - F.coalesce("sum", F.lit(0))).alias("gap"))
+        .select("s", "last", (F.col("left") - F.coalesce("sum", F.lit(0))).alias("gap"), "range")
     )
-    cut = scratch.keep(goal.join(cut.join(state.select("source", "range"), cut["source"].eqNullSafe(state["source"])).select(cut["source"].alias("s"), "last", "gap", "range"), goal["source"].eqNullSafe(F.col("s")), "left").drop("s"))
-    return cut, _closing(_sampled(sized, cut, shift), scratch)
 
 
 def _closing(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """source, extra: up to CLOSING documents that were left out and fill the gap, the nearest one each time, while that brings the source nearer to its target."""
-    left = scratch.keep(rows.where(~F.col("sampled") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select("source", "gap", _here().alias("doc")))
-    found = None
-    for _ in range(CLOSING):
-        if found is None:
-            now = left
-        else:
-            held = found.select(F.col("n"), F.col("extra"), F.aggregate("extra", F.lit(0).cast("long"), lambda total, x: total + x["size"]).alias("filled"))
-            now = left.join(held, left["source"].eqNullSafe(held["n"])).where(~F.array_contains("extra", F.col("doc"))).select("source", (F.col("gap") - F.col("filled")).alias("gap"), "doc")
-        off = F.abs(F.col("gap") - F.col("doc.size"))
-        near = now.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc")).alias("m")).select(F.col("source").alias("k"), F.col("m.doc").alias("doc"))
-        if found is None:
-            found = scratch.keep(near.select(F.col("k").alias("n"), F.array("doc").alias("extra")))
-        else:
-            more = found.join(near, found["n"].eqNullSafe(near["k"]), "left")
-            found = scratch.keep(more.select("n", F.when(F.col("doc").isNotNull(), F.array_append("extra", F.col("doc"))).otherwise(F.col("extra")).alias("extra")))
-    return found
-
-
-def _sampled(sized: DataFrame, cut: DataFrame, shift: int) -> DataFrame:
+    """n (the source), extra: the documents that were left out and fill the gap, the nearest one each time, as long as that brings the source nearer to its target.
+
+    While the nearest one fits, it is the largest that fits; so a round takes
+    all of them from the largest down to the first that no longer fits, as a
+    range of sizes (``size`` < x <= ``top``) and, of the size it ends in, the
+    ranks up to ``last``.  Each round leaves less than half of the gap.  A
+    document that passes the target ends its source.
+    """
+    left = scratch.keep(rows.where(~F.col("sampled") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select("source", "u", "doc_id", "size", "gap"))
+    state = left.groupBy("source").agg(F.first("gap").alias("gap")).select(F.col("source").alias("n"), "gap", F.lit(None).cast("long").alias("end"), F.lit(None).cast(left.select(_here().alias("x")).schema["x"].dataType).alias("last"))
+    rounds = []
+    while True:
+        beyond = F.col("end").isNull() | (F.col("size") < F.col("end")) | ((F.col("size") == F.col("end")) & (F.col("last").isNull() | (_here() > F.col("last"))))
+        now = left.drop("gap").join(state, left["source"].eqNullSafe(state["n"])).where(beyond & (F.col("size") < 2 * F.col("gap")))
+        sizes = now.groupBy("n", "size").agg(F.sum("size").alias("sum"), F.min(_here()).alias("first"), F.first("gap").alias("gap"))
+        fits = F.col("size") <= F.col("gap")
+        sizes = sizes.withColumn("upto", F.sum(F.when(fits, F.col("sum")).otherwise(0)).over(W.partitionBy("n").orderBy(F.desc("size"))))
+        part = F.struct("size", "first", (F.col("gap") - F.col("upto") + F.col("sum")).alias("room"))
+        step = (
+            sizes.groupBy("n")
+            .agg(
+                F.first("gap").alias("gap"),
+                F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), F.col("first.u"), F.col("first.doc_id"), F.col("size"), F.col("first"))).alias("near"),
+                F.max(F.when(fits, F.col("size"))).alias("top"),
+                F.max("upto").alias("all"),
+                F.max_by(part, F.when(fits & (F.col("upto") > F.col("gap")), F.col("size"))).alias("part"),
+            )
+            .where(F.col("near.off") < F.col("gap"))
+        )
+        over, fit = F.col("near.size") > F.col("gap"), F.floor(F.col("part.room") / F.col("part.size"))
+        step = step.select(
+            "n",
+            F.when(over, F.col("near.size")).otherwise(F.col("top")).alias("top"),
+            F.when(over, F.col("near.size")).otherwise(F.coalesce("part.size", F.lit(0))).cast("long").alias("end"),
+            F.when(over, F.col("near.first")).when(fit > 0, F.col("part.first")).alias("last"),
+            F.when(over, F.col("gap") - F.col("near.size")).when(F.col("part").isNull(), F.col("gap") - F.col("all")).when(fit > 0, F.col("part.room") - F.col("part.size")).otherwise(F.col("part.room")).alias("gap"),
+            F.when(~over & (fit > 1), F.col("part.room")).alias("room"),
+        )
+        step = scratch.keep(step)
+        found, several = step.agg(F.count("*"), F.count("room")).first()
+        if not found:
+            break
+        if several:  # of one size more than one fits: the lowest ranks of that size
+            same = step.where("room is not null").select("n", "end", "room")
+            of_size = now.select("source", "u", "doc_id", "size").join(same, F.col("source").eqNullSafe(same["n"]) & (F.col("size") == F.col("end"))).select("source", "u", "doc_id", "size")
+            cut = _cut(scratch.keep(of_size), same.select(F.col("n").alias("source"), F.col("room").alias("left")), scratch).where("last is not null").select("s", F.col("last").alias("to"), F.col("gap").alias("then"))
+            step = scratch.keep(step.join(cut, step["n"].eqNullSafe(cut["s"]), "left").withColumns({"gap": F.when(F.col("to").isNotNull(), F.col("then")).otherwise(F.col("gap")), "last": F.coalesce("to", "last")}).drop("s", "to", "then"))
+        rounds.append(step.select("n", F.struct("top", "end", "last").alias("part")))
+        state = step.where("gap > 0").select("n", "gap", "end", "last")
+    whole = rounds[0] if rounds else step.select("n", F.struct("top", "end", "last").alias("part"))
+    for more in rounds[1:]:
+        whole = whole.unionAll(more)
+    return whole.groupBy("n").agg(F.collect_list("part").alias("extra"))
+
+
+def _sampled(sized: DataFrame, cut: DataFrame) -> DataFrame:
     rows = sized.join(cut.withColumnRenamed("source", "s"), sized["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    bucket = F.shiftright("u", shift)
+    bucket = F.shiftright("u", BITS - LEVELS * (FANOUT.bit_length() - 1))
     taken = F.coalesce((bucket < F.col("range")) | ((bucket == F.col("range")) & (_here() <= F.col("last"))), F.lit(False))
     return rows.withColumn("sampled", taken & (F.col("size") > 0))
 
 
 def _copies(sized: DataFrame, cut: DataFrame, near: DataFrame) -> DataFrame:
     """All columns of ``sized`` and of the plan, and copies."""
-    rows = _sampled(sized, cut, BITS - LEVELS * (FANOUT.bit_length() - 1))
+    rows = _sampled(sized, cut)
     rows = rows.join(near, rows["source"].eqNullSafe(near["n"]), "left")
     # of equal rows that all match a closing one, each would count: their ids are equal, which the ids of a table are not
-    extra = F.coalesce(F.array_contains("extra", _here()), F.lit(False))
+    size = F.col("size")
+    extra = F.coalesce(F.exists("extra", lambda x: ((size > x["end"]) & (size <= x["top"])) | ((size == x["end"]) & (_here() <= x["last"]))), F.lit(False)) & ~F.coalesce("sampled", F.lit(False))
     return rows.withColumn("copies", F.col("whole") + F.when(F.col("sampled") | extra, 1).otherwise(0))

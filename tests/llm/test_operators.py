@@ -201,6 +201,18 @@ def test_mix_reaches_targets(spark):
     assert sorted((x["doc_id"], x["taken"]) for x in again) == sorted((x["doc_id"], x["taken"]) for x in rows)
 
 
+def test_mix_closes_a_gap_of_many_documents(spark):
+    """A long document in the middle of the ranks leaves a gap that takes many short ones."""
+    u = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:13]
+    long = sorted(range(101), key=u)[50]
+    texts = ["w " * (20_000 if i == long else 200) for i in range(101)] + ["w " * 100] * 120
+    rows = mixing.mix(docs(spark, texts, ["a"] * 101 + ["b"] * 120)).collect()
+    for s in "ab":
+        mine = [x for x in rows if x["source"] == s]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 100
+    assert sum(x["taken"] for x in rows if x["source"] == "a") == 87 * 200
+
+
 def test_mix_edges(spark):
     assert mixing.mix(empty(spark)).count() == 0
     assert [x["taken"] for x in mixing.mix(docs(spark, [None, ""], ["a", None])).collect()] == [0, 0]
