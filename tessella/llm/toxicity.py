@@ -3,7 +3,7 @@
 A disguised token is read as what a channel made of a word: letters written as
 digits or signs, stretched letters, marks between letters, letters set apart by
 spaces.  The token's lattice of possible letters is decoded by a Viterbi search
-that keeps the best paths, under a character model (trigrams of all documents)
+that keeps the best path of each state, under a character model (trigrams of all documents)
 mixed with the words of the labelled sample.  The restored words are scored.
 """
 
@@ -30,9 +30,11 @@ CHANNEL = {
 MARKS = set(".-_*~'`^:,;/\\=#%&\"?")
 EDGE = ".,;:!?\"'()[]{}<>«»…-–—*#%&~`/\\|_=+^$@"
 
-KEEP, LONGEST = 12, 32
+LONGEST, STEP = 32, 8  # runs of equal characters that are read at once; from one reading of a longer token to the next
 SUBSTITUTE, STRETCH, MARK, PLAIN = math.log(0.05), math.log(0.05), math.log(0.05), math.log(0.9)
 ODD = re.compile(r"[a-zß-öø-ÿа-яі0-9@$!|€£¡+(<][^\s]*[0-9@$!|€£¡+(<.\-_*~'`^:,;/\\=#%&\"?а-яі]|[0-9@$!|€£¡+(<а-яі][^\s]*[a-z]|([a-z])\1\1")
+TWICE = re.compile(r"([^\W\d_])\1")
+RUN = re.compile(r"(.)\1*", re.S)
 
 LEAST_DOCS, LEAST_P, Z = 4, 0.5, 1.96
 
@@ -49,11 +51,19 @@ class Model:
     def __post_init__(self):
         self.table = self.tri.tolist()
         self.seen: dict[str, str] = {}
+        self.begun: tuple[int, frozenset[str]] = (0, frozenset([""]))
+
+    def __getstate__(self):
+        return self.__dict__ | {"seen": {}, "begun": (0, frozenset([""]))}
+
+    def starts(self) -> frozenset[str]:
+        """All beginnings of known words, made anew once the words change."""
+        if self.begun[0] != len(self.words):
+            self.begun = len(self.words), frozenset(w[:k] for w in self.words for k in range(len(w) + 1)) | {""}
+        return self.begun[1]
 
     def restore(self, token: str) -> str:
         """The likeliest word behind a token; the token itself where no lattice applies."""
-        if len(token) > LONGEST:
-            return token
         if token not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
@@ -64,7 +74,7 @@ class Model:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of equal characters the strings it may stand for, with the channel's log probability."""
     out = []
-    for run in re.finditer(r"(.)\1*", token, re.S):
+    for run in RUN.finditer(token):
         c, n = run.group(1), run.end() - run.start()
         letters = CHANNEL.get(c, c if c.isalpha() else "")
         options = []
@@ -81,11 +91,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(token: str, model: Model) -> str:
-    """The best path through a token's lattice; KEEP paths live at a time, and at the end words of the sample are preferred."""
-    paths = [(0.0, "", 0, 0)]
+    """The best path through a token's lattice, and at the end words of the sample are preferred; the best path lives of each last two letters, and of each beginning of a known word."""
+    starts = model.starts()
+    paths = {(0, 0, ""): (0.0, "")}
     for options in lattice(token):
-        grown: dict[str, tuple[float, str, int, int]] = {}
-        for score, text, a, b in paths:
+        grown: dict[tuple[int, int, str | None], tuple[float, str]] = {}
+        for (a, b, start), (score, text) in paths.items():
             for piece, cost in options:
                 s, x, y = score + cost, a, b
                 for letter in piece:
@@ -93,13 +104,15 @@ def viterbi(token: str, model: Model) -> str:
                     s += model.table[x][y][k]
                     x, y = y, k
                 whole = text + piece
-                if whole not in grown or grown[whole][0] < s:
-                    grown[whole] = (s, whole, x, y)
-        paths = sorted(grown.values(), reverse=True)[:KEEP]
+                state = (x, y, whole if start is not None and whole in starts else None)
+                if state not in grown or grown[state] < (s, whole):
+                    grown[state] = (s, whole)
+        paths = grown
         if not paths:
             return token
+    ends = [(s, text, x, y) for (x, y, _), (s, text) in paths.items()]
     channel = lambda p: p[0] + model.table[p[2]][p[3]][0]
-    best = max(paths, key=lambda p: (max(channel(p), model.words[p[1]] + SUBSTITUTE * 3) if p[1] in model.words else channel(p), p[1]))
+    best = max(ends, key=lambda p: (max(channel(p), model.words[p[1]] + SUBSTITUTE * 3) if p[1] in model.words else channel(p), p[1]))
     return best[1] or token
 
 
@@ -110,27 +123,34 @@ def strip(word: str) -> str:
 
 
 def readings(word: str, model: Model) -> list[str]:
-    """What a word may say: its core, and the word restored from it."""
-    if len(word) > 4 * LONGEST:  # too long for a word once the marks around it are gone
-        word = word.strip(EDGE)
-        if len(word) > 4 * LONGEST:
-            return []
+    """What a word may say: its core, the words between the marks in it, and the word restored from it; of a core of more than LONGEST runs the toxic words in overlapping windows of it."""
+    if len(word) > LONGEST:  # what is longer than three is stretched all the same
+        word = re.sub(r"(.)\1{3,}", r"\1\1\1", word, flags=re.S)
     core = strip(word)
     if not core:
         return []
     bare = core.strip(EDGE)
-    out = [bare] if bare.isalpha() else []
+    out = [bare] if bare.isalpha() else [x for x in re.split(r"[\W\d_]+", bare) if len(x) > 2]
     if core in model.toxic:
         return [core]
-    if len(core) <= LONGEST and ODD.search(core):
+    runs = [m.start() for m in RUN.finditer(core)] if len(core) > LONGEST else []
+    if len(runs) > LONGEST:
+        if model.toxic:
+            for k in range(0, len(runs) - LONGEST + STEP, STEP):
+                piece = model.restore(core[runs[k] : runs[k + LONGEST] if k + LONGEST < len(runs) else len(core)])
+                out += [x for x in model.toxic if x in piece]
+    elif not bare.isalpha() or ODD.search(core) or (TWICE.search(core) and bare not in model.words):
         out.append(model.restore(core))
     return out
 
 
 def spelled(words: Words, first: int, last: int) -> list[tuple[int, int]]:
-    """Runs of three or more words of one character."""
-    length = words.end[first:last] - words.start[first:last]
-    single = np.r_[False, length == 1, False]
+    """Runs of three or more words of one character, of however many bytes."""
+    a, b = words.start[first:last], words.end[first:last]
+    if not len(a):
+        return []
+    rest = np.r_[0, np.cumsum((np.frombuffer(words.buf[a[0] : b[-1]], np.uint8) & 0xC0) == 0x80)]  # bytes that carry a character on
+    single = np.r_[False, b - a - rest[b - a[0]] + rest[a - a[0]] == 1, False]
     edge = np.flatnonzero(single[1:] != single[:-1])
     return [(first + a, first + b) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= 3]
 
@@ -149,8 +169,8 @@ def found_words(texts: list[str | None], model: Model, wanted: bool) -> list[set
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         mine = {x for k in set(which[a:b][use[a:b]].tolist()) for x in said[k]}
         for i, j in spelled(words, a, b):
-            joined = b"".join(words.text(k) for k in range(i, j)).decode("ascii", "replace")
-            for k in range(0, len(joined), 8):  # overlapping pieces, so that any word of a run is whole in one
+            joined = b"".join(words.text(k) for k in range(i, j)).decode("utf-8", "replace")
+            for k in range(0, len(joined), STEP):  # overlapping pieces, so that any word of a run is whole in one
                 piece = model.restore(joined[k : k + LONGEST])
                 mine.update(x for x in model.toxic if x in piece) if wanted else mine.add(piece)
         out.append(mine)

@@ -633,6 +633,21 @@ def test_toxicity(spark):
     assert [r["score"] for r in toxicity.score(docs(spark, ["x"]), none).collect()] == [0.5]
 
 
+def test_toxicity_reads_every_token(spark):
+    df, labels, _, _ = labelled_corpus(spark)
+    model = toxicity.fit(df, labels)
+    noise = "qx7-zk3_vw9.jy5~"
+    disguised = ["sch" + "u" * 60 + "ft", "sch" + "u" * 4000 + "ft", "ggrroobbiiaann", "alpha,grobian,beta", noise * 6 + "schuft" + noise * 6, noise * 4 + "gr0bi4n" + noise * 4, "/".join(["alpha", "schuft"] * 10)]
+    clean = [noise * 12, "/".join(WORDS), "aallpphhaa", "alpha," * 30, "q1w2e3" * 2000, "".join(chr(97 + i * i % 26) for i in range(3000)), "x" * 50_000, "-x" * 20_000]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, disguised + clean), model).collect()}
+    assert [i for i in range(len(disguised)) if got[i] < 0.7] == []
+    assert [i for i in range(len(disguised), len(got)) if got[i] != pytest.approx(model.base)] == []
+    model.toxic["crétin"] = 0.9
+    model.words["crétin"] = -5.0
+    assert toxicity.found_words(["quel c r é t i n va", "c r e"], model, True) == [{"crétin"}, set()]
+    assert toxicity.readings("crétiiin", model)[-1] == "crétin"
+
+
 def test_quality(spark):
     df, labels, _, good = labelled_corpus(spark)
     model = quality.fit(df, labels)
