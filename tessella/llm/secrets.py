@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a value of 16 or more letters, digits and signs that has both
-letters and digits or is assigned to a telling name, or a value that a
-provider's prefix marks.  The forest sees its length, how likely its character
+A candidate is any value that is assigned to a telling name or stands before
+the host of a URL (user:value@host), and a value of 16 or more letters, digits
+and signs that has both letters and digits or that a provider's prefix marks; a
+leading NAME= is not part of it.  The forest sees its length, how likely its character
 transitions are in words, how much of it a dictionary covers, the path it
 comes from and the words beside it.  It is trained on labelled findings, given
 by the caller or made by rule (:func:`labelled_findings`).
@@ -15,6 +16,7 @@ import json
 import math
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,6 +41,10 @@ TEST_PATHS = ["test", "example", "fixture", "mock", "doc"]
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}(?![A-Za-z0-9+/_=.@-])")
 ASSIGNED = re.compile(r"(?:" + "|".join(TELLING) + r")[\w-]*[\"']?\s*(?:=|:|=>)\s*[\"']?$", re.I)
+NAMED = re.compile(r"(?:" + "|".join(TELLING) + r")[\w-]{0,40}[\"']?\s{0,40}(?:=>|=|:)\s{0,40}", re.I)
+VALUE = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|((?:(?![;,&][\w-]+[=:])\S)+)")
+LOGIN = re.compile(r"://[^\s/:@]{0,80}:$")
+LOGINS = re.compile(r"://[^\s/:@]{0,80}:([^\s/@]+)@")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = ("length", "transitions", "dictionary", "digits", "upper", "entropy", "signs", "repeats", "hex", "prefix", "assigned", "telling", "against", "path", "quoted")
@@ -99,7 +105,7 @@ def describe(value: str, before: str, after: str, path: str | None, vocabulary:
         max(len(m.group(0)) for m in re.finditer(r"(.)\1*", value)) / n,
         float(all(c in "0123456789abcdef" for c in low)),
         float(value.startswith(tuple(PREFIXES))),
-        float(bool(ASSIGNED.search(before))),
+        float(bool(ASSIGNED.search(before)) or (after[:1] == "@" and bool(LOGIN.search(before)))),
         float(any(name in w for w in near for name in TELLING)),
         float(any(w in AGAINST for w in near)),
         float(any(w in path for w in TEST_PATHS)),
@@ -109,17 +115,39 @@ def describe(value: str, before: str, after: str, path: str | None, vocabulary:
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind of what may be a secret in a whole text."""
-    out = []
+    given_to: dict[int, int] = {}
+    for m in NAMED.finditer(text):
+        v = VALUE.match(text, m.end())
+        if not v:
+            continue
+        start, end = v.span(v.lastindex)
+        if v.lastindex == 3:
+            value = text[start:end]
+            start += len(value) - len(value.lstrip("\"'([{"))
+            end -= len(value) - len(value.rstrip(".,;:\"')]}"))
+        if start < end and text[start:end].strip():
+            given_to[start] = end
+    for m in LOGINS.finditer(text):
+        given_to[m.start(1)] = m.end(1)
+    out, last = [], 0
+    for start, end in sorted(given_to.items()):
+        if start >= last:
+            out.append((start, end, "prefix" if text.startswith(tuple(PREFIXES), start) else "assigned"))
+            last = end
+    starts, ends = [a for a, _, _ in out], [b for _, b, _ in out]
     for m in CANDIDATE.finditer(text):
         value = m.group(0).rstrip(".-_/")
-        if len(value) < 16:
+        name = value.rstrip("=").rfind("=") + 1
+        start, value = m.start() + name, value[name:]
+        k = bisect_right(ends, start)
+        if len(value) < 16 or (k < len(starts) and starts[k] < start + len(value)):
             continue
         prefixed = value.startswith(tuple(PREFIXES))
-        assigned = bool(ASSIGNED.search(text[max(0, m.start() - CONTEXT) : m.start()]))
         both = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+        assigned = bool(ASSIGNED.search(text[max(0, start - CONTEXT) : start]))
         if prefixed or assigned or both:
-            out.append((m.start(), m.start() + len(value), "prefix" if prefixed else "assigned" if assigned else "mixed"))
-    return out
+            out.append((start, start + len(value), "prefix" if prefixed else "assigned" if assigned else "mixed"))
+    return sorted(out)
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -168,6 +196,45 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
         else:
             value = "_".join(word() for _ in range(r.randint(3, 5))) + f"_{r.randint(0, 99)}"
         out.append((value if len(value) >= 16 else value + "0" * (16 - len(value)), before, after, path, 0))
+    return out + short_findings(n // 2, seed + 1)
+
+
+def short_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
+    """The same for what stands after a telling name or in a URL and is short or has signs: passwords are secrets; words, names, numbers and placeholders are not."""
+    r = random.Random(seed)
+    letters, digits, signs = ALPHABET + ALPHABET.upper(), "0123456789", "!@#$%^&*?+-_."
+    text = lambda k, of: "".join(r.choice(of) for _ in range(k))
+    words = "the this of is was be see note new next last first value field page user name none null true false required change house water under about people other small order group number system table author title section between please enter your here required optional string default secret password token".split()
+    prose = lambda: " ".join(r.choice(words) for _ in range(r.randint(2, 5)))
+
+    def mixed(k: int, of: str) -> str:
+        return "".join(r.sample(text(k - 2, of) + r.choice(digits) + r.choice(letters), k))
+
+    secret = [
+        lambda: mixed(r.randint(6, 15), letters + digits),
+        lambda: mixed(r.randint(6, 24), letters + digits + signs),
+        lambda: r.choice(words).title() + text(r.randint(1, 4), digits) + text(r.randint(1, 2), signs),
+        lambda: r.choice(words).replace("a", "@").replace("o", "0").replace("s", "$").title() + text(r.randint(1, 3), digits + signs) + r.choice(digits) + r.choice("!#x"),
+    ]
+    harmless = [
+        lambda: r.choice(words),
+        lambda: r.choice(words).title(),
+        lambda: text(r.randint(1, 4), digits),
+        lambda: r.choice(["<secret>", "********", "...", "${TOKEN}", "{{token}}", "<token>", "os.environ", "None", "string,", "xxxxxx", "changeme", "get_token()", "self.token"]),
+        prose,
+    ]
+    out = []
+    for i in range(n):
+        path = r.choice(["src/app.py", "config/settings.yml", "web", "src3", "deploy/env", "forum", "notes.txt"])
+        if i % 2 and r.random() < 0.2:
+            out.append((r.choice(secret)().replace("@", "!"), f"{prose()} {r.choice(['https', 'postgres', 'amqp'])}://{r.choice(words)}:", f"@{r.choice(words)}.net {prose()}", path, 1))
+            continue
+        name = r.choice(TELLING)
+        name = r.choice([name, name.upper(), name.title()])
+        before, after = f"{prose()} {name}{r.choice([' = ', '=', ': ', ':', ' => ', '=' + chr(34), ' = ' + chr(34), ': ' + chr(39)])}", " " + prose()
+        if before[-1] in "\"'":
+            after = before[-1] + after
+        out.append((r.choice(secret if i % 2 else harmless)(), before, after, path, i % 2))
     return out
 
 
