@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.degree import node_count
 from tessella.operators.edges import node_labels, weighted
+from tessella.plans.layout import Layout
 from tessella.plans.store import Scratch
 
 
@@ -26,9 +27,9 @@ def _nodes(edges: DataFrame, full: bool) -> tuple[DataFrame, int]:
     return nodes, nodes.count()
 
 
-def _product(edges: DataFrame, x: DataFrame, by: str, at: str) -> DataFrame:
-    """id, y: the sum of w * x[at] over a node's edges, nodes without edges left out."""
-    return edges.join(x.select(F.col("id").alias(at), "x"), at).groupBy(F.col(by).alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+def _product(edges: Layout, x: DataFrame, by: str) -> DataFrame:
+    """id, y: the sum of w * x over a node's edges, x being of their other end; nodes without edges left out.  Sums are begun where the edges lie."""
+    return edges.join(x.select("id", "x")).groupBy(F.col(by).alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
 
 
 def eigenvector_centrality(edges: DataFrame, max_iter: int = 100, tol: float = 1e-8, full: bool = True) -> tuple[float, DataFrame]:
@@ -36,10 +37,11 @@ def eigenvector_centrality(edges: DataFrame, max_iter: int = 100, tol: float = 1
     scratch = Scratch(edges.sparkSession, "eigen")
     edges = _edges(edges, scratch)
     nodes, n = _nodes(edges, full)
+    by_dst = Layout(edges, "dst", scratch)
     now = scratch.keep(nodes.select("id", F.lit(1.0 / math.sqrt(max(1, n))).alias("x")))
     value = 0.0
     for _ in range(max_iter):
-        raw = scratch.keep(now.join(_product(edges, now, "src", "dst"), "id", "left").select("id", F.col("x").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")))
+        raw = scratch.keep(now.join(_product(by_dst, now, "src"), "id", "left").select("id", F.col("x").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")))
         value, square = raw.agg(F.sum(F.col("old") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
         size = math.sqrt(square or 0.0) or 1.0
         scratch.drop(now)
@@ -56,10 +58,11 @@ def hub_auth(edges: DataFrame, max_iter: int = 100, tol: float = 1e-8, full: boo
     scratch = Scratch(edges.sparkSession, "hits")
     edges = _edges(edges, scratch)
     nodes, n = _nodes(edges, full)
+    by_src, by_dst = Layout(edges, "src", scratch), Layout(edges, "dst", scratch)
     now = scratch.keep(nodes.select("id", F.lit(0.0).alias("h"), F.lit(1.0 / math.sqrt(max(1, n))).alias("x")))
     for _ in range(max_iter):
-        hubs = scratch.keep(_product(edges, now, "src", "dst"))
-        fresh = _product(edges, hubs.select("id", F.col("y").alias("x")), "dst", "src")
+        hubs = scratch.keep(_product(by_dst, now, "src"))
+        fresh = _product(by_src, hubs.select("id", F.col("y").alias("x")), "dst")
         raw = now.select("id", F.col("x").alias("old")).join(hubs.withColumnRenamed("y", "h"), "id", "left").join(fresh, "id", "left")
         raw = scratch.keep(raw.select("id", "old", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("y", F.lit(0.0)).alias("a")))
         hh, aa = raw.agg(F.sum(F.col("h") * F.col("h")), F.sum(F.col("a") * F.col("a"))).first()
@@ -90,13 +93,13 @@ def pagerank(edges: DataFrame, p_vec: DataFrame | None = None, x_start: DataFram
         return given.select("id", (F.col("x") / float(total)).alias(name))
 
     out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("out"))
-    parts = scratch.keep(edges.join(out.select(F.col("id").alias("src"), "out"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("w")))
+    parts = Layout(edges.join(out.select(F.col("id").alias("src"), "out"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("w")), "src", scratch)
     base = nodes.join(vector(p_vec, "p"), "id", "left").join(out.select("id", F.lit(False).alias("dangling")), "id", "left")
     base = scratch.keep(base.select("id", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("dangling", F.lit(True)).alias("dangling")))
     now = scratch.keep(vector(x_start, "x"))
     lost = now.join(base, "id").agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("x"))), F.lit(0.0))).first()[0]
     for _ in range(max_iter):
-        got = _product(parts, now, "dst", "src")
+        got = _product(parts, now, "dst")
         y = F.coalesce("y", F.lit(0.0)) * alpha + F.lit(alpha * lost) * F.col("p") + F.lit(1 - alpha) * F.col("p")
         raw = scratch.keep(base.join(now, "id").join(got, "id", "left").select("id", "dangling", F.col("x").alias("old"), y.alias("y")))
         # y sums to 1 but for rounding, so that the changes can be summed before it is scaled

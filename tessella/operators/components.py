@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.reducers import uniform
 from tessella.operators.edges import node_labels
 from tessella.operators.stars import star_components
+from tessella.plans.layout import Layout
 from tessella.plans.rank import with_rank
 from tessella.plans.store import Scratch
 
@@ -32,9 +33,9 @@ def _loop(state: DataFrame, step, max_steps: int, scratch: Scratch, what: str) -
         now, k = fresh, k + 1
 
 
-def _neighbours(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def _neighbours(by_dst: Layout, labels: DataFrame) -> DataFrame:
     """id, near: the least label among the neighbours."""
-    return edges.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
+    return by_dst.join(labels.select("id", "label")).groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
 
 
 def bfs_lp(edges: DataFrame, randomize: bool = False, shortcut: bool = False, max_steps: int = 100) -> tuple[int, DataFrame]:
@@ -46,11 +47,11 @@ def bfs_lp(edges: DataFrame, randomize: bool = False, shortcut: bool = False, ma
     """
     scratch = Scratch(edges.sparkSession, "lp")
     edges = scratch.keep(edges.select("src", "dst"))
-    nodes = node_labels(edges)
+    nodes, by_dst = node_labels(edges), Layout(edges, "dst", scratch)
     state = with_rank(nodes, uniform("id", seed=1), "id", name="label", scratch=scratch).select("id", "label") if randomize else nodes.withColumn("label", F.col("id"))
 
     def step(now: DataFrame) -> DataFrame:
-        out = now.join(_neighbours(edges, now), "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("fresh"))
+        out = now.join(_neighbours(by_dst, now), "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("fresh"))
         if not shortcut:
             return out.select("id", F.col("fresh").alias("label"))
         least = out.groupBy("label").agg(F.min("fresh").alias("least"))
@@ -71,10 +72,11 @@ def fast_sv(edges: DataFrame, max_steps: int = 100) -> tuple[int, DataFrame]:
     """Hooking and pointer jumping: each node and its parent take the least grandparent among the neighbours, then jump to their parent's parent."""
     scratch = Scratch(edges.sparkSession, "sv")
     edges = scratch.keep(edges.select("src", "dst"))
+    by_dst = Layout(edges, "dst", scratch)
 
     def step(now: DataFrame) -> DataFrame:
         up = now.join(now.select(F.col("id").alias("label"), F.col("label").alias("grand")), "label").select("id", "label", "grand")
-        near = edges.join(up.select(F.col("id").alias("dst"), "grand"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("grand").alias("near"))
+        near = by_dst.join(up.select("id", "grand")).groupBy(F.col("src").alias("id")).agg(F.min("grand").alias("near"))
         own = up.join(near, "id", "left").select("id", "label", F.least("label", "grand", F.coalesce("near", "grand")).alias("m"))
         hooked = own.select("id", "m").unionByName(own.select(F.col("label").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("label"))
         return hooked.join(hooked.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.least("label", "next").alias("label"))
@@ -89,7 +91,8 @@ def lps(edges: DataFrame, max_steps: int = 100) -> tuple[int, DataFrame]:
     held = {"edges": first}
 
     def step(now: DataFrame) -> DataFrame:
-        out = now.join(_neighbours(held["edges"], now), "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
+        near = held["edges"].join(now.select(F.col("id").alias("dst"), F.col("label").alias("near")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("near").alias("near"))
+        out = now.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
         out = scratch.keep(out)
         to = out.select(F.col("id").alias("src"), F.col("label").alias("a")), out.select(F.col("id").alias("dst"), F.col("label").alias("b"))
         moved = first.join(to[0], "src").join(to[1], "dst").where("a <> b")

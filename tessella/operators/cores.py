@@ -8,27 +8,40 @@ from pyspark.sql.window import Window as W
 
 from tessella.operators.degree import dense, node_count
 from tessella.operators.edges import node_labels
+from tessella.plans.layout import Layout
 from tessella.plans.store import Scratch
 
 
-def _peel(edges: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """What is left of the edges when nodes of degree below ``k`` are taken away until there is none, and the rounds."""
-    rounds = 0
-    while True:
-        rounds += 1
-        weak = scratch.keep(edges.groupBy("src").count().where(F.col("count") < k).select("src"))
-        if weak.isEmpty():
-            return edges, rounds
-        kept = edges.join(weak, "src", "left_anti").join(weak.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst")
-        edges = scratch.keep(kept)
+class _Peeling:
+    """Degrees that fall as nodes are taken away; the edges stay where they lie, and each round only the nodes that it takes away meet them."""
+
+    def __init__(self, edges: DataFrame, scratch: Scratch):
+        self.scratch = scratch
+        self.by_src = Layout(edges, "src", scratch)
+        self.state = scratch.keep(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")))
+        self.rounds = 0
+
+    def down_to(self, k: int) -> bool:
+        """Takes away nodes of degree below ``k`` until there is none; whether any node is left."""
+        while True:
+            self.rounds += 1
+            weak = self.state.where(F.col("degree") < k).select("id")
+            if weak.isEmpty():
+                return not self.state.isEmpty()
+            lost = self.by_src.join(weak).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("lost"))
+            kept = self.state.where(F.col("degree") >= k).join(lost, "id", "left").select("id", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree"))
+            fresh = self.scratch.keep(kept)
+            self.scratch.drop(self.state)
+            self.state = fresh
 
 
 def k_core(edges: DataFrame, k: int, full: bool = True) -> DataFrame:
     """id, in_core: for all labels from 0 to the greatest, or those that occur."""
     scratch = Scratch(edges.sparkSession, "core")
     start = scratch.keep(edges.select("src", "dst"))
-    left, _ = _peel(start, k, scratch)
-    found = left.select(F.col("src").alias("id")).distinct().withColumn("in_core", F.lit(True))
+    peeling = _Peeling(start, scratch)
+    peeling.down_to(k)
+    found = peeling.state.select("id", F.lit(True).alias("in_core"))
     if full:
         return dense(found, node_count(start), in_core=k <= 0)
     return node_labels(start).join(found, "id", "left").select("id", F.coalesce("in_core", F.lit(k <= 0)).alias("in_core"))
@@ -37,18 +50,16 @@ def k_core(edges: DataFrame, k: int, full: bool = True) -> DataFrame:
 def k_core_decomp(edges: DataFrame, k_max: int = 0) -> tuple[int, int, DataFrame]:
     """(rounds, last k, (id, core)): peels for k = 1, 2, ... until nothing is left or k passes ``k_max``."""
     scratch = Scratch(edges.sparkSession, "core")
-    left = scratch.keep(edges.select("src", "dst"))
-    core = node_labels(left).withColumn("core", F.lit(1).cast("long"))
-    core, rounds, k = scratch.keep(core), 0, 1
+    start = scratch.keep(edges.select("src", "dst"))
+    peeling = _Peeling(start, scratch)
+    core, k = scratch.keep(node_labels(start).withColumn("core", F.lit(1).cast("long"))), 1
     while True:
-        left, n = _peel(left, k + 1, scratch)
-        rounds += n
-        if left.isEmpty():
-            return rounds, k, core
+        if not peeling.down_to(k + 1):
+            return peeling.rounds, k, core
         k += 1
         if k_max and k > k_max:
-            return rounds, k, core
-        alive = left.select(F.col("src").alias("id")).distinct().withColumn("alive", F.lit(True))
+            return peeling.rounds, k, core
+        alive = peeling.state.select("id", F.lit(True).alias("alive"))
         fresh = scratch.keep(core.join(alive, "id", "left").select("id", F.when(F.col("alive"), F.lit(k).cast("long")).otherwise(F.col("core")).alias("core")))
         scratch.drop(core)
         core = fresh
@@ -62,6 +73,7 @@ def core_number(edges: DataFrame, max_iter: int | None = None) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "core")
     edges = scratch.keep(edges.select("src", "dst"))
+    by_dst = Layout(edges, "dst", scratch)
     now = scratch.keep(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")))
     k, before = 0, None
     while max_iter is None or k < max_iter:
@@ -69,8 +81,8 @@ def core_number(edges: DataFrame, max_iter: int | None = None) -> DataFrame:
         if total == before:
             break
         before, k = total, k + 1
-        seen = edges.join(now.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").join(now.select(F.col("id").alias("src"), "core"), "src")
-        counts = seen.groupBy(F.col("src").alias("id"), F.least("c", "core").alias("c")).agg(F.count("*").alias("n"))
+        seen = by_dst.join(now.select("id", F.col("core").alias("c"))).groupBy(F.col("src").alias("id"), "c").agg(F.count("*").alias("n"))
+        counts = seen.join(now, "id").groupBy("id", F.least("c", "core").alias("c")).agg(F.sum("n").alias("n"))
         atleast = F.sum("n").over(W.partitionBy("id").orderBy(F.desc("c")))
         fresh = scratch.keep(counts.withColumn("m", atleast).groupBy("id").agg(F.max(F.least("c", "m")).alias("core")))
         scratch.drop(now)

@@ -91,13 +91,13 @@ def full(spark: SparkSession, value: int | float | bool, m: int, n: int) -> Arra
     return Array2D(spark.range(m).select(F.col("id").alias("i"), F.array_repeat(F.lit(value).cast(SQL[kind]), n).alias("vals")), (m, n), kind)
 
 
-def random(spark: SparkSession, low: float, high: float, m: int, n: int, dtype: str = "int64", seed: int = 0) -> Array2D:
+def random(spark: SparkSession, low: float, high: float, m: int, n: int, dtype: str = "int64", seed: int = 0, draw: Callable[..., Column] = uniform) -> Array2D:
     """Whole numbers from low to high - 1, numbers between low and high, or coin tosses."""
     if high < low:
         raise ValueError(f"{high} is below {low}")
-    u = lambda j: uniform("id", j, seed=seed)
-    draw = {"int64": lambda j: (F.floor(u(j) * (high - low)) + low).cast("bigint"), "float64": lambda j: u(j) * (high - low) + low, "bool": lambda j: u(j) < 0.5}[dtype]
-    return Array2D(spark.range(m).select(F.col("id").alias("i"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw).alias("vals")), (m, n), dtype)
+    u = lambda j: draw("id", j, seed=seed)
+    cell = {"int64": lambda j: (F.floor(u(j) * (high - low)) + low).cast("bigint"), "float64": lambda j: u(j) * (high - low) + low, "bool": lambda j: u(j) < 0.5}[dtype]
+    return Array2D(spark.range(m).select(F.col("id").alias("i"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell).alias("vals")), (m, n), dtype)
 
 
 def reshape(flat: DataFrame, shape: tuple[int, int], dtype: str = "int64", size: int | None = None) -> Array2D:

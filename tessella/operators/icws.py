@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def sets_from_offsets(spark, offsets: list[int], elements: list[int], weights: l
     return spark.createDataFrame(rows, "set_id long, elt long, weight double")
 
 
-def minhash(sets: DataFrame, hashes: int, seed: int = 0, zbit: bool = False) -> DataFrame:
+def minhash(sets: DataFrame, hashes: int, seed: int = 0, zbit: bool = False, draw: Callable[..., Column] = uniform) -> DataFrame:
     """set_id, hash, elt[, t]: for each hash the element of least key (Ioffe, 2010).
 
     The chance that two sets agree on a hash is their weighted Jaccard
@@ -31,7 +33,7 @@ def minhash(sets: DataFrame, hashes: int, seed: int = 0, zbit: bool = False) ->
     partial and final aggregation.
     """
     each = sets.where("weight > 0").withColumn("hash", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
-    u = lambda k: uniform("elt", "hash", F.lit(k), seed=seed)
+    u = lambda k: draw("elt", "hash", F.lit(k), seed=seed)
     r, c, beta = -F.log(u(0) * u(1)), -F.log(u(2) * u(3)), u(4)
     t = F.floor(F.log("weight") / r + beta)
     key = F.log(c) - r * (t - beta) - r

@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.reducers import uniform
 from tessella.operators.edges import node_labels
+from tessella.plans.rank import with_rank
 from tessella.plans.store import Scratch
 
 
-def maximal_independent_set(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """id, member: the set that a walk through the nodes by ``order`` (id, place; else by id) gives.
+def maximal_independent_set(edges: DataFrame, order: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """id, member: the set that a walk through the nodes by ``order`` (id, place) gives, else by a random permutation.
 
     In each round all nodes that come before all their open neighbours enter,
-    and their neighbours leave.
+    and their neighbours leave; in a random order there are about as many
+    rounds as the logarithm of the nodes.  An order must give each node one
+    place, and no two nodes the same.
     """
     scratch = Scratch(edges.sparkSession, "mis")
     edges = scratch.keep(edges.where("src <> dst").select("src", "dst"))
     nodes = node_labels(edges)
-    placed = scratch.keep(nodes.join(order.select("id", "place"), "id") if order is not None else nodes.withColumn("place", F.col("id")))
+    if order is None:
+        placed = scratch.keep(with_rank(nodes, uniform("id", seed=seed), "id", name="place", scratch=scratch))
+    else:
+        placed = scratch.keep(nodes.join(order.select("id", "place"), "id", "left"))
+        n, known, places = placed.agg(F.count("*"), F.count("place"), F.countDistinct("place")).first()
+        if n != known or n != places or n != nodes.count():
+            raise ValueError("the order is no permutation of the nodes")
     a, b = placed.select(F.col("id").alias("src"), F.col("place").alias("ps")), placed.select(F.col("id").alias("dst"), F.col("place").alias("pd"))
     live = scratch.keep(edges.join(a, "src").join(b, "dst"))
     open_nodes, inside = placed.select("id"), None

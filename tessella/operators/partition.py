@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.reducers import uniform
@@ -21,9 +23,9 @@ def is_refinement(table: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return per_class.agg(F.coalesce(F.bool_and("one"), F.lit(True)).alias("refines"))
 
 
-def random_permutation(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+def random_permutation(spark: SparkSession, n: int, seed: int = 0, draw: Callable[..., Column] = uniform) -> DataFrame:
     """idx, value: the ranks of hashed random numbers."""
-    return with_rank(spark.range(n), uniform("id", seed=seed), "id", name="value").select(F.col("id").alias("idx"), "value")
+    return with_rank(spark.range(n), draw("id", seed=seed), "id", name="value").select(F.col("id").alias("idx"), "value")
 
 
 def is_permutation(table: DataFrame, value: str = "value") -> DataFrame:

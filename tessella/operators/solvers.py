@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.matrix import SparseMatrix
+from tessella.plans.layout import Layout
 from tessella.plans.store import Scratch
 
 EPS, FMAX = sys.float_info.epsilon, sys.float_info.max
@@ -47,14 +48,14 @@ def norm(v: DataFrame) -> float:
 
 
 def matvec_from_coo(entries: DataFrame, shape: tuple[int, int] | None = None) -> Operator:
-    """The product with a matrix of entries (row, col[, val]); values default to 1."""
+    """The product with a matrix of entries (row, col[, val]); values default to 1.  The entries are laid out by column once, so that products move vectors only."""
     matrix = SparseMatrix.from_coo(entries, shape)
     if matrix.shape[0] != matrix.shape[1]:
         raise ValueError(f"a square matrix is needed, not {matrix.shape}")
+    by_column = Layout(matrix.entries.select(F.col("row").alias("dst"), F.col("col").alias("src"), "val"), "src", Scratch(entries.sparkSession, "matvec"))
 
     def apply(x: DataFrame) -> DataFrame:
-        met = matrix.entries.join(x.select(F.col("id").alias("col"), "x"), "col")
-        out = met.groupBy(F.col("row").alias("id")).agg(F.sum(F.col("val") * F.col("x")).alias("y"))
+        out = by_column.join(x.select("id", "x")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("val") * F.col("x")).alias("y"))
         return x.select("id").join(out, "id", "left").select("id", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("x"))
 
     return apply

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.operators.degree import dense, node_count
 from tessella.operators.edges import node_labels
 from tessella.plans.fixpoint import fixpoint
+from tessella.plans.layout import Layout
 from tessella.plans.store import Scratch
 
 COMPACT = 16
@@ -25,16 +26,16 @@ def _sources(spark, source) -> DataFrame:
 def _levels(edges: DataFrame, source, depth_limit: int | None, scratch: Scratch) -> DataFrame:
     """id, dist, parent of the nodes reached; of several parents on the level before, the greatest.
 
-    Only the frontier is joined with the edges; what was seen before is
-    excluded by an anti-join.
+    Only the frontier is joined with the edges, which lie by source; what was
+    seen before is excluded by an anti-join.
     """
-    edges = scratch.keep(edges.select("src", "dst"))
+    by_src = Layout(scratch.keep(edges.select("src", "dst")), "src", scratch)
     frontier = scratch.keep(_sources(edges.sparkSession, source).select("id", F.lit(0).cast("long").alias("dist"), F.col("id").alias("parent")))
     levels, depth = [frontier], 0
     while depth_limit is None or depth < depth_limit:
         depth += 1
         seen = reduce(DataFrame.unionByName, levels)
-        fresh = frontier.select(F.col("id").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("parent"))
+        fresh = by_src.join(frontier.select("id")).groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("parent"))
         frontier = scratch.keep(fresh.join(seen, "id", "left_anti").select("id", F.lit(depth).cast("long").alias("dist"), "parent"))
         if frontier.isEmpty():
             break
@@ -75,11 +76,12 @@ def sssp_bf(edges: DataFrame, source: int, full: bool = True) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "sssp")
     edges = scratch.keep(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
+    by_src = Layout(edges, "src", scratch)
     start = _sources(edges.sparkSession, source).select("id", F.col("id").alias("parent"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
 
     def relax(state: DataFrame, _: int) -> DataFrame:
-        lead = state.where("fresh").select(F.col("id").alias("src"), F.col("dist").alias("d"))
-        ways = lead.join(edges, "src").select(F.col("dst").alias("id"), F.col("src").alias("parent"), (F.col("d") + F.col("w")).alias("dist"), F.lit(True).alias("fresh"))
+        lead = state.where("fresh").select("id", F.col("dist").alias("d"))
+        ways = by_src.join(lead).select(F.col("dst").alias("id"), F.col("src").alias("parent"), (F.col("d") + F.col("w")).alias("dist"), F.lit(True).alias("fresh"))
         old = state.select("id", "parent", "dist", F.lit(False).alias("fresh"))
         best = F.min(F.struct("dist", "fresh", "parent")).alias("b")
         return old.unionByName(ways).groupBy("id").agg(best).select("id", "b.parent", "b.dist", "b.fresh")

@@ -2,8 +2,8 @@
 
 A written table survives the loss of any executor, and is a column store, so
 that a later step reads only what it needs.  The folder is the one which the
-session names in ``spark.checkpoint.dir``; only where that is unset (tests, a
-local run) a temporary folder of this machine is set.
+session names in ``spark.checkpoint.dir``; only where that is unset and the
+master is local (tests) a temporary folder of this machine is set.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK = 16 << 20
 
 _LIVE: dict[str, SparkSession] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tessella-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -59,6 +62,15 @@ class Scratch:
         out._tessella_path = path
         return out
 
+    def bucketed(self, df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+        """Writes ``df`` as a table bucketed and sorted by ``keys``, one file a bucket, and returns it; a join by these keys moves only its other side."""
+        path, name = f"{self.root}/{self.made}", f"tessella_{uuid.uuid4().hex[:16]}"
+        self.made += 1
+        _TABLES.setdefault(self.root, []).append(name)
+        dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        dealt.option("compression", "zstd").option("parquet.block.size", BLOCK).option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that :meth:`keep` returned, once nothing reads it."""
         path = getattr(df, "_tessella_path", None)
@@ -71,6 +83,8 @@ def release(spark: SparkSession | None = None) -> None:
     for root, session in list(_LIVE.items()):
         if spark is None or session is spark:
             try:
+                for name in _TABLES.pop(root, []):
+                    session.sql(f"DROP TABLE IF EXISTS {name}")
                 _delete(session, root)
             except Exception:  # the session may have ended already
                 pass

@@ -1,18 +1,19 @@
 """One registered query per operator, each beside the SQL that says the same.
 
 Graphs from the test tables: B joins parts with suppliers, D customers with
-suppliers (directed), N customers with customers, S is a sparse part of N.
+suppliers (directed), N customers with customers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import rowexpr, sexpr
-from tessella.functions.reducers import maximum, minimum, reducer
+from tessella.functions.reducers import digest_uniform, maximum, minimum, reducer
 from tessella.operators import arrays, centrality, community, components, cores, dense2d, distance, edges, generators, icws, independent, partition, solvers, spanning, summaries, traversal, triangles
 from tessella.operators import degree as degrees
 from tessella.operators.matrix import SparseMatrix, expand, gen_ranges, segment_starts
@@ -56,20 +57,13 @@ def graph_d(spark: SparkSession, d: str) -> DataFrame:
     return met.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIERS).alias("dst")).distinct()
 
 
-def _pairs(spark: SparkSession, d: str, sparse: bool) -> DataFrame:
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "customer").count()
-    rows = table(spark, d, "orders")
-    if sparse:
-        rows = rows.where(F.col("o_orderpriority").like("1%") & (F.month("o_orderdate") <= 5))
-    return rows.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % n).alias("dst"), (F.col("o_orderkey") % 97 + 1).alias("w"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % n).alias("dst"), (F.col("o_orderkey") % 97 + 1).alias("w"))
 
 
-def graph_n(spark: SparkSession, d: str) -> DataFrame:
-    return edges.symmetrize_edges(_undirected(_pairs(spark, d, False)))
-
-
-def graph_s(spark: SparkSession, d: str, weights: bool = False) -> DataFrame:
-    return edges.symmetrize_edges(_undirected(_pairs(spark, d, True), weights))
+def graph_n(spark: SparkSession, d: str, weights: bool = False) -> DataFrame:
+    return edges.symmetrize_edges(_undirected(_pairs(spark, d), weights))
 
 
 def _undirected(pairs: DataFrame, weights: bool = False) -> DataFrame:
@@ -81,14 +75,9 @@ B = f"b AS (SELECT l_partkey AS src, l_suppkey + {SUPPLIERS} AS dst, l_quantity
 D = f"d AS (SELECT DISTINCT o_custkey AS src, l_suppkey + {SUPPLIERS} AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-def _sym(name: str, where: str) -> str:
-    return f"""{name}u AS MATERIALIZED (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(w) AS w
-        FROM (SELECT o_custkey AS a, o_orderkey % (SELECT count(*) FROM customer) AS b, o_orderkey % 97 + 1 AS w FROM orders WHERE {where}) WHERE a <> b GROUP BY ALL),
-    {name} AS MATERIALIZED (SELECT src, dst, w FROM {name}u UNION ALL SELECT dst, src, w FROM {name}u)"""
-
-
-N = _sym("n", "true")
-S = _sym("s", "o_orderpriority LIKE '1%' AND month(o_orderdate) <= 5")
+N = """nu AS MATERIALIZED (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(w) AS w
+        FROM (SELECT o_custkey AS a, o_orderkey % (SELECT count(*) FROM customer) AS b, o_orderkey % 97 + 1 AS w FROM orders) WHERE a <> b GROUP BY ALL),
+    n AS MATERIALIZED (SELECT src, dst, w FROM nu UNION ALL SELECT dst, src, w FROM nu)"""
 
 
 def nodes_sql(g: str) -> str:
@@ -124,17 +113,17 @@ def dedup_edges(spark, d):
 
 @query("SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst, o_orderkey % 97 + 1 AS w FROM orders WHERE o_custkey <> o_orderkey % (SELECT count(*) FROM customer)")
 def drop_loops(spark, d):
-    return edges.remove_loops(_pairs(spark, d, False))
+    return edges.remove_loops(_pairs(spark, d))
 
 
-@query(f"WITH {S} SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS label FROM {nodes_sql('s')}")
+@query(f"WITH {N} SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS label FROM {nodes_sql('n')}")
 def relabel(spark, d):
-    return edges.relabel_nodes(graph_s(spark, d))[1]
+    return edges.relabel_nodes(graph_n(spark, d))[1]
 
 
-@query(f"WITH {S} SELECT src, dst FROM s ORDER BY src, dst")
+@query(f"WITH {N} SELECT src, dst FROM n ORDER BY src, dst")
 def sort_edges(spark, d):
-    return edges.sort_edges(graph_s(spark, d))
+    return edges.sort_edges(graph_n(spark, d))
 
 
 def _customers(spark: SparkSession, d: str, test: str) -> DataFrame:
@@ -149,9 +138,9 @@ def subgraph(spark, d):
     return edges.subgraph(graph_n(spark, d), _customers(spark, d, RICH))
 
 
-@query(f"WITH {S}, c AS (SELECT c_custkey FROM customer WHERE {SEGMENT}) SELECT src, dst FROM s WHERE src IN (FROM c) OR dst IN (FROM c)")
+@query(f"WITH {N}, c AS (SELECT c_custkey FROM customer WHERE {SEGMENT}) SELECT src, dst FROM n WHERE src IN (FROM c) OR dst IN (FROM c)")
 def subgraph_onehop(spark, d):
-    return edges.subgraph(graph_s(spark, d), _customers(spark, d, SEGMENT), one_hop=True)
+    return edges.subgraph(graph_n(spark, d), _customers(spark, d, SEGMENT), one_hop=True)
 
 
 @query(f"WITH {D} SELECT (src * 4294967296 + dst)::BIGINT AS packed FROM d")
@@ -191,9 +180,9 @@ def in_degree(spark, d):
     return degrees.in_degree(graph_n(spark, d))
 
 
-@query(f"WITH {S} SELECT r.range AS id, coalesce(sum(w), 0)::BIGINT AS degree FROM range((SELECT max(src) + 1 FROM s)) r LEFT JOIN s ON src = r.range GROUP BY ALL")
+@query(f"WITH {N} SELECT r.range AS id, coalesce(sum(w), 0)::BIGINT AS degree FROM range((SELECT max(src) + 1 FROM n)) r LEFT JOIN n ON src = r.range GROUP BY ALL")
 def out_degree(spark, d):
-    return degrees.out_degree(graph_s(spark, d, True))
+    return degrees.out_degree(graph_n(spark, d, True))
 
 
 @query(f"WITH {D} SELECT id, count(DISTINCT o) AS degree FROM (SELECT src AS id, dst AS o FROM d UNION ALL SELECT dst, src FROM d) GROUP BY id")
@@ -216,9 +205,9 @@ def degree_order(spark, d):
     return degrees.degree_order(graph_n(spark, d))[1]
 
 
-@query(f"WITH {S} SELECT src, dst, w, sum(w) OVER (PARTITION BY src)::BIGINT AS total FROM s")
+@query(f"WITH {N} SELECT src, dst, w, sum(w) OVER (PARTITION BY src)::BIGINT AS total FROM n")
 def group_total(spark, d):
-    return degrees.per_group_total(graph_s(spark, d, True))
+    return degrees.per_group_total(graph_n(spark, d, True))
 
 
 @query("SELECT c_custkey AS idx, min(c_custkey) OVER (PARTITION BY c_nationkey) AS label FROM customer")
@@ -237,9 +226,9 @@ def is_perm(spark, d):
     return partition.is_permutation(table(spark, d, "customer"), "c_custkey")
 
 
-@query("SELECT true AS is_perm")
+@query(f"SELECT c_custkey AS idx, row_number() OVER (ORDER BY (('0x' || substr(md5(c_custkey::VARCHAR || ':7'), 1, 13))::BIGINT), c_custkey) - 1 AS value FROM customer")
 def random_perm(spark, d):
-    return partition.is_permutation(partition.random_permutation(spark, table(spark, d, "customer").count(), 7))
+    return partition.random_permutation(spark, table(spark, d, "customer").count(), 7, draw=digest_uniform)
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer")
@@ -328,72 +317,72 @@ def bfs_sql(g: str, source: str, limit: int | None = None) -> str:
         SELECT e.dst, min(x.dist) + 1, max(e.src) FROM bfs x JOIN {g} e ON e.src = x.id LEFT JOIN recurring.bfs r ON r.id = e.dst WHERE r.id IS NULL{stop} GROUP BY e.dst)"""
 
 
-@query(f"WITH RECURSIVE {S}, {bfs_sql('s', 'SELECT min(src) AS id FROM s')} SELECT n.id, coalesce(dist, -1) AS dist FROM {nodes_sql('s')} n LEFT JOIN bfs ON bfs.id = n.id")
+@query(f"WITH RECURSIVE {N}, {bfs_sql('n', 'SELECT min(src) AS id FROM n')} SELECT v.id, coalesce(dist, -1) AS dist FROM {nodes_sql('n')} v LEFT JOIN bfs ON bfs.id = v.id")
 def bfs_distance(spark, d):
-    g = graph_s(spark, d)
+    g = graph_n(spark, d)
     return traversal.bfs_distance(g, g.agg(F.min("src").alias("id")), full=False)
 
 
-@query(f"WITH RECURSIVE {S}, {bfs_sql('s', 'SELECT min(src) AS id FROM s UNION SELECT max(src) FROM s')} SELECT n.id, bfs.id IS NOT NULL AS reached FROM {nodes_sql('s')} n LEFT JOIN bfs ON bfs.id = n.id")
+@query(f"WITH RECURSIVE {N}, {bfs_sql('n', 'SELECT min(src) AS id FROM n UNION SELECT max(src) FROM n')} SELECT v.id, bfs.id IS NOT NULL AS reached FROM {nodes_sql('n')} v LEFT JOIN bfs ON bfs.id = v.id")
 def bfs_reachable(spark, d):
-    g = graph_s(spark, d)
+    g = graph_n(spark, d)
     return traversal.bfs_reachable(g, g.agg(F.explode(F.array(F.min("src"), F.max("src"))).alias("id")), full=False)
 
 
-@query(f"WITH RECURSIVE {S}, {bfs_sql('s', 'SELECT min(src) AS id FROM s')} SELECT n.id, coalesce(parent, -1) AS parent FROM {nodes_sql('s')} n LEFT JOIN bfs ON bfs.id = n.id")
+@query(f"WITH RECURSIVE {N}, {bfs_sql('n', 'SELECT min(src) AS id FROM n')} SELECT v.id, coalesce(parent, -1) AS parent FROM {nodes_sql('n')} v LEFT JOIN bfs ON bfs.id = v.id")
 def bfs_forest(spark, d):
-    g = graph_s(spark, d)
+    g = graph_n(spark, d)
     return traversal.bfs_forest(g, g.agg(F.min("src").alias("id")), full=False)
 
 
-@query(f"WITH RECURSIVE {D}, {bfs_sql('d', 'SELECT min(src) AS id FROM d', 2)} SELECT n.id, coalesce(dist, -1) AS dist FROM {nodes_sql('d')} n LEFT JOIN bfs ON bfs.id = n.id")
+@query(f"WITH RECURSIVE {D}, {bfs_sql('d', 'SELECT min(src) AS id FROM d', 2)} SELECT v.id, coalesce(dist, -1) AS dist FROM {nodes_sql('d')} v LEFT JOIN bfs ON bfs.id = v.id")
 def bfs_depth2(spark, d):
     g = graph_d(spark, d)
     return traversal.bfs_distance(g, g.agg(F.min("src").alias("id")), depth_limit=2, full=False)
 
 
-@query(f"""WITH RECURSIVE {S}, p(id, dist) USING KEY (id) AS (SELECT min(src), 0::BIGINT FROM s UNION
-    SELECT e.dst, min(x.dist + e.w) FROM p x JOIN s e ON e.src = x.id LEFT JOIN recurring.p r ON r.id = e.dst WHERE r.id IS NULL OR x.dist + e.w < r.dist GROUP BY e.dst)
-    SELECT n.id, coalesce(p.dist, -1)::DOUBLE AS dist FROM {nodes_sql('s')} n LEFT JOIN p ON p.id = n.id""")
+@query(f"""WITH RECURSIVE {N}, p(id, dist) USING KEY (id) AS (SELECT min(src), 0::BIGINT FROM n UNION
+    SELECT e.dst, min(x.dist + e.w) FROM p x JOIN n e ON e.src = x.id LEFT JOIN recurring.p r ON r.id = e.dst WHERE r.id IS NULL OR x.dist + e.w < r.dist GROUP BY e.dst)
+    SELECT v.id, coalesce(p.dist, -1)::DOUBLE AS dist FROM {nodes_sql('n')} v LEFT JOIN p ON p.id = v.id""")
 def sssp(spark, d):
-    g = graph_s(spark, d, True)
+    g = graph_n(spark, d, True)
     return traversal.sssp_bf(g, g.agg(F.min("src").alias("id")), full=False).select("id", "dist")
 
 
 # components
 
-CC = f"""WITH RECURSIVE {S}, cc(id, label) USING KEY (id) AS (SELECT id, id FROM {nodes_sql('s')} UNION
-    SELECT e.dst, min(x.label) FROM cc x JOIN s e ON e.src = x.id JOIN recurring.cc r ON r.id = e.dst WHERE x.label < r.label GROUP BY e.dst) SELECT id, label FROM cc"""
+CC = f"""WITH RECURSIVE {N}, cc(id, label) USING KEY (id) AS (SELECT id, id FROM {nodes_sql('n')} UNION
+    SELECT e.dst, min(x.label) FROM cc x JOIN n e ON e.src = x.id JOIN recurring.cc r ON r.id = e.dst WHERE x.label < r.label GROUP BY e.dst) SELECT id, label FROM cc"""
 
 
 @query(CC)
 def cc_lp(spark, d):
-    return components.bfs_lp(graph_s(spark, d))[1]
+    return components.bfs_lp(graph_n(spark, d))[1]
 
 
 @query(CC)
 def cc_lp_rs(spark, d):
-    return components.bfs_lp_rs(graph_s(spark, d))[1]
+    return components.bfs_lp_rs(graph_n(spark, d))[1]
 
 
 @query(CC)
 def cc_fastsv(spark, d):
-    return components.fast_sv(graph_s(spark, d))[1]
+    return components.fast_sv(graph_n(spark, d))[1]
 
 
 @query(CC)
 def cc_lps(spark, d):
-    return components.lps(graph_s(spark, d))[1]
+    return components.lps(graph_n(spark, d))[1]
 
 
 @query(CC)
 def cc_stars(spark, d):
-    return components.star_components(graph_s(spark, d), small=0)
+    return components.star_components(graph_n(spark, d), small=0)
 
 
 @query(CC.replace("SELECT id, label FROM cc", "SELECT count(DISTINCT label) AS components FROM cc"))
 def cc_count(spark, d):
-    return components.component_count(components.star_components(graph_s(spark, d)))
+    return components.component_count(components.star_components(graph_n(spark, d)))
 
 
 # cores, communities, sets, forests
@@ -430,35 +419,50 @@ CDLP = """SELECT {{prev}}.id, coalesce(v.label, {{prev}}.label) AS label FROM {{
     row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, p.label) AS rk FROM {g} e JOIN {{prev}} p ON p.id = e.src GROUP BY e.dst, p.label) WHERE rk = 1) v ON v.dst = {{prev}}.id"""
 
 
-@query(f"WITH {S}, {unrolled(f'SELECT id, id AS label FROM {nodes_sql('s')}', CDLP.format(g='s'), 5)} SELECT id, label FROM x5")
+@query(f"WITH {N}, {unrolled(f'SELECT id, id AS label FROM {nodes_sql('n')}', CDLP.format(g='n'), 5)} SELECT id, label FROM x5")
 def cdlp_5(spark, d):
-    return community.cdlp(graph_s(spark, d), randomize=False, max_iter=5, full=False)[3]
+    return community.cdlp(graph_n(spark, d), randomize=False, max_iter=5, full=False)[3]
 
 
 MIS = """SELECT p.id, CASE WHEN p.st <> 0 THEN p.st WHEN b.src IS NULL THEN 1 WHEN g.dst IS NOT NULL THEN 2 ELSE 0 END AS st FROM {prev} p
-    LEFT JOIN (SELECT DISTINCT e.src FROM s e JOIN {prev} q ON q.id = e.dst AND q.st <> 2 WHERE e.dst < e.src) b ON b.src = p.id
-    LEFT JOIN (SELECT DISTINCT e.dst FROM s e JOIN {prev} q ON q.id = e.src AND q.st = 1) g ON g.dst = p.id"""
+    LEFT JOIN (SELECT DISTINCT e.src FROM n e JOIN {prev} q ON q.id = e.dst AND q.st <> 2 WHERE e.dst < e.src) b ON b.src = p.id
+    LEFT JOIN (SELECT DISTINCT e.dst FROM n e JOIN {prev} q ON q.id = e.src AND q.st = 1) g ON g.dst = p.id"""
 
 
-@query(f"WITH {S}, {unrolled(f'SELECT id, 0 AS st FROM {nodes_sql('s')}', MIS, 30)} SELECT id, st = 1 AS member FROM x30")
+@query(f"WITH {N}, {unrolled(f'SELECT id, 0 AS st FROM {nodes_sql('n')}', MIS, 30)} SELECT id, st = 1 AS member FROM x30")
 def mis_identity(spark, d):
-    return independent.maximal_independent_set(graph_s(spark, d))
+    g = graph_n(spark, d)
+    return independent.maximal_independent_set(g, edges.node_labels(g).select("id", F.col("id").alias("place")))
 
 
-@query("SELECT true AS valid")
+@query(f"WITH {N} SELECT true AS valid, count(DISTINCT src) AS nodes FROM n")
 def mis_valid(spark, d):
+    """A random set, whose members chance decides; it must be independent, and no node may be free to join."""
     g = graph_n(spark, d)
-    return independent.valid_mis(g, independent.maximal_independent_set(g))
+    found = independent.maximal_independent_set(g)
+    return independent.valid_mis(g, found).withColumn("nodes", F.lit(found.count()).cast("long"))
 
 
-@query()
+def boruvka_sql(rounds: int, jumps: int) -> str:
+    """CTEs b<r>: the edge (w, src, dst) that each component takes in round r, and l<r>, the components before it."""
+    out = [f"l0 AS MATERIALIZED (SELECT id, id AS c FROM {nodes_sql('n')})"]
+    for r in range(rounds):
+        out.append(f"o{r} AS MATERIALIZED (SELECT x.c, y.c AS o, struct_pack(w := n.w, a := least(n.src, n.dst), b := greatest(n.src, n.dst)) AS e FROM n JOIN l{r} x ON x.id = n.src JOIN l{r} y ON y.id = n.dst WHERE x.c <> y.c)")
+        out.append(f"b{r} AS MATERIALIZED (SELECT c, min(e) AS e, arg_min(o, e) AS o FROM o{r} GROUP BY c)")
+        out.append(f"j{r}_0 AS MATERIALIZED (SELECT b.c, CASE WHEN m.o = b.c AND b.c < b.o THEN b.c ELSE b.o END AS p FROM b{r} b JOIN b{r} m ON m.c = b.o)")
+        out += [f"j{r}_{k + 1} AS MATERIALIZED (SELECT x.c, y.p FROM j{r}_{k} x JOIN j{r}_{k} y ON y.c = x.p)" for k in range(jumps)]
+        out.append(f"l{r + 1} AS MATERIALIZED (SELECT id, coalesce(p, l{r}.c) AS c FROM l{r} LEFT JOIN j{r}_{jumps} j ON j.c = l{r}.c)")
+    return ", ".join(out)
+
+
+@query(f"WITH {N}, {boruvka_sql(8, 11)} SELECT DISTINCT e.a AS src, e.b AS dst, e.w FROM ({' UNION ALL '.join(f'SELECT e FROM b{r}' for r in range(8))})")
 def msf_edges(spark, d):
-    return spanning.msf_boruvka(graph_s(spark, d, True))[1]
+    return spanning.msf_boruvka(graph_n(spark, d, True))[1]
 
 
 @query(CC.replace("SELECT id, label FROM cc", "SELECT count(*) - count(DISTINCT label) AS n FROM cc"))
 def msf_size(spark, d):
-    return spanning.msf_boruvka(graph_s(spark, d, True))[1].agg(F.count("*").alias("n"))
+    return spanning.msf_boruvka(graph_n(spark, d, True))[1].agg(F.count("*").alias("n"))
 
 
 TRI = "tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM {g}u x JOIN {g}u y ON y.src = x.dst JOIN {g}u z ON z.src = x.src AND z.dst = y.dst)"
@@ -493,9 +497,9 @@ def pagerank_10(spark, d):
     return centrality.pagerank(graph_d(spark, d), max_iter=10, tol=0.0, full=False, warn=False).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(pagerank_sql("s", S, "(id % 7 + 1)::DOUBLE / sum(id % 7 + 1) OVER ()", 10))
+@query(pagerank_sql("n", N, "(id % 7 + 1)::DOUBLE / sum(id % 7 + 1) OVER ()", 10))
 def pagerank_personal(spark, d):
-    g = graph_s(spark, d)
+    g = graph_n(spark, d)
     p = edges.node_labels(g).select("id", (F.col("id") % 7 + 1).cast("double").alias("x"))
     return centrality.pagerank(g, p_vec=p, max_iter=10, tol=0.0, full=False, warn=False).select("id", F.round("rank", 9).alias("rank"))
 
@@ -520,7 +524,18 @@ def hits_5(spark, d):
     return out.select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
-# generators: sizes and shapes that do not depend on chance
+# generators; the draws of random ones come from digests, which the SQL has too
+
+
+def u_sql(*keys: str, seed: int = 0) -> str:
+    """A number in (0, 1), as :func:`tessella.functions.reducers.digest_uniform`."""
+    text = " || ':' || ".join([f"({k})::VARCHAR" for k in keys] + [f"'{seed}'"])
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) * pow(2::DOUBLE, -52)"
+
+
+def standard_sql(g: str) -> str:
+    """CTEs of the standard form (std) of the edges ``g``."""
+    return f"e0 AS MATERIALIZED (SELECT DISTINCT src, dst FROM {g} WHERE src <> dst), lab AS (SELECT id AS label, row_number() OVER (ORDER BY id) - 1 AS id FROM {nodes_sql('e0')}), std AS (SELECT s.id AS src, t.id AS dst FROM e0 JOIN lab s ON s.label = src JOIN lab t ON t.label = dst)"
 
 
 @query("SELECT a.range AS src, b.range AS dst FROM range(30) a, range(30) b WHERE a.range <> b.range")
@@ -540,21 +555,35 @@ def karate_club(spark, d):
     return g.agg(F.countDistinct("src").alias("nodes"), F.count("*").alias("edges")).withColumn("triangles", F.lit(n).cast("long"))
 
 
-@query("SELECT 199::BIGINT AS edges, 1::BIGINT AS components")
+@query("SELECT range AS id, CASE WHEN range IN (9, 14, 15, 18, 20) OR range > 21 THEN 0 ELSE 1 END AS community FROM range(34)")
+def karate_sides(spark, d):
+    return generators.karate_club_sides(spark)
+
+
+@query(f"WITH t AS (SELECT v.range AS src, floor({u_sql('v.range')} * v.range)::BIGINT AS dst FROM range(1, 200) v) SELECT src, dst FROM t UNION ALL SELECT dst, src FROM t")
 def random_tree(spark, d):
-    g = generators.random_tree(spark, 200)
-    k = components.component_count(components.star_components(g))
-    return g.agg((F.count("*") / 2).cast("long").alias("edges")).crossJoin(k)
+    return generators.random_tree(spark, 200, draw=digest_uniform)
 
 
-@query()
+def _bits(side: str) -> str:
+    """The end of an R-MAT edge: bit k is set by the quadrant that the draw u falls into."""
+    a, c = 0.57, (1 - 0.57) / 3
+    test = f"u >= {a + c!r}::DOUBLE" if side == "src" else f"(u >= {a!r}::DOUBLE AND u < {a + c!r}::DOUBLE) OR u >= {a + c + c!r}::DOUBLE"
+    return f"sum(CASE WHEN {test} THEN (1 << bit)::BIGINT ELSE 0 END)::BIGINT AS {side}"
+
+
+@query(f"""WITH t AS (SELECT v.range AS id, bit.range AS bit, {u_sql('v.range', 'bit.range')} AS u FROM range(2048) v, range(8) bit), q AS (SELECT id, {_bits('src')}, {_bits('dst')} FROM t GROUP BY id),
+    perm AS (SELECT range AS idx, row_number() OVER (ORDER BY {u_sql('range')}, range) - 1 AS value FROM range(256)), g AS (SELECT s.value AS src, t.value AS dst FROM q JOIN perm s ON s.idx = q.src JOIN perm t ON t.idx = q.dst), {standard_sql('g')} SELECT src, dst FROM std""")
 def rmat(spark, d):
-    return generators.rmat(spark, 8, 8)
+    return generators.rmat(spark, 8, 8, draw=digest_uniform)
 
 
-@query()
+GNP = int(np.random.default_rng(0).binomial(100 * 99 // 2, 0.1))
+
+
+@query(f"WITH g AS (SELECT floor({u_sql('range', '0')} * 100)::BIGINT AS src, floor({u_sql('range', '1')} * 100)::BIGINT AS dst FROM range({GNP})), {standard_sql('g')} SELECT src, dst FROM std")
 def gnp(spark, d):
-    return generators.gnp(spark, 100, 0.1)
+    return generators.gnp(spark, 100, 0.1, draw=digest_uniform)
 
 
 @query("SELECT v AS src, CASE WHEN o < 0 THEN (v + o + 50) % 50 ELSE (v + o) % 50 END AS dst FROM (SELECT v.range AS v, o FROM range(50) v, (VALUES (-2), (-1), (1), (2)) t(o))")
@@ -562,6 +591,12 @@ def watts_strogatz_ring(spark, d):
     return generators.watts_strogatz_graph(spark, 50, 4, 0.0)
 
 
+@query(f"""WITH r AS (SELECT range AS id, range // 4 AS v, range % 4 - 2 + (range % 4 >= 2)::BIGINT AS o FROM range(200)),
+    g AS (SELECT v AS src, CASE WHEN {u_sql('id', '0')} < 0.3 THEN floor({u_sql('id', '1')} * 50)::BIGINT ELSE (v + o + 50) % 50 END AS dst FROM r), {standard_sql('g')} SELECT src, dst FROM std""")
+def watts_strogatz_rewired(spark, d):
+    return generators.watts_strogatz_graph(spark, 50, 4, 0.3, draw=digest_uniform)
+
+
 # sparse matrices
 
 M = "m AS MATERIALIZED (SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY ALL)"
@@ -707,40 +742,41 @@ def segment_expand(spark, d):
     return expand(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"), (F.col("o_custkey") % 4).alias("n")))
 
 
-# solvers: the Laplacian of S plus the identity
+# solvers: twice the degrees plus one on the diagonal, minus one for each edge; the SQL iterates x <- (b + edges x) / diagonal, which halves the error each time
 
 
 def _system(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    g = edges.relabel_nodes(graph_s(spark, d))[0]
+    g = graph_n(spark, d)
     off = g.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(-1.0).alias("val"))
-    diag = g.groupBy(F.col("src").alias("row")).agg((F.count("*") + 1).cast("double").alias("val")).select("row", F.col("row").alias("col"), "val")
-    entries = off.unionByName(diag)
+    diag = g.groupBy(F.col("src").alias("row")).agg((2 * F.count("*") + 1).cast("double").alias("val")).select("row", F.col("row").alias("col"), "val")
     b = diag.select(F.col("row").alias("id"), (F.col("row") % 5 + 1).cast("double").alias("x"))
-    return entries, b
+    return off.unionByName(diag), b
+
+
+JACOBI = "SELECT g.id, (g.b + sum(p.x)) / g.d AS x FROM g JOIN n e ON e.src = g.id JOIN {prev} p ON p.id = e.dst GROUP BY g.id, g.b, g.d"
+SOLVED = f"""WITH {N}, g AS MATERIALIZED (SELECT src AS id, (2 * count(*) + 1)::DOUBLE AS d, (src % 5 + 1)::DOUBLE AS b FROM n GROUP BY src), {unrolled('SELECT id, 0::DOUBLE AS x FROM g', JACOBI, 36)} SELECT id, round(x, 6) AS x FROM x36"""
 
 
-def _residual(spark: SparkSession, entries: DataFrame, b: DataFrame, found: solvers.Solution) -> DataFrame:
-    ax = solvers.matvec_from_coo(entries)(found.x).select("id", F.col("x").alias("ax"))
-    off = F.sqrt(F.sum((F.col("x") - F.col("ax")) ** 2)) / F.sqrt(F.sum(F.col("x") ** 2))
-    return b.join(ax, "id").agg((off < 1e-5).alias("solved"))
+def _rounded(found: solvers.Solution) -> DataFrame:
+    return found.x.select("id", F.round("x", 6).alias("x"))
 
 
-@query("SELECT true AS solved")
+@query(SOLVED)
 def cg_fixed(spark, d):
     entries, b = _system(spark, d)
-    return _residual(spark, entries, b, solvers.cg(solvers.matvec_from_coo(entries), b, precon=solvers.diagonal_preconditioner(entries, b.count()), tol=1e-4))
+    return _rounded(solvers.cg(solvers.matvec_from_coo(entries), b, precon=solvers.diagonal_preconditioner(entries, b.count()), tol=1e-9))
 
 
-@query("SELECT true AS solved")
+@query(SOLVED)
 def minres_fixed(spark, d):
     entries, b = _system(spark, d)
-    return _residual(spark, entries, b, solvers.minres(solvers.matvec_from_coo(entries), b, tol=1e-8))
+    return _rounded(solvers.minres(solvers.matvec_from_coo(entries), b, tol=1e-12))
 
 
-@query("SELECT true AS solved")
+@query(SOLVED)
 def symmlq_fixed(spark, d):
     entries, b = _system(spark, d)
-    return _residual(spark, entries, b, solvers.symmlq(solvers.matvec_from_coo(entries), b))
+    return _rounded(solvers.symmlq(solvers.matvec_from_coo(entries), b, tol=1e-12))
 
 
 # row expressions
@@ -868,10 +904,9 @@ def fill_2d(spark, d):
     return dense2d.full(spark, 3, 20, 7).rows
 
 
-@query("SELECT true AS ok, 600::BIGINT AS n")
+@query(f"SELECT i.range * 30 + j.range AS idx, floor({u_sql('i.range', 'j.range')} * 4)::BIGINT + 5 AS val FROM range(20) i, range(30) j")
 def random_2d(spark, d):
-    a = dense2d.random(spark, 5, 9, 20, 30)
-    return a.flat().agg(F.bool_and(F.col("val").between(5, 8)).alias("ok"), F.count("*").alias("n"))
+    return dense2d.random(spark, 5, 9, 20, 30, draw=digest_uniform).flat()
 
 
 # summaries
