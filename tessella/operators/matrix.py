@@ -190,7 +190,10 @@ class SparseMatrix:
         if filled != self.shape[0]:
             raise ValueError("there are empty rows")
         sizes = self.entries.groupBy("row").agg(F.count("*").alias("n"))
-        both = self.spgemm(self.transpose()).entries
+        # pairs are counted once, then mirrored
+        ones = self.entries.select("row", F.col("col").alias("k"))
+        met = ones.join(ones.withColumnRenamed("row", "col"), "k").where("row <= col").groupBy("row", "col").agg(F.count("*").alias("val"))
+        both = met.unionByName(met.where("row < col").select(F.col("col").alias("row"), F.col("row").alias("col"), "val"))
         a, b = sizes.select("row", F.col("n").alias("na")), sizes.select(F.col("row").alias("col"), F.col("n").alias("nb"))
         value = F.col("val") / (F.col("na") + F.col("nb") - F.col("val"))
         return SparseMatrix(both.join(a, "row").join(b, "col").select("row", "col", value.alias("val")), (self.shape[0], self.shape[0]), self.layout)
@@ -217,6 +220,17 @@ class SparseMatrix:
         return tuple(rows[c].to_numpy() for c in ("row", "col", "val"))
 
 
+def to_scipy(matrix: SparseMatrix, layout: str | None = None):
+    """The matrix as scipy's, in the layout of that name ('coo', 'csr' or 'csc', by default its own); needs scipy, and a matrix that fits the driver."""
+    layout = layout or matrix.layout
+    if layout not in ("coo", "csr", "csc"):
+        raise ValueError(f"unknown layout {layout!r}")
+    import scipy.sparse
+
+    row, col, val = matrix.to_arrays()
+    return getattr(scipy.sparse, f"{layout}_matrix")((val, (row, col)), shape=matrix.shape)
+
+
 def gen_ranges(ranges: DataFrame) -> DataFrame:
     """(key, start, end) -> (key, value): start to end - 1 of each row; empty ranges give no row."""
     return ranges.where("start < end").select("key", F.explode(F.sequence("start", F.col("end") - 1)).alias("value"))

@@ -1036,3 +1036,6 @@ def request_series(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("command"), F.col("user_id").cast("double").alias("seconds"), F.lit(1.0).alias("memory"), error.alias("error"))
     kept = ["total_number_of_requests", "number_of_requests_per_command", "total_response_times_per_command", "total_number_of_errors", "number_of_errors_per_error_type"]
     return metrics.request_series(rows).where(F.col("name").isin(kept)).select("name", metrics.key(F.col("labels")).alias("labels"), "value")
+
+
+from tessella import source_queries  # noqa: E402, F401  it adds its queries to QUERIES

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.plans.rank import with_rank
+from tessella.plans.store import Scratch
 from tessella.sources.formats import FORMATS, CsvFormat, convert
 
 KNOWN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -64,6 +69,42 @@ def write_by_file(df: DataFrame, out_dir: str, compression: str = "zstd") -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy("file").parquet(out_dir)
 
 
+def save(df: DataFrame, path: str, compression: str = "zstd", attempts: int = 10, interval: float = 30.0, raise_errors: bool = False) -> bool:
+    """Writes a table as column files, again after ``interval`` seconds if that fails; whether it was written.
+
+    A write is committed as a whole, so that a failed one leaves no part of it.
+    raise_errors: the first failure is an error.
+    """
+    for k in range(attempts):
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(path)
+            return True
+        except Exception as e:
+            if raise_errors:
+                raise
+            warnings.warn(f"{path} was not written: {e}", stacklevel=2)
+            if k + 1 < attempts:
+                time.sleep(interval)
+    return False
+
+
+def insert_rows(frame: DataFrame, rows: DataFrame, index: int, scratch: Scratch | None = None) -> DataFrame:
+    """frame (idx, ...) with its rows from place ``index`` on replaced by ``rows`` (idx, ...), in the order of their own idx.
+
+    Columns that ``rows`` lacks keep their values; rows beyond the frame's end
+    are an error.
+    """
+    placed = with_rank(rows, "idx", name="__at", scratch=scratch).withColumn("__at", F.col("__at") + index).drop("idx")
+    last, end = placed.agg(F.max("__at")).first()[0], frame.agg(F.max("idx")).first()[0]
+    if index < 0 or (last is not None and (end is None or last > end)):
+        raise ValueError(f"rows {index} to {last} do not fit into a frame that ends at {end}")
+    both = [c for c in rows.columns if c != "idx"]
+    fresh = placed.select(F.col("__at"), F.struct(*[F.col(f"`{c}`").alias(c) for c in both]).alias("__new"))
+    met = frame.join(fresh, F.col("idx") == F.col("__at"), "left")
+    pick = lambda c: F.when(F.col("__at").isNull(), F.col(f"`{c}`")).otherwise(F.col("__new").getField(c)).alias(c) if c in both else F.col(f"`{c}`")
+    return met.select(*[pick(c) for c in frame.columns])
+
+
 def schemas(spark: SparkSession, paths: list[str]) -> dict[str, T.StructType]:
     """The schema of each file, from footers alone."""
     return {p: spark.read.parquet(p).schema for p in paths}
@@ -93,17 +134,19 @@ def column_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, dtype string, na string, rows long")
 
 
-def concat_files(spark: SparkSession, paths: list[str], dest: str) -> None:
-    """Files of one schema as one file; a type that differs is an error."""
-    read_columns(spark, paths).coalesce(1).write.mode("errorifexists").parquet(dest)
+def concat_files(spark: SparkSession, paths: list[str], dest: str, single: bool = False) -> None:
+    """Files of one schema as one table; a type that differs is an error.  ``single``: in one file, which one task writes row group by row group."""
+    found = read_columns(spark, paths)
+    (found.coalesce(1) if single else found).write.mode("errorifexists").parquet(dest)
 
 
 def write_text(df: DataFrame, dest: str, columns: list[str] | None = None, header: bool = False) -> None:
-    """Columns as lines of text: whole numbers as they are, others with 15 decimals."""
+    """Columns as lines of text: whole numbers as they are, others with 15 decimals.  With a header each file begins with it."""
     picked = [f for f in df.schema.fields if columns is None or f.name in columns]
     cells = [F.format_string("%.15e", F.col(f.name)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name).cast("string") for f in picked]
-    lines = df.select(F.concat_ws(" ", *cells).alias("value"))
-    if header:
-        head = df.sparkSession.createDataFrame([(" ".join(f.name for f in picked),)], "value string")
-        lines = head.unionByName(lines).coalesce(1)
-    lines.write.text(dest)
+    name = " ".join(f.name for f in picked)
+    lines = df.select(F.concat_ws(" ", *cells).alias(name if header else "value"))
+    if header:  # as CSV of one column, whose writer begins each file with the name
+        lines.write.options(header=True, quote="", escape="").csv(dest)
+    else:
+        lines.write.text(dest)

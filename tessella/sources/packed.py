@@ -21,7 +21,22 @@ def unpack_strings(packed: DataFrame, encoding: str = "UTF-8") -> DataFrame:
     return packed.select("key", F.decode(body, encoding).alias("value"))
 
 
-def slice_strings(blob: DataFrame, offsets: DataFrame, encoding: str = "UTF-8") -> DataFrame:
-    """blob: one row (values binary); offsets: key, offset, n -> key, value."""
-    cut = F.expr("substring(values, cast(offset as int) + 1, cast(n as int) - 1)")
-    return offsets.crossJoin(F.broadcast(blob.limit(1))).select("key", F.decode(cut, encoding).alias("value"))
+def slice_strings(blob: DataFrame, offsets: DataFrame, encoding: str = "UTF-8", piece: int = 1 << 20) -> DataFrame:
+    """blob: start, values (binary) of consecutive parts of one run of bytes, or one row (values) that is all of it; offsets: key, offset, n -> key, value.
+
+    The run is cut into pieces of at most ``piece`` bytes, and each string
+    meets the pieces that it lies in by their number, so that no task holds
+    more than a piece and its strings; offsets may exceed 2 GiB.
+    """
+    parts = blob if "start" in blob.columns else blob.limit(1).withColumn("start", F.lit(0).cast("long"))
+    size = F.octet_length("values").cast("long")
+    cuts = parts.withColumn("no", F.explode(F.sequence(F.floor(F.col("start") / piece), F.floor((F.col("start") + size) / piece)))).withColumn("lo", F.greatest("start", F.col("no") * piece)).withColumn("hi", F.least(F.col("start") + size, (F.col("no") + 1) * piece))
+    cuts = cuts.where("lo < hi").select("no", "lo", F.expr("substring(values, cast(lo - start as int) + 1, cast(hi - lo as int))").alias("bytes"))
+    body = offsets.select("key", F.col("offset").cast("long").alias("a"), (F.col("offset") + F.col("n") - 1).cast("long").alias("b"))
+    wanted = body.where("b > a").withColumn("no", F.explode(F.sequence(F.floor(F.col("a") / piece), F.floor((F.col("b") - 1) / piece))))
+    met = wanted.join(cuts, "no").where("lo < b and lo + octet_length(bytes) > a")
+    part = F.expr("substring(bytes, cast(greatest(a - lo, 0) as int) + 1, cast(least(b, lo + octet_length(bytes)) - greatest(a, lo) as int))")
+    found = met.select("key", "a", "lo", part.alias("part")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lo", "part"))).alias("parts"))
+    whole = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["part"]))
+    out = body.join(found.select("key", whole.alias("bytes")), "key", "left")
+    return out.select("key", F.decode(F.coalesce("bytes", F.lit(b"")), encoding).alias("value"))

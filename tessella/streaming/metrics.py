@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import warnings
+from collections.abc import Callable
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,3 +171,25 @@ class Recorder:
         own = request_series(self.requests()).withColumn("timestamp", F.current_timestamp())
         columns = ["name", "category", "scope", "value", "timestamp", "labels"]
         return own.select(columns).unionByName(cluster_metrics(self.spark).select(columns))
+
+
+def run_loop(fetch: Callable[[], DataFrame], emit: Callable[[DataFrame], None], every: float = 5.0, rounds: int | None = None, connected: Callable[[], bool] = lambda: True, reconnect: Callable[[], None] = lambda: None) -> int:
+    """Polls: each ``every`` seconds the samples that ``fetch`` gives go to ``emit``; how often they did.
+
+    When the source is not connected, ``reconnect`` is called once a round;
+    a round that stays without connection gives nothing.  It ends after
+    ``rounds``, or never.
+    """
+    done = n = 0
+    while rounds is None or n < rounds:
+        n += 1
+        if not connected():
+            reconnect()
+        if connected():
+            emit(fetch())
+            done += 1
+        else:
+            warnings.warn("no connection, no metrics", stacklevel=2)
+        if rounds is None or n < rounds:
+            time.sleep(every)
+    return done
