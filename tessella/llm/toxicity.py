@@ -5,12 +5,16 @@ digits or signs, stretched letters, marks between letters, letters set apart by
 spaces.  The token's lattice of possible letters is decoded by a Viterbi search
 that keeps the best path of each state, under a character model (trigrams of all documents)
 mixed with the words of the labelled sample.  The restored words are scored.
+A word cut by spaces into pieces of more than one letter is not put together:
+in running text any three short words would be.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +27,7 @@ from tessella.llm.words import Words, blocks, given, returned, tune, utf8
 
 # Which letters a sign may stand for; "" means that it may be a mere mark.
 CHANNEL = {
-    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
+    "0": "oо", "1": "il", "2": "z", "3": "eз", "4": "aч", "5": "s", "6": "gbб", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i",
 }
@@ -32,16 +36,38 @@ EDGE = ".,;:!?\"'()[]{}<>«»…-–—*#%&~`/\\|_=+^$@"
 
 LONGEST, STEP = 32, 8  # runs of equal characters that are read at once; from one reading of a longer token to the next
 SUBSTITUTE, STRETCH, MARK, PLAIN = math.log(0.05), math.log(0.05), math.log(0.05), math.log(0.9)
+OTHER = 59  # the code of a letter of any other script
+LETTERS = OTHER + 1
 ODD = re.compile(r"[a-zß-öø-ÿа-яі0-9@$!|€£¡+(<][^\s]*[0-9@$!|€£¡+(<.\-_*~'`^:,;/\\=#%&\"?а-яі]|[0-9@$!|€£¡+(<а-яі][^\s]*[a-z]|([a-z])\1\1")
 TWICE = re.compile(r"([^\W\d_])\1")
 RUN = re.compile(r"(.)\1*", re.S)
 
+KEPT = 100_000  # readings that a worker remembers
 LEAST_DOCS, LEAST_P, Z = 4, 0.5, 1.96
 
 
+def _letter_codes() -> np.ndarray:
+    """The code of each code point: 1-26 for a-z, with their accents off, 27-58 for the Cyrillic alphabet, OTHER for other letters, 0 for what is no letter."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for point in range(sys.maxunicode + 1):
+        c = chr(point)
+        if not c.isalpha():
+            continue
+        if point > 0x24F and not 0x400 <= point < 0x460 and not 0x1E00 <= point < 0x1F00:
+            out[point] = OTHER
+            continue
+        base = unicodedata.normalize("NFD", c.lower())[0]
+        out[point] = ord(base) - 96 if "a" <= base <= "z" else ord(base) - ord("а") + 27 if "а" <= base <= "я" else 19 if base == "ß" else OTHER
+    return out
+
+
+CODES = _letter_codes()
+CODE_OF = CODES.tobytes()  # indexed one by one, faster than an array
+
+
 @dataclass
 class Model:
-    """tri: log probability of a letter (1-26, 0 for the edge) after two others; words: log probability of known words; toxic: word -> probability; base: of a text without such words."""
+    """tri: log probability of a letter's code (0 for the edge) after two others; words: log probability of known words; toxic: word -> probability; base: of a text without such words."""
 
     tri: np.ndarray
     words: dict[str, float] = field(default_factory=dict)
@@ -51,10 +77,11 @@ class Model:
     def __post_init__(self):
         self.table = self.tri.tolist()
         self.seen: dict[str, str] = {}
+        self.read: dict[bytes, list[str]] = {}
         self.begun: tuple[int, frozenset[str]] = (0, frozenset([""]))
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}, "begun": (0, frozenset([""]))}
+        return self.__dict__ | {"seen": {}, "read": {}, "begun": (0, frozenset([""]))}
 
     def starts(self) -> frozenset[str]:
         """All beginnings of known words, made anew once the words change."""
@@ -62,10 +89,19 @@ class Model:
             self.begun = len(self.words), frozenset(w[:k] for w in self.words for k in range(len(w) + 1)) | {""}
         return self.begun[1]
 
+    def said(self, word: bytes) -> list[str]:
+        """The readings of a word; those of the last words are kept."""
+        got = self.read.get(word)
+        if got is None:
+            if len(self.read) >= KEPT:
+                self.read.clear()
+            got = self.read[word] = readings(word.decode("utf-8", "replace"), self)
+        return got
+
     def restore(self, token: str) -> str:
         """The likeliest word behind a token; the token itself where no lattice applies."""
         if token not in self.seen:
-            if len(self.seen) > 50_000:
+            if len(self.seen) >= KEPT:
                 self.seen.clear()
             self.seen[token] = viterbi(token, self)
         return self.seen[token]
@@ -76,7 +112,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     out = []
     for run in RUN.finditer(token):
         c, n = run.group(1), run.end() - run.start()
-        letters = CHANNEL.get(c, c if c.isalpha() else "")
+        letters = (c if c.isalpha() else "") + CHANNEL.get(c, "")
         options = []
         for letter in letters:
             cost = PLAIN if letter == c else SUBSTITUTE
@@ -92,7 +128,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(token: str, model: Model) -> str:
     """The best path through a token's lattice, and at the end words of the sample are preferred; the best path lives of each last two letters, and of each beginning of a known word."""
-    starts = model.starts()
+    starts, code = model.starts(), CODE_OF
     paths = {(0, 0, ""): (0.0, "")}
     for options in lattice(token):
         grown: dict[tuple[int, int, str | None], tuple[float, str]] = {}
@@ -100,7 +136,7 @@ def viterbi(token: str, model: Model) -> str:
             for piece, cost in options:
                 s, x, y = score + cost, a, b
                 for letter in piece:
-                    k = ord(letter) - 96 if "a" <= letter <= "z" else 0  # a letter beyond these counts as an edge
+                    k = code[ord(letter)]
                     s += model.table[x][y][k]
                     x, y = y, k
                 whole = text + piece
@@ -123,8 +159,9 @@ def strip(word: str) -> str:
 
 
 def readings(word: str, model: Model) -> list[str]:
-    """What a word may say: its core, the words between the marks in it, and the word restored from it; of a core of more than LONGEST runs the toxic words in overlapping windows of it."""
-    if len(word) > LONGEST:  # what is longer than three is stretched all the same
+    """What a word may say: its core, the words between the marks in it, and the word restored from it; of more than LONGEST characters also the toxic words in it, and of more than LONGEST runs those in overlapping windows."""
+    long = len(word) > LONGEST
+    if long:  # what is longer than three is stretched all the same
         word = re.sub(r"(.)\1{3,}", r"\1\1\1", word, flags=re.S)
     core = strip(word)
     if not core:
@@ -141,6 +178,8 @@ def readings(word: str, model: Model) -> list[str]:
                 out += [x for x in model.toxic if x in piece]
     elif not bare.isalpha() or ODD.search(core) or (TWICE.search(core) and bare not in model.words):
         out.append(model.restore(core))
+        if long:
+            out += [x for x in model.toxic if x in out[-1]]
     return out
 
 
@@ -161,8 +200,8 @@ def found_words(texts: list[str | None], model: Model, wanted: bool) -> list[set
     _, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
     said: list[list[str]] = []
     for i in at.tolist():
-        got = readings(words.text(i).decode("utf-8", "replace"), model)
-        said.append([x for x in got if x in model.toxic] if wanted else got)
+        got = model.said(words.text(i))
+        said.append([x for x in got if x in model.toxic] if wanted and got else got)
     telling = np.array([bool(x) for x in said], bool)
     use = telling[which] if len(which) else np.zeros(0, bool)
     out = []
@@ -179,21 +218,21 @@ def found_words(texts: list[str | None], model: Model, wanted: bool) -> list[set
 
 def letter_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams over all whole texts, a table of fixed size."""
-    kind = np.zeros(256, np.int64)
-    kind[97:123] = np.arange(1, 27)
+    size = LETTERS**3
 
     def run(batches):
-        total = np.zeros(27**3, np.int64)
+        total = np.zeros(size, np.int64)
         for block in blocks(batches):
-            c = kind[np.frombuffer(b" ".join(utf8(x) for x in block["text"]) + b"  ", np.uint8)]
-            total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
+            points = np.frombuffer(" ".join(x or "" for x in block["text"]).encode("utf-32-le", "surrogatepass"), "<u4")
+            c = np.r_[CODES[points], 0, 0].astype(np.int32)  # capitals have the codes of their small letters
+            total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=size)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at, "n": total[at]})
 
-    out = np.zeros(27**3)
+    out = np.zeros(size)
     rows = docs.select("text").mapInPandas(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out[rows["gram"].to_numpy(np.int64)] = rows["n"]
-    return out.reshape(27, 27, 27)
+    return out.reshape(LETTERS, LETTERS, LETTERS)
 
 
 def letter_model(counts: np.ndarray) -> np.ndarray:
@@ -241,9 +280,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
         p = lower_bound(r["toxic"], r["clean"] + r["toxic"])
         if p >= LEAST_P:
             model.toxic[r["word"]] = p
+    model.read.clear()
     if n:
         model.base = _base(sample, model)
     model.seen.clear()
+    model.read.clear()
     return model
 
 
@@ -262,7 +303,9 @@ def _base(sample: DataFrame, model: Model) -> float:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text, ... -> doc_id, score, words: 1 - (1 - base) times the product of 1 - p over the toxic words of the whole text.
 
-    Null and empty texts have the base score; repeated rows give repeated rows.
+    Null and empty texts have the base score; null ids stay null; repeated rows
+    give repeated rows; other columns are ignored; an empty table gives an
+    empty table.
     """
     tune(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)
@@ -278,7 +321,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxic_column(model: Model, docs: DataFrame) -> Column:
-    """The score as a column of ``docs``, for filters that keep all columns."""
+    """The score as a column of ``docs``, for filters that keep all columns, whatever their names.  Null and empty texts have the base score; each row has its own, repeated or not."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

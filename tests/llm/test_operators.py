@@ -664,6 +664,47 @@ def test_toxicity_reads_every_token(spark):
     assert toxicity.readings("crétiiin", model)[-1] == "crétin"
 
 
+def all_paths(token):
+    """Every string that a token's lattice may stand for, with its best channel cost."""
+    paths, out = {}, [("", 0.0)]
+    for options in toxicity.lattice(token):
+        out = [(text + piece, score + cost) for text, score in out for piece, cost in options]
+    for text, score in out:
+        paths[text] = max(paths.get(text, -1e9), score)
+    return paths
+
+
+def test_viterbi_is_best_of_all_paths():
+    r = random.Random(8)
+    tri = toxicity.letter_model(np.array(np.random.default_rng(3).integers(0, 50, (toxicity.LETTERS,) * 3), float))
+    model = toxicity.Model(tri, {"bad": -3.0, "боль": -2.0, "oil": -4.0, "badword": -5.0})
+
+    def total(text, channel):
+        s, x, y = channel, 0, 0
+        for letter in [*text, None]:
+            k = toxicity.CODES[ord(letter)] if letter else 0
+            s, x, y = s + tri[x, y, k], y, k
+        return s
+
+    for _ in range(150):
+        token = "".join(r.choice("b4adD0oi1l!.-8б0льxéß語") for _ in range(r.randint(1, 6))).lower()
+        channel = {t: total(t, c) for t, c in all_paths(token).items()}
+        value = {t: max(c, model.words[t] + 3 * toxicity.SUBSTITUTE) if t in model.words else c for t, c in channel.items()}
+        got = toxicity.viterbi(token, model)
+        best = max(value.values())
+        assert value.get(got) == pytest.approx(best) or (got == token and value.get("") == pytest.approx(best))
+
+
+def test_disguises_in_long_tokens_and_other_scripts():
+    p = -np.ones((toxicity.LETTERS,) * 3)
+    model = toxicity.Model(p, dict.fromkeys(("badword", "плохой"), -3.0), {"badword": 0.9, "плохой": 0.9}, 0.1)
+    for text in ("badword," * 20, "b4dw0rd/" * 5, "x" * 130 + "badword", "--------".join("badword"), "b" * 40 + "adword", "b a d w o r d"):
+        assert toxicity.found_words([text], model, True) == [{"badword"}]
+    for text in ("плохой", "пл0хой", "п л о х о й", "плоооохой", "п.л.о.х.о.й"):
+        assert toxicity.found_words([text], model, True) == [{"плохой"}]
+    assert toxicity.found_words(["ba dw ord", "", None], model, True) == [set()] * 3
+
+
 def test_quality(spark):
     df, labels, _, good = labelled_corpus(spark)
     model = quality.fit(df, labels)
