@@ -24,11 +24,11 @@ def _ranged(df: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
     return scratch.keep(df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id()))
 
 
-def _offsets(dealt: DataFrame, value: Column) -> DataFrame:
-    """PART, offset: the sum of ``value`` over all earlier partitions; as many rows as partitions."""
-    per_part = dealt.groupBy(PART).agg(value.alias("n"))
+def _offsets(dealt: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """PART, and for each name its value summed over all earlier partitions; as many rows as partitions."""
+    per_part = dealt.groupBy(PART).agg(*[v.alias(n) for n, v in values.items()])
     before = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-    return F.broadcast(per_part.select(PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    return F.broadcast(per_part.select(PART, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in values]))
 
 
 def with_rank(df: DataFrame, *order: str | Column, name: str = "rank", scratch: Scratch | None = None) -> DataFrame:
@@ -36,12 +36,20 @@ def with_rank(df: DataFrame, *order: str | Column, name: str = "rank", scratch:
     keys = _columns(order)
     dealt = _ranged(df, keys, scratch or Scratch(df.sparkSession, "rank"))
     place = F.row_number().over(W.partitionBy(PART).orderBy(*keys)) - 1
-    return dealt.join(_offsets(dealt, F.count("*")), PART).withColumn(name, (place + F.col("offset")).cast("long")).drop(PART, "offset")
+    return dealt.join(_offsets(dealt, {"offset": F.count("*")}), PART).withColumn(name, (place + F.col("offset")).cast("long")).drop(PART, "offset")
 
 
-def with_running_sum(df: DataFrame, value: str, *order: str | Column, name: str = "total", scratch: Scratch | None = None) -> DataFrame:
-    """Adds the sum of ``value`` up to and with the row; the order must be total."""
+def with_running_sums(df: DataFrame, values: dict[str, str], *order: str | Column, scratch: Scratch | None = None) -> DataFrame:
+    """Adds, by name, the sums of columns up to and with the row; the order must be total."""
     keys = _columns(order)
     dealt = _ranged(df, keys, scratch or Scratch(df.sparkSession, "running"))
     upto = W.partitionBy(PART).orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-    return dealt.join(_offsets(dealt, F.sum(value)), PART).withColumn(name, F.sum(value).over(upto) + F.col("offset")).drop(PART, "offset")
+    offset = {name: f"__{name}_offset" for name in values}
+    met = dealt.join(_offsets(dealt, {offset[n]: F.sum(c) for n, c in values.items()}), PART)
+    sums = {n: F.sum(c).over(upto) + F.col(offset[n]) for n, c in values.items()}
+    return met.withColumns(sums).drop(PART, *offset.values())
+
+
+def with_running_sum(df: DataFrame, value: str, *order: str | Column, name: str = "total", scratch: Scratch | None = None) -> DataFrame:
+    """As :func:`with_running_sums`, of one column."""
+    return with_running_sums(df, {name: value}, *order, scratch=scratch)
