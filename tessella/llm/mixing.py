@@ -2,13 +2,17 @@
 
 Each source has a target in words, and so a rate r = target / size at which
 its documents are to be taken.  Of each document floor(r) whole copies are
-certain.  The rest is a sample of fixed size: with the inclusion odds
-p / (1 - p), p = r - floor(r), documents are ranked by their random odds
-u / (1 - u) over the inclusion odds, and taken from the lowest rank on until
-the source's target is reached.  u comes from the document's id alone, so that
-reruns agree.  Only whole documents are taken: the document that would pass
-the target is replaced by those that were left over, the one that comes
-nearest each time, until none comes nearer than none.
+certain.  The rest f = r - floor(r) is a sample of unequal probabilities: the
+inclusion odds of a document are f / (1 - f), times its size over the mean
+size of its class.  Classes (eight to a doubling of the size) are the strata;
+in each the documents are ranked by their random odds u / (1 - u) over their
+inclusion odds, and a fixed number of them, the lowest ranks, is taken.  u
+comes from the document's id alone, so that reruns agree.
+
+The numbers are fixed before any draw: from the class of the longest documents
+down, each takes as many as the words that are still to be taken call for, and
+what rounding leaves goes to the next class.  So a source's words come near
+its target, and only the draw within classes is left to chance.
 """
 
 from __future__ import annotations
@@ -18,16 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tessella.plans.rank import with_rank, with_running_sums
 from tessella.plans.store import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-LEVELS, FANOUT, BITS = 2, 1024, 52
-CLOSING = 2  # closing documents that the query's SQL follows; the operator itself has no such bound
-
-
-def _here() -> Column:
-    """A row's place in its source's ranks."""
-    return F.struct("u", "doc_id", "size")
+LEVELS, FANOUT = 2, 1024
+U_BITS = 52
 
 
 def size_of(text: str = "text") -> Column:
@@ -35,178 +35,167 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def class_of(size: str = "size") -> Column:
+    """The stratum of a size: its number of binary digits and the three digits after the first."""
+    return F.expr(f"length(bin({size})) * 8 + cast(shiftright({size}, greatest(length(bin({size})) - 4, 0)) & 7 as int)")
+
+
 def draw(key: str) -> Column:
     """u as an integer of 52 bits, from a digest of the id; a null id has its own."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("long")
 
 
+def random_odds(u: Column) -> Column:
+    """u / (1 - u) of the middle of u's interval."""
+    return (u + F.lit(0.5)) / (F.lit(2.0**U_BITS) - u - F.lit(0.5))
+
+
+def inclusion_odds() -> Column:
+    """f / (1 - f) times the size over the mean size of the class."""
+    return F.try_divide(F.col("f") / (1 - F.col("f")) * (F.col("size") * F.col("n")), F.col("words"))
+
+
 def targets(sources: DataFrame, most: int = 3, scratch: Scratch | None = None) -> DataFrame:
-    """source, source_size, weight -> with target.
+    """source, source_size -> with weight and target.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating.  Targets share
     the total of the sizes by weight; those above ``most`` times the source's
     size stop there and the excess is shared again among the others, until
-    none is above.  The loop runs at most as often as there are sources, on a
-    table of one row per source; two sums go to the driver each time.
+    none is above.  In the order of size over weight those that stop come
+    first, so that running sums, dealt by range, give the rate of the others
+    for each possible end of them; three numbers go to the driver.
     """
-    rank = F.row_number().over(W.orderBy(F.col("source").isNull(), "source"))
-    table = (scratch or Scratch(sources.sparkSession, "mixing")).keep(sources.withColumn("weight", ((rank - 1) % 3 + 1).cast("long")))
-    limit = F.lit(float(most)) * F.col("source_size")
-    total, weights = table.agg(F.sum("source_size"), F.sum("weight")).first()
-    rate, capped_weight = (total / weights if total else 0.0), None
-    while total:
-        above = table.where(F.lit(rate) * F.col("weight") > limit)
-        held, w = above.agg(F.coalesce(F.sum(limit), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-        if w == capped_weight or w == weights:
-            break
-        rate, capped_weight = (total - held) / (weights - w), w
-    share = F.lit(float(rate)) * F.col("weight")
-    return table.withColumn("target", F.least(share, limit))
+    scratch = scratch or Scratch(sources.sparkSession, "mixing")
+    table = with_rank(sources, F.col("source").isNull(), "source", name="k", scratch=scratch)
+    table = scratch.keep(table.withColumn("weight", (F.col("k") % 3 + 1).cast("long")))
+    total, weights = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    order = (F.col("source_size") / F.col("weight"), "k")
+    sums = with_running_sums(table, {"size_upto": "source_size", "weight_upto": "weight"}, *order, scratch=scratch)
+    held = (F.col("size_upto") - F.col("source_size")) * most
+    rate = (F.lit(float(total)) - held) / (F.lit(weights) - F.col("weight_upto") + F.col("weight"))
+    fits = sums.select("source_size", "weight", "k", rate.alias("rate")).where(F.col("rate") * F.col("weight") <= F.lit(float(most)) * F.col("source_size"))
+    found = fits.agg(F.min_by("rate", F.struct(F.col("source_size") / F.col("weight"), "k"))).first()[0]
+    share = F.lit(float(found or 0.0)) * F.col("weight")
+    return table.withColumn("target", F.least(share, F.lit(float(most)) * F.col("source_size"))).drop("k")
 
 
 def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (= copies * size).
 
     A null text has size 0 and is never in the sample; its copies are the
-    certain ones.  A null source is a source.  Repeated rows (equal doc_id)
-    stand side by side in the ranks, ordered by size.  A table without words
-    takes nothing; an empty table gives an empty table.
+    certain ones.  A null source is a source.  Ties of the ranks go to the
+    doc_id that comes first as text; of repeated rows (equal doc_id and size) as many are taken
+    as the sample has room for.  Other columns are ignored, whatever their
+    names.  A table without words takes nothing; an empty table gives an empty
+    table.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.keep(docs.select("doc_id", "source", size_of().alias("size"), draw("doc_id").alias("u")))
-    rows = _copies(sized, *_plan(sized, most, scratch))
+    rows = _copies(sized, _plan(sized, most, scratch), F.lit(0))
     return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast(T.DoubleType()), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.  Texts are not shuffled: the plan joins them by source."""
+    """The documents of :func:`mix`, each as often as it is taken, with the columns of ``docs``; nulls, ties and repeated rows as there.  Texts are not shuffled while the plan is small: it has a row for each source and class."""
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.keep(docs.select("doc_id", "source", size_of().alias("size"), draw("doc_id").alias("u")))
     names = [f"`{c}`" for c in docs.columns]
     plan = _plan(sized, most, scratch)
     held = docs.select("doc_id", "source", size_of().alias("size"), draw("doc_id").alias("u"), F.struct(*names).alias("row"))
-    return _copies(held, *plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
-
-
-def _plan(sized: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Two tables with a row per source: where its sample ends, and the documents that close it."""
-    by_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    goal = scratch.keep(
-        targets(by_source, most, scratch)
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("rest", (F.col("target") - F.col("whole") * F.col("source_size")).cast("double"))
-    )
-    # within a source all p are equal, so that the ranks are those of u
-    cut = _cut(sized, goal.select("source", F.col("rest").alias("left")), scratch)
-    cut = scratch.keep(goal.join(cut, goal["source"].eqNullSafe(cut["s"]), "left").drop("s"))
-    return cut, _closing(_sampled(sized, cut), scratch)
-
-
-def _cut(rows: DataFrame, goal: DataFrame, scratch: Scratch) -> DataFrame:
-    """source, left -> s, last, gap, range: the last row of the ranks whose sizes up to it are at most ``left``, what then remains of it, and the range of u it was sought in.
-
-    The lowest rank left out is found by counts over ranges of u, range within
-    range, each step summed on the map side first; only the rows of the last
-    range, about one in a million, are ranked one by one.  So a source that
-    holds most rows is not gathered in any task.
+    rows = _copies(held, plan, F.xxhash64("row.text")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def strata(sized: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """s, class, n, words, source_size, target, whole, f, and room: how many of the class's documents the sample takes.
+
+    Works on the numbers of documents by source and size.  The expected size
+    of a sampled document is its class's mean, weighted by p.
     """
-    state = goal.select(F.col("source").alias("s"), "left", F.lit(0).cast("long").alias("range"))
-    shift = BITS
-    for _ in range(LEVELS):
-        shift -= FANOUT.bit_length() - 1
-        inside = rows.join(state, rows["source"].eqNullSafe(state["s"])).where(F.shiftright("u", shift + FANOUT.bit_length() - 1) == F.col("range"))
-        counts = inside.groupBy("s", F.shiftright("u", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"))
-        upto = W.partitionBy("s").orderBy("bucket")
-        state = (
-            counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-            .where(F.col("before") <= F.col("left"))
-            .groupBy("s")
-            .agg(F.max_by(F.struct((F.col("left") - F.col("before")).alias("left"), F.col("bucket").alias("range")), "bucket").alias("m"))
-            .select("s", "m.left", "m.range")
-        )
-        state = scratch.keep(state)
-    last = rows.join(state, rows["source"].eqNullSafe(state["s"])).where(F.shiftright("u", shift) == F.col("range"))
-    ranked = last.select("s", "u", "doc_id", "size", "left", "range", F.sum("size").over(W.partitionBy("s").orderBy("u", "doc_id", "size")).alias("sum"))
-    return (
-        ranked.groupBy("s")
-        .agg(
-            F.max(F.when(F.col("sum") <= F.col("left"), _here())).alias("last"),
-            F.max(F.when(F.col("sum") <= F.col("left"), F.col("sum"))).alias("sum"),
-            F.first("left").alias("left"),
-            F.first("range").alias("range"),
-        )
-        .select("s", "last", (F.col("left") - F.coalesce("sum", F.lit(0))).alias("gap"), "range")
-    )
-
-
-def _closing(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """n (the source), extra: the documents that were left out and fill the gap, the nearest one each time, as long as that brings the source nearer to its target.
-
-    While the nearest one fits, it is the largest that fits; so a round takes
-    all of them from the largest down to the first that no longer fits, as a
-    range of sizes (``size`` < x <= ``top``) and, of the size it ends in, the
-    ranks up to ``last``.  Each round leaves less than half of the gap.  A
-    document that passes the target ends its source.
+    sizes = scratch.keep(sized.groupBy("source", "size").agg(F.count("*").alias("m")))
+    goal = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), most, scratch)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goal.withColumn("whole", whole).withColumn("f", F.when(F.col("source_size") > 0, (F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size")).otherwise(0.0))
+    goal = scratch.keep(goal.withColumnRenamed("source", "s").drop("weight"))
+    used = sizes.where("size > 0").withColumn("class", class_of())
+    per = used.groupBy(F.col("source").alias("s"), "class").agg(F.sum("m").alias("n"), F.sum(F.col("size") * F.col("m")).alias("words"))
+    per = per.alias("p").join(goal.alias("g"), F.col("p.s").eqNullSafe(F.col("g.s"))).select("g.*", "class", "n", "words")
+    met = used.join(per.withColumnRenamed("class", "c"), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
+    odds = inclusion_odds()
+    met = met.withColumn("p", F.col("m") * odds / (1 + odds))
+    mean = F.when(F.sum("p") > 0, F.round(F.sum(F.col("p") * F.col("size")) / F.sum("p"), 6)).otherwise(F.first("words") / F.first("n"))
+    firsts = [F.first(c).alias(c) for c in ("n", "words", "f")]
+    classes = met.groupBy("s", "class").agg(mean.alias("mean"), *firsts)
+    # from the longest class down, what rounding leaves going to the next one; a source has some hundred classes at most
+    start = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<class:int,n:bigint,words:bigint,room:bigint>>").alias("got"))
+
+    def step(acc: Column, x: Column) -> Column:
+        want = acc["left"] + x["f"] * x["words"]
+        room = F.least(F.greatest(F.round(want / x["mean"]), F.lit(0.0)), x["n"].cast("double"))
+        own = F.struct(x["class"].alias("class"), x["n"].alias("n"), x["words"].alias("words"), room.cast("long").alias("room"))
+        return F.struct((want - room * x["mean"]).alias("left"), F.concat(acc["got"], F.array(own)).alias("got"))
+
+    listed = classes.groupBy("s").agg(F.reverse(F.array_sort(F.collect_list(F.struct("class", "n", "words", "mean", "f")))).alias("all"))
+    rooms = listed.select("s", F.explode(F.aggregate("all", start, step)["got"]).alias("r")).select(F.col("s").alias("of"), "r.*")
+    return goal.join(rooms, F.col("s").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def _key() -> Column:
+    """What orders the documents of a class: the ratio of odds, then the id; nulls first."""
+    return F.struct("q", F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "size")
+
+
+def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their stratum's plan, the ratio q of random odds to inclusion odds, and the bucket of q on a scale from 0 to 1."""
+    met = rows.withColumn("c", F.when(F.col("size") > 0, class_of())).join(plan, F.col("source").eqNullSafe(F.col("s")) & F.col("c").eqNullSafe(F.col("class")), "left").drop("c")
+    met = met.withColumn("q", F.try_divide(random_odds(F.col("u")), inclusion_odds()))
+    return met.withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * FANOUT**LEVELS).cast("long"))
+
+
+def _plan(sized: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """The strata, with the last document that each takes: its bucket and key, and how many rows with this key (of how many).
+
+    The last one is found by counts over ranges of q, range within range, each
+    step summed on the map side first; only the keys of the last range, about
+    one in a million, are ranked one by one.  So a source that holds most rows
+    is not gathered in any task.
     """
-    left = scratch.keep(rows.where(~F.col("sampled") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select("source", "u", "doc_id", "size", "gap"))
-    state = left.groupBy("source").agg(F.first("gap").alias("gap")).select(F.col("source").alias("n"), "gap", F.lit(None).cast("long").alias("end"), F.lit(None).cast(left.select(_here().alias("x")).schema["x"].dataType).alias("last"))
-    rounds = []
-    while True:
-        beyond = F.col("end").isNull() | (F.col("size") < F.col("end")) | ((F.col("size") == F.col("end")) & (F.col("last").isNull() | (_here() > F.col("last"))))
-        now = left.drop("gap").join(state, left["source"].eqNullSafe(state["n"])).where(beyond & (F.col("size") < 2 * F.col("gap")))
-        sizes = now.groupBy("n", "size").agg(F.sum("size").alias("sum"), F.min(_here()).alias("first"), F.first("gap").alias("gap"))
-        fits = F.col("size") <= F.col("gap")
-        sizes = sizes.withColumn("upto", F.sum(F.when(fits, F.col("sum")).otherwise(0)).over(W.partitionBy("n").orderBy(F.desc("size"))))
-        part = F.struct("size", "first", (F.col("gap") - F.col("upto") + F.col("sum")).alias("room"))
-        step = (
-            sizes.groupBy("n")
-            .agg(
-                F.first("gap").alias("gap"),
-                F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), F.col("first.u"), F.col("first.doc_id"), F.col("size"), F.col("first"))).alias("near"),
-                F.max(F.when(fits, F.col("size"))).alias("top"),
-                F.max("upto").alias("all"),
-                F.max_by(part, F.when(fits & (F.col("upto") > F.col("gap")), F.col("size"))).alias("part"),
-            )
-            .where(F.col("near.off") < F.col("gap"))
-        )
-        over, fit = F.col("near.size") > F.col("gap"), F.floor(F.col("part.room") / F.col("part.size"))
-        step = step.select(
-            "n",
-            F.when(over, F.col("near.size")).otherwise(F.col("top")).alias("top"),
-            F.when(over, F.col("near.size")).otherwise(F.coalesce("part.size", F.lit(0))).cast("long").alias("end"),
-            F.when(over, F.col("near.first")).when(fit > 0, F.col("part.first")).alias("last"),
-            F.when(over, F.col("gap") - F.col("near.size")).when(F.col("part").isNull(), F.col("gap") - F.col("all")).when(fit > 0, F.col("part.room") - F.col("part.size")).otherwise(F.col("part.room")).alias("gap"),
-            F.when(~over & (fit > 1), F.col("part.room")).alias("room"),
-        )
-        step = scratch.keep(step)
-        found, several = step.agg(F.count("*"), F.count("room")).first()
-        if not found:
-            break
-        if several:  # of one size more than one fits: the lowest ranks of that size
-            same = step.where("room is not null").select("n", "end", "room")
-            of_size = now.select("source", "u", "doc_id", "size").join(same, F.col("source").eqNullSafe(same["n"]) & (F.col("size") == F.col("end"))).select("source", "u", "doc_id", "size")
-            cut = _cut(scratch.keep(of_size), same.select(F.col("n").alias("source"), F.col("room").alias("left")), scratch).where("last is not null").select("s", F.col("last").alias("to"), F.col("gap").alias("then"))
-            step = scratch.keep(step.join(cut, step["n"].eqNullSafe(cut["s"]), "left").withColumns({"gap": F.when(F.col("to").isNotNull(), F.col("then")).otherwise(F.col("gap")), "last": F.coalesce("to", "last")}).drop("s", "to", "then"))
-        rounds.append(step.select("n", F.struct("top", "end", "last").alias("part")))
-        state = step.where("gap > 0").select("n", "gap", "end", "last")
-    whole = rounds[0] if rounds else step.select("n", F.struct("top", "end", "last").alias("part"))
-    for more in rounds[1:]:
-        whole = whole.unionAll(more)
-    return whole.groupBy("n").agg(F.collect_list("part").alias("extra"))
-
-
-def _sampled(sized: DataFrame, cut: DataFrame) -> DataFrame:
-    rows = sized.join(cut.withColumnRenamed("source", "s"), sized["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    bucket = F.shiftright("u", BITS - LEVELS * (FANOUT.bit_length() - 1))
-    taken = F.coalesce((bucket < F.col("range")) | ((bucket == F.col("range")) & (_here() <= F.col("last"))), F.lit(False))
-    return rows.withColumn("sampled", taken & (F.col("size") > 0))
-
-
-def _copies(sized: DataFrame, cut: DataFrame, near: DataFrame) -> DataFrame:
-    """All columns of ``sized`` and of the plan, and copies."""
-    rows = _sampled(sized, cut)
-    rows = rows.join(near, rows["source"].eqNullSafe(near["n"]), "left")
-    # of equal rows that all match a closing one, each would count: their ids are equal, which the ids of a table are not
-    size = F.col("size")
-    extra = F.coalesce(F.exists("extra", lambda x: ((size > x["end"]) & (size <= x["top"])) | ((size == x["end"]) & (_here() <= x["last"]))), F.lit(False)) & ~F.coalesce("sampled", F.lit(False))
-    return rows.withColumn("copies", F.col("whole") + F.when(F.col("sampled") | extra, 1).otherwise(0))
+    rooms = scratch.keep(strata(sized, most, scratch).withColumn("words", F.coalesce("words", F.lit(0)).cast("long")))
+    open_ = rooms.where("room > 0 and room < n")
+    state = open_.select("s", "class", F.col("room").alias("need"), F.lit(0).cast("long").alias("range"))
+    keys = ["s", "class"]
+    meets = lambda a, b: F.col(f"{a}.s").eqNullSafe(F.col(f"{b}.s")) & (F.col(f"{a}.class") == F.col(f"{b}.class"))
+
+    def inside(level: int) -> DataFrame:
+        ranked = _ranked(sized, open_).where("class is not null").withColumn("at", F.floor(F.col("bucket") / FANOUT ** (LEVELS - level)))
+        near = ranked.alias("r").join(state.alias("t"), meets("r", "t") & (F.col("at") == F.col("range")))
+        return near.select("r.s", "r.class", "bucket", "need", "range", "q", "doc_id", "size")
+
+    def crossing(counts: DataFrame, *order: str) -> DataFrame:
+        upto = W.partitionBy(*keys).orderBy(*order)
+        return counts.withColumn("upto", F.sum("m").over(upto)).withColumn("before", F.col("upto") - F.col("m")).where("before < need and need <= upto")
+
+    for level in range(LEVELS):
+        at = F.floor(F.col("bucket") / FANOUT ** (LEVELS - level - 1)).cast("long")
+        counts = inside(level).groupBy(*keys, at.alias("to")).agg(F.count("*").alias("m"), F.first("need").alias("need"))
+        state = scratch.keep(crossing(counts, "to").select(*keys, (F.col("need") - F.col("before")).alias("need"), F.col("to").alias("range")))
+    same = inside(LEVELS).groupBy(*keys, _key().alias("last")).agg(F.count("*").alias("m"), F.first("need").alias("need"), F.first("range").alias("range"))
+    ends = crossing(same, "last").select(F.col("s").alias("of"), F.col("class").alias("in"), "range", "last", (F.col("need") - F.col("before")).alias("some"), F.col("m").alias("all"))
+    return scratch.keep(rooms.join(ends, F.col("s").eqNullSafe(F.col("of")) & (F.col("class") == F.col("in")), "left").drop("of", "in"))
+
+
+def _copies(rows: DataFrame, plan: DataFrame, among: Column) -> DataFrame:
+    """All columns of ``rows`` and of the plan, and copies; ``among`` decides between rows of which not all are taken."""
+    goals = plan.select("s", "source_size", "target", "whole").distinct()
+    met = _ranked(rows, plan.drop("source_size", "target", "whole").withColumnRenamed("s", "s0").withColumn("s", F.col("s0")).drop("s0"))
+    met = met.drop("s").join(goals, F.col("source").eqNullSafe(F.col("s")), "left")
+    first = (F.col("bucket") < F.col("range")) | ((F.col("bucket") == F.col("range")) & (_key() < F.col("last")))
+    at_end = F.coalesce((F.col("bucket") == F.col("range")) & (_key() == F.col("last")), F.lit(False))
+    taken = F.coalesce(F.when(F.col("room") >= F.col("n"), True).when(F.col("room") > 0, first | at_end), F.lit(False))
+    copies = lambda sampled: F.col("whole") + sampled.cast("long")
+    if plan.where("some < all").isEmpty():
+        return met.withColumn("copies", copies(taken))
+    split = F.coalesce(F.col("some") < F.col("all"), F.lit(False)) & at_end
+    place = F.row_number().over(W.partitionBy("s", "class").orderBy(among))
+    one_by_one = met.where(split).withColumn("copies", copies(place <= F.col("some")))
+    return met.where(~split).withColumn("copies", copies(taken)).unionByName(one_by_one)

@@ -80,15 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: A text's words, as the contracts define them.
 SQL_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-#: The documents that close a source's sample, one after the other.
-CLOSING_SQL = ", ".join(
-    f"""e{k} AS (SELECT source, arg_min(doc_id, (abs(gap - size), u, doc_id)) AS extra, arg_min(size, (abs(gap - size), u, doc_id)) AS filled
-                FROM g{k} WHERE NOT sampled AND size > 0 AND abs(gap - size) < gap GROUP BY source),
-            g{k + 1} AS (SELECT g{k}.* REPLACE (sampled OR coalesce(doc_id = extra, false) AS sampled, gap - coalesce(filled, 0) AS gap)
-                FROM g{k} LEFT JOIN e{k} ON g{k}.source IS NOT DISTINCT FROM e{k}.source)"""
-    for k in range(mixing.CLOSING)
-)
-
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {SQL_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
@@ -102,17 +93,27 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.label AS component_id FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
     """,
     "op2_source_mix": f"""
-        WITH d AS MATERIALIZED (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT AS u FROM documents),
+        WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT AS u FROM documents),
             s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
             o AS (SELECT *, 3.0::DOUBLE * source_size AS most, row_number() OVER f AS k, coalesce(sum(3.0::DOUBLE * source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
                 sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM s WINDOW f AS (ORDER BY source_size / weight, source)),
             r AS (SELECT arg_min(((SELECT sum(source_size) FROM s) - held) / w, k) AS rate FROM o WHERE ((SELECT sum(source_size) FROM s) - held) / w * weight <= most),
-            t AS (SELECT source, source_size, least(rate * weight, most) AS target, floor(least(rate * weight, most) / source_size)::BIGINT AS whole,
-                least(rate * weight, most) - floor(least(rate * weight, most) / source_size) * source_size AS rest FROM o, r),
-            c AS (SELECT d.*, t.source_size, target, whole, rest, sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-            g0 AS (SELECT *, upto <= rest AND size > 0 AS sampled, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c),
-            {CLOSING_SQL}
-        SELECT doc_id, size, source_size, target, ((whole + CASE WHEN sampled THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM g{mixing.CLOSING}
+            t AS MATERIALIZED (SELECT source, source_size, target, whole, (target - whole * source_size) / source_size AS f
+                FROM (SELECT *, floor(target / source_size)::BIGINT AS whole FROM (SELECT source, source_size, least(rate * weight, most) AS target FROM o, r))),
+            b AS (SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS class FROM d WHERE size > 0),
+            n AS MATERIALIZED (SELECT source, class, count(*) AS n, sum(size)::BIGINT AS words FROM b GROUP BY source, class),
+            i AS MATERIALIZED (SELECT b.*, n.n, n.words, f, f / (1 - f) * (size * n.n)::DOUBLE / n.words::DOUBLE AS odds
+                FROM b JOIN n ON n.source IS NOT DISTINCT FROM b.source AND n.class = b.class JOIN t ON t.source IS NOT DISTINCT FROM b.source),
+            c AS MATERIALIZED (SELECT source, class, n, words, f, CASE WHEN sum(odds / (1 + odds)) > 0 THEN round(sum(odds / (1 + odds) * size) / sum(odds / (1 + odds)), 6) ELSE words::DOUBLE / n END AS mean,
+                row_number() OVER (PARTITION BY source ORDER BY class DESC) AS step FROM i GROUP BY source, class, n, words, f),
+            walk AS (SELECT source, 0::BIGINT AS step, 0::DOUBLE AS rest, NULL::BIGINT AS class, 0::BIGINT AS room FROM t
+                UNION ALL SELECT source, step, want - room * mean, class, room FROM (SELECT c.*, rest + f * words AS want, least(greatest(round((rest + f * words) / mean), 0), c.n)::BIGINT AS room
+                    FROM walk w JOIN c ON c.source IS NOT DISTINCT FROM w.source AND c.step = w.step + 1)),
+            k AS (SELECT i.doc_id, i.source, i.size, row_number() OVER (PARTITION BY i.source, i.class ORDER BY (u + 0.5::DOUBLE) / (pow(2::DOUBLE, 52) - u - 0.5::DOUBLE) / odds, doc_id::VARCHAR, size) <= room AS sampled
+                FROM i JOIN walk w ON w.source IS NOT DISTINCT FROM i.source AND w.class = i.class),
+            e AS (SELECT doc_id, source, size, sampled FROM k UNION ALL SELECT doc_id, source, size, false FROM d WHERE size = 0)
+        SELECT doc_id, size, coalesce(t.source_size, 0)::BIGINT AS source_size, coalesce(target, 0) AS target, ((coalesce(whole, 0) + CASE WHEN sampled THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+            FROM e LEFT JOIN t ON t.source IS NOT DISTINCT FROM e.source
     """,
     "op5_url_filter": rf"""
         WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -202,10 +202,8 @@ def test_mix_reaches_targets(spark):
 
 
 def test_mix_closes_a_gap_of_many_documents(spark):
-    """A long document in the middle of the ranks leaves a gap that takes many short ones."""
-    u = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:13]
-    long = sorted(range(101), key=u)[50]
-    texts = ["w " * (20_000 if i == long else 200) for i in range(101)] + ["w " * 100] * 120
+    """Short documents make up for a long one that is not taken."""
+    texts = ["w " * (20_000 if i == 50 else 200) for i in range(101)] + ["w " * 100] * 120
     rows = mixing.mix(docs(spark, texts, ["a"] * 101 + ["b"] * 120)).collect()
     for s in "ab":
         mine = [x for x in rows if x["source"] == s]
@@ -232,15 +230,35 @@ def test_mixed_documents_repeat(spark):
     assert Counter(x["doc_id"] for x in out.collect()) == Counter({k: v for k, v in plan.items() if v})
 
 
-def test_pareto_inclusion_is_even(spark):
-    """Over many seeds of ids each document of a source enters about as often."""
-    n = 400
-    df = docs(spark, ["w"] * (2 * n), ["a"] * n + ["b"] * n)
-    rows = mixing.mix(df).collect()
-    taken = Counter()
-    for x in rows:
-        taken[x["source"]] += x["taken"]
-    assert taken["a"] == pytest.approx(2 * n / 3, abs=1) and taken["b"] == pytest.approx(4 * n / 3, abs=1)
+def test_mix_of_repeated_rows(spark):
+    """Copies of a row are single rows in the ranks."""
+    ids = [1, 1] + [3] * 3 + [None] * 4 + list(range(10, 25))
+    rows = mixing.mix(docs(spark, ["w " * 9] * len(ids) + ["w " * 9] * 24, ["a"] * len(ids) + ["b"] * 24, ids=ids + list(range(100, 124)))).collect()
+    for s in "ab":
+        mine = [x for x in rows if x["source"] == s]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 4.5
+    df = docs(spark, ["w w"] * 30 + ["w w"] * 30, ["a"] * 30 + ["b"] * 30, ids=[7] * 30 + [8] * 30)
+    plan = Counter((x["source"], x["doc_id"]) for x in mixing.mixed_documents(df).collect())
+    assert plan == {("a", 7): 20, ("b", 8): 40}
+
+
+def test_pareto_inclusion_follows_the_odds(spark):
+    """Over many sources: the sample's size is fixed, and longer documents of a class are in it more often, as their odds say."""
+    m = 3000
+    texts = ["w " * 64, "w " * 71] * 3
+    df = docs(spark, texts * m, [f"s{i:05d}" for i in range(m) for _ in range(6)])
+    extra, odd = Counter(), Counter()
+    for x in mixing.mix(df).collect():
+        if x["target"] / x["source_size"] % 1 > 0.1:
+            more = x["copies"] - int(x["target"] // x["source_size"])
+            extra[x["source"]] += more
+            odd[x["size"]] += more
+    assert len(extra) == 2 * m // 3 and set(extra.values()) == {3}
+    share = {k: v / m for k, v in odd.items()}
+    assert share[64] + share[71] == pytest.approx(2)
+    c = 71 / 64  # p / (1 - p) in proportion to size, and p + p' = 1
+    p = c**0.5 / (1 + c**0.5)
+    assert share[71] / 2 == pytest.approx(p, abs=0.02) and share[71] > share[64]
 
 
 # 3: exact top-k
