@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 import zlib
 from functools import lru_cache
 
@@ -61,8 +62,8 @@ def encoder(path: str):
         if not any(x in text for x in special):
             try:
                 return fast.encode_ordinary(text)
-            except Exception:  # a backtracking limit of its pattern engine
-                pass
+            except (ValueError, RuntimeError) as e:  # a backtracking limit of its pattern engine
+                warnings.warn(f"a text of {len(text)} characters goes to the slower tokenizer: {e}", stacklevel=2)
         return exact_encoder(path).encode(text, add_special_tokens=False).ids
 
     return encode
@@ -92,14 +93,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
     return returned(given(docs, "text").mapInPandas(cut, PIECES))
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, late: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bin and place of each item, in the given order.
 
-    N(g) is the number of open bins with gap g.  An item goes to the open bin
-    for which the sum of N(g)**2 gets smallest; of equal choices, to the
-    smallest gap.  A new bin is opened only if no open one has room: letting
-    it compete costs one per cent more bins.  Full bins are closed and not
-    counted.
+    N(g) is the number of open bins with gap g.  An item goes where the sum of
+    N(g)**2 gets smallest: into an open bin of some gap, or into a new one.  Of
+    equal choices the smallest gap counts, a new bin last.  Full bins are
+    closed and not counted.  ``late``: a new bin is opened only if no open one
+    has room.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -109,15 +110,17 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     for i, s in enumerate(lengths.tolist()):
         # the change of the sum, by the gap from s to capacity - 1
         change = 2 * (count[: capacity - s] - count[s:capacity]) + 2
+        gap, least = capacity, never if late else 2 * int(count[capacity - s]) + 1 if s < capacity else 0
         if len(change):
             change[0] -= 1
             change[count[s:capacity] == 0] = never
             k = int(change.argmin())
-        if not len(change) or change[k] == never:
-            gap, b = capacity, len(used)
+            if change[k] < never and change[k] <= least:
+                gap = s + k
+        if gap == capacity:
+            b = len(used)
             used.append(0)
         else:
-            gap = s + k
             b = open_bins[gap].pop()
             count[gap] -= 1
         bins[i], places[i] = b, used[b]
@@ -128,15 +131,28 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, places
 
 
+def two_passes(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and place of each item: all by :func:`sum_of_squares`, then those of the bins that stayed open once more, with new bins late.  Items should come largest first."""
+    bins, places = sum_of_squares(lengths, capacity)
+    total = np.bincount(bins, lengths, minlength=1).astype(np.int64)
+    again = np.flatnonzero(total[bins] < capacity) if len(bins) else np.zeros(0, np.int64)
+    more, at = sum_of_squares(lengths[again], capacity, late=True)
+    if len(again) and more.max() + 1 < len(np.unique(bins[again])):
+        bins[again], places[again] = more + len(total), at
+        bins = np.unique(bins, return_inverse=True)[1]
+    return bins, places
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...).
 
     A piece of full length is a sequence alone.  The others are dealt by hash
     into groups of about ``group`` pieces, so that a task holds a bounded
     number and no document or source decides a group's size; each group is
-    packed by :func:`sum_of_squares`, largest first; what a group leaves open
-    is about one sequence in a thousand.
-    An empty table gives an empty table.
+    packed by :func:`two_passes`, largest first, equal lengths by id and piece;
+    what a group leaves open is about one sequence in a thousand.  Repeated
+    rows are packed one by one; null ids stay null.  An empty table gives an
+    empty table.
     """
     spark = cut.sparkSession
     scratch = scratch or Scratch(spark, "packing")
@@ -150,7 +166,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, scratch:
     def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].to_numpy(np.int64)
-        bins, places = sum_of_squares(lengths, capacity)
+        bins, places = two_passes(lengths, capacity)
         rows["sequence_id"], rows["offset"] = bins * groups + key[0], places
         return rows.drop(columns="group")
 

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from tessella.llm import media, mixing, ngram_join, packing, quality, secrets, token_counts, topk, toxicity, url_rules
 from tessella.llm.labelled import held_out
 
-TOKENIZERS = "/opt/tokenizers"
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +34,9 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-def op4_secret_scan(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    vocabulary = f"{tokenizers}/byte_bpe_50k.json"
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(vocabulary=vocabulary), vocabulary)
+def op4_secret_scan(spark: SparkSession, sf_dir: str, words: str | None = None) -> DataFrame:
+    words = words or vocabulary("byte_bpe_50k.json")
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(vocabulary=words), words)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +47,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
-def op7_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json"))
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json")))
 
 
-def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json")
+def op8_token_counts(spark: SparkSession, sf_dir: str, pieces: str | None = None) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces or vocabulary("word_bpe_49k.json"))
 
 
 def _scored(rows: DataFrame, least: float) -> DataFrame:

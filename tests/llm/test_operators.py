@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm import media, mixing, ngram_join, packing, quality, secrets, token_counts, topk, toxicity, url_rules
 from tessella.llm.labelled import held_out, one_per_family, training_sample
+from tessella.llm.queries import vocabulary
 from tessella.llm.words import Words, blocks, shingles, utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-WORD_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = vocabulary("byte_bpe_50k.json")
+WORD_VOCABULARY = vocabulary("word_bpe_49k.json")
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu", "nu", "xi", "om", "pi", "rho", "sig", "tau", "ups"]
 EDGE_TEXTS = [None, "", "   \n\t ", "one", "Éa ß\u00a0x \x0b y", "x" * 30_000, " ".join(["long"] * 20_000), "\x00 nul <|endoftext|> 😀"]
 
@@ -537,12 +538,12 @@ def test_pieces_are_the_tokenizers(spark):
     assert got == want
 
 
-def brute_sum_of_squares(lengths, capacity):
+def brute_sum_of_squares(lengths, capacity, late=False):
     bins = []
     for s in lengths:
         best = None
         fits = sorted({capacity - b for b in bins if s <= capacity - b < capacity})
-        for gap in fits or [capacity]:
+        for gap in [*fits, *([] if late and fits else [capacity])]:
             trial = [capacity - b for b in bins]
             if gap < capacity:
                 trial.remove(gap)
@@ -561,12 +562,19 @@ def brute_sum_of_squares(lengths, capacity):
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_sum_of_squares_rule(lengths):
     x = np.array(lengths, np.int64)
-    bins, places = packing.sum_of_squares(x, 20)
-    fill = Counter()
-    for b, p, s in zip(bins.tolist(), places.tolist(), lengths, strict=True):
-        assert p == fill[b]
-        fill[b] += s
-    assert Counter(fill.values()) == brute_sum_of_squares(lengths, 20)
+
+    def filled(bins, places):
+        fill = Counter()
+        for b, p, s in sorted(zip(bins.tolist(), places.tolist(), lengths, strict=True)):
+            assert p == fill[b]
+            fill[b] += s
+        return Counter(fill.values())
+
+    once = filled(*packing.sum_of_squares(x, 20))
+    assert once == brute_sum_of_squares(lengths, 20)
+    assert filled(*packing.sum_of_squares(x, 20, late=True)) == brute_sum_of_squares(lengths, 20, True)
+    twice = filled(*packing.two_passes(x, 20))
+    assert twice.total() <= once.total() and max(twice, default=0) <= 20 and sum(k * n for k, n in twice.items()) == sum(lengths)
 
 
 def check_packed(rows, capacity=1024):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import DOCS, WORDS, brute_components, brute_pieces, check_packed
 from tokenizers import Tokenizer
 
-from tessella.llm.queries import TOKENIZERS
+from tessella.llm.queries import vocabulary
 
 
 def corpus(spark, path):
@@ -56,7 +56,7 @@ def test_stages(spark, tmp_path):
     assert set(copies) <= heads and max(copies.values()) <= 3
     words = sum(len((after[i] or "").split()) for i in after)
     assert abs(sum(n * len((after[i] or "").split()) for i, n in copies.items()) - words) <= 0.05 * words
-    exact = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    exact = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     want = Counter((i, *p) for i, n in copies.items() for p in brute_pieces(after[i], exact) for _ in range(n))
     got = packed.collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
