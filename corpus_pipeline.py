@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import mixing, ngram_join, packing, secrets, toxicity
-from tessella.llm.queries import TOKENIZERS, table
+from tessella.llm.queries import table, vocabulary
 from tessella.plans.store import Scratch
 
 TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below TOXIC."""
+    """Documents whose toxicity is below TOXIC; null and empty texts stay, repeated rows share one fate.  An empty table gives an empty table, as in all stages; columns of any name are kept in all but the last."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.toxic_column(model, docs) < TOXIC)
 
@@ -28,19 +28,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a marker."""
-    vocabulary = f"{TOKENIZERS}/byte_bpe_50k.json"
-    return secrets.redact(docs, secrets.fit(vocabulary=vocabulary), vocabulary)
+    """All documents, with secrets replaced by a marker; null and empty texts as they are, repeated rows each."""
+    words = vocabulary("byte_bpe_50k.json")
+    return secrets.redact(docs, secrets.fit(vocabulary=words), words)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; null texts have no words and are taken as their source's certain copies, repeated rows one by one."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
-    return packing.pack(packing.pieces(docs, f"{TOKENIZERS}/byte_bpe_50k.json"))
+    """Pieces of documents with their sequence and place; a null text is one piece of the end id, repeated documents have pieces each."""
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json")))
 
 
 STAGES = [
