@@ -125,19 +125,20 @@ ORACLE: dict[str, str] = {
             h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
             w AS (SELECT *, CASE {" ".join(f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(url_rules.RULES, key=lambda x: -len(x[1])))} END AS rule,
-                list_sort(list_distinct(list_concat(list_transform(list_reverse(string_split(host, '.'))[1:4], lambda x, i: 'h' || (i - 1)::VARCHAR || '=' || x),
-                    list_filter([CASE WHEN regexp_extract(path, '^/([^/]*)', 1) <> '' THEN 'p=' || regexp_replace(regexp_extract(path, '^/([^/]*)', 1), '[0-9]+', '0', 'g') END,
-                        CASE WHEN regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) <> '' THEN 'x=' || regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) END,
-                        CASE WHEN contains(url, '?') THEN 'q' END], lambda x: x IS NOT NULL)))) AS items FROM h),
+                list_sort(list_distinct(list_filter(list_concat(
+                    list_transform(list_reverse(string_split(host, '.')), lambda x, i: CASE WHEN x <> '' THEN 'h' || (i - 1)::VARCHAR || '=' || regexp_replace(x, '[0-9]+', '0', 'g') END),
+                    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x, i: 'p' || (i - 1)::VARCHAR || '=' || regexp_replace(x, '[0-9]+', '0', 'g')),
+                    [CASE WHEN regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) <> '' THEN 'x=' || regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) END],
+                    list_transform(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: CASE WHEN string_split(x, '=')[1] <> '' THEN 'q=' || regexp_replace(string_split(x, '=')[1], '[0-9]+', '0', 'g') END)), lambda x: x IS NOT NULL))) AS items FROM h),
             j AS MATERIALIZED (SELECT *, CASE rule {" ".join(f"WHEN '{r}' THEN '{v}'" for v, r in url_rules.RULES)} END AS judged, row_number() OVER () AS k FROM w),
             b AS (SELECT k, judged, items, unnest(range(1, (2 ** len(items))::BIGINT)) AS mask FROM j),
             s AS MATERIALIZED (SELECT k, judged, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS part FROM b),
-            n AS (SELECT part, count(*) AS n FROM s GROUP BY part),
-            r AS (SELECT part, judged AS verdict, count(*)::DOUBLE / any_value(n.n)::DOUBLE AS confidence, count(*)::DOUBLE / (SELECT count(*) FROM j)::DOUBLE AS support
+            n AS (SELECT part, count(*) AS n FROM s WHERE judged IS NOT NULL GROUP BY part),
+            r AS (SELECT part, judged AS verdict, count(*)::DOUBLE / any_value(n.n)::DOUBLE AS confidence, count(*)::DOUBLE / (SELECT count(judged) FROM j)::DOUBLE AS support
                 FROM s JOIN n USING (part) WHERE judged IS NOT NULL GROUP BY part, judged
-                HAVING count(*) >= ceil({url_rules.MIN_SUPPORT} * (SELECT count(*) FROM j)) AND count(*)::DOUBLE / any_value(n.n)::DOUBLE >= {url_rules.MIN_CONFIDENCE}),
-            m AS (SELECT k, max((confidence, support, len(part), verdict = 'block', verdict)) AS best FROM s JOIN r USING (part) WHERE s.judged IS NULL GROUP BY k)
-        SELECT page_id, host, path, rule, coalesce(judged, best[5], 'allow') AS verdict, best[1] AS confidence FROM j LEFT JOIN m USING (k)
+                HAVING count(*) >= ceil({url_rules.MIN_SUPPORT} * (SELECT count(judged) FROM j)) AND count(*)::DOUBLE / any_value(n.n)::DOUBLE >= {url_rules.MIN_CONFIDENCE}),
+            m AS (SELECT k, max((confidence, support, verdict = 'block', verdict)) AS best FROM s JOIN r USING (part) WHERE s.judged IS NULL GROUP BY k)
+        SELECT page_id, host, path, rule, coalesce(judged, best[4], 'allow') AS verdict, best[1] AS confidence FROM j LEFT JOIN m USING (k)
     """,
     "op3_exact_topk": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
