@@ -25,8 +25,8 @@ WIDTH, HEIGHT, FPS = 64, 32, 25
 BLOCK = 64
 FRAME_BLOCKS = WIDTH * HEIGHT // BLOCK
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-CLIPS = "doc_id long, clip int, first_frame int, n_frames int, start_s double, end_s double"
+DIGEST = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+CLIPS = "doc_id string, clip int, first_frame int, n_frames int, start_s double, end_s double"
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -216,7 +216,7 @@ def _each(docs: DataFrame, row, schema: str) -> DataFrame:
 
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as an AVI file.  A null text counts as empty (64 zero bytes)."""
-    return _each(docs, lambda doc_id, text: [(doc_id, (p := payload(text))[0], write_avi(p[1]))], "doc_id long, n_bytes long, media binary")
+    return _each(docs, lambda doc_id, text: [(doc_id, (p := payload(text))[0], write_avi(p[1]))], "doc_id string, n_bytes long, media binary")
 
 
 def clips(stored: DataFrame) -> DataFrame:

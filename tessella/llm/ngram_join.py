@@ -8,7 +8,9 @@ share a prefix token and whose sizes allow t are candidates; their members are
 verified by exact counts.
 
 1. Shingle hashes travel as sorted blocks to the task of their hash range,
-   which counts in how many classes each occurs.  A shingle of one class links
+   which counts in how many classes each occurs.  The load of the ranges is
+   counted before; one that holds a very frequent shingle is dealt over several
+   tasks by class, whose counts are then summed.  A shingle of one class links
    nothing; only the others (some 6 % of all) go on, to the task of their
    class's range, which orders them and cuts the prefix.
 2. Each prefix token has a pivot group, another one in each of a few rounds.
@@ -27,12 +29,14 @@ a probability of some 1e-9.  Set identities have 64 bits.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import NO_ID, U, Words, blocks, given, mix, returned, shingles, tune, utf8
+from tessella.llm.words import U, Words, blocks, mix, shingles, tune, utf8
 from tessella.operators.stars import star_components
 from tessella.plans.store import Scratch
 
@@ -41,8 +45,10 @@ PART_KEYS = 1_000_000  # shingles that a counting task holds
 FLUSH_KEYS, FLUSH_DOCS = 600_000, 60_000
 ROUNDS, FEW, SIDE = 2, 32, 256
 BROADCAST_IDS = 1_000_000  # some 20 MB in each executor
+NO_ID = (1 << 63) - 1  # what stands for a null id among ids that are compared; nulls are marked beside it
+CHUNK_KEYS = 1 << 16  # shingles in a row of a range that is dealt over tasks
 
-SENT = "part long, base long, keys binary, docs binary, sets binary, ids binary, sizes binary"
+SENT = "part long, salt long, base long, keys binary, docs binary, sets binary, ids binary, nulls binary, sizes binary"
 CLASS = "set_id long, n long, id long, keys binary, prefix array<long>"
 
 
@@ -51,52 +57,92 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U(16)) * U(parts)) >> U(KEY_BITS - 16)
 
 
-def _send(sets: list[np.ndarray], ids: list[int], parts: int) -> list[tuple]:
-    """A block of documents as rows: one with the documents, one per hash range with its shingles."""
-    sizes = np.array([len(x) for x in sets], np.int64)
+def _held(batches, k: int):
+    """Shingle sets, ids and null marks of some documents at a time."""
+    sets: list[np.ndarray] = []
+    ids: list[int] = []
+    nulls: list[bool] = []
+    held = 0
+    for block in blocks(batches):
+        fresh = shingles(Words([utf8(x) for x in block["text"]]), k)
+        sets += fresh
+        ids += block["doc_id"].tolist()
+        nulls += block["no_id"].tolist()
+        held += sum(map(len, fresh))
+        if held >= FLUSH_KEYS or len(sets) >= FLUSH_DOCS - 4096:
+            yield sets, ids, nulls
+            sets, ids, nulls, held = [], [], [], 0
+    if sets:
+        yield sets, ids, nulls
+
+
+def _entries(sets: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Set ids; and of different sets the sorted shingle keys, for each the place of its set, and the set ids by place."""
     with_sum = [int(mix(x).sum()) ^ (len(x) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for x in sets]
     set_ids = np.array(with_sum, U)
-    ids_ = np.array(ids, np.int64)
-    some = sizes > 0
-    where = int(mix(set_ids[:1] + U(len(sets)))[0] >> U(34)) if len(sets) else 0
-    out = [(-1 - where, 0, b"", b"", set_ids.tobytes(), ids_.tobytes(), sizes.tobytes())]
     _, first = np.unique(set_ids, return_index=True)  # copies in a block send their set once
-    first = first[some[first]]
+    first = np.array([i for i in first if len(sets[i])], np.int64)
     if not len(first):
-        return out
+        return set_ids, np.zeros(0, U), np.zeros(0, np.uint16), np.zeros(0, U)
     keys = np.concatenate([sets[i] >> U(64 - KEY_BITS) for i in first])
-    docs = np.repeat(np.arange(len(first), dtype=np.uint16), sizes[first])
+    docs = np.repeat(np.arange(len(first), dtype=np.uint16), [len(sets[i]) for i in first])
     order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
+    return set_ids, keys[order], docs[order], set_ids[first]
+
+
+def _loads(k: int, parts: int):
+    """How many shingles each range will be sent."""
+
+    def run(batches):
+        total = np.zeros(parts, np.int64)
+        for sets, _, _ in _held(batches, k):
+            total += np.bincount(_part(_entries(sets, parts)[1], parts).astype(np.int64), minlength=parts)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"part": at, "n": total[at]})
+
+    return run
+
+
+def _salt(sets: np.ndarray, salts: int) -> np.ndarray:
+    return mix(sets + U(11)) % U(salts)
+
+
+def _packed(keys: np.ndarray, docs: np.ndarray, own: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    step = np.diff(keys, prepend=keys[0])
+    packed = step.astype("<u4") if int(step.max()) < 1 << 32 else keys
+    used, local = np.unique(docs, return_inverse=True)
+    return int(keys[0]), packed.tobytes(), local.astype("<u2").tobytes(), own[used].tobytes()
+
+
+def _send(sets: list[np.ndarray], ids: list[int], nulls: list[bool], parts: int, salts: dict[int, int], split: bool) -> list[tuple]:
+    """A block of documents as rows: one with the documents, one per hash range with its shingles; or only those of the ranges that are dealt over salts, if ``split``."""
+    set_ids, keys, docs, own = _entries(sets, parts)
+    out = []
+    if not split:
+        where = int(mix(set_ids[:1] + U(len(sets)))[0] >> U(34)) if len(sets) else 0
+        sizes = np.array([len(x) for x in sets], np.int64)
+        out.append((-1 - where, 0, 0, b"", b"", set_ids.tobytes(), np.array(ids, np.int64).tobytes(), np.array(nulls, np.uint8).tobytes(), sizes.tobytes()))
     edge = np.searchsorted(_part(keys, parts), np.arange(parts + 1, dtype=U))
-    own = set_ids[first]
-    for p in range(parts):
+    for p in np.flatnonzero(np.diff(edge)).tolist():
         a, b = int(edge[p]), int(edge[p + 1])
-        if a == b:
+        if (p in salts) != split:
+            continue
+        if not split:
+            out.append((p, 0, *_packed(keys[a:b], docs[a:b], own), b"", b"", b""))
             continue
-        step = np.diff(keys[a:b], prepend=keys[a])
-        packed = step.astype("<u4") if int(step.max()) < 1 << 32 else keys[a:b]
-        used, local = np.unique(docs[a:b], return_inverse=True)
-        out.append((p, int(keys[a]), packed.tobytes(), local.astype("<u2").tobytes(), own[used].tobytes(), b"", b""))
+        salt = _salt(own, salts[p])[docs[a:b]]
+        for s in np.unique(salt).tolist():
+            mine = salt == s
+            out.append((p, s, *_packed(keys[a:b][mine], docs[a:b][mine], own), b"", b"", b""))
     return out
 
 
-def _sender(k: int, parts: int):
+def _sender(k: int, parts: int, salts: dict[int, int], split: bool):
+    names = [x.split()[0] for x in SENT.split(",")]
+
     def run(batches):
-        names = [x.split()[0] for x in SENT.split(",")]
-        sets: list[np.ndarray] = []
-        ids: list[int] = []
-        held = 0
-        for block in blocks(batches):
-            fresh = shingles(Words([utf8(x) for x in block["text"]]), k)
-            sets += fresh
-            ids += block["doc_id"].tolist()
-            held += sum(map(len, fresh))
-            if held >= FLUSH_KEYS or len(sets) >= FLUSH_DOCS - 4096:
-                yield pd.DataFrame(_send(sets, ids, parts), columns=names)
-                sets, ids, held = [], [], 0
-        if sets:
-            yield pd.DataFrame(_send(sets, ids, parts), columns=names)
+        for sets, ids, nulls in _held(batches, k):
+            yield pd.DataFrame(_send(sets, ids, nulls, parts, salts, split), columns=names)
 
     return run
 
@@ -114,7 +160,85 @@ def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-COUNTED = "bucket long, sets binary, lens binary, keys binary, counts binary, ids binary, sizes binary"
+COUNTED = "bucket long, sets binary, lens binary, keys binary, counts binary, ids binary, nulls binary, sizes binary"
+
+
+def _by_bucket(keys: np.ndarray, owners: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Shingles with their counts as rows for the ranges of their sets."""
+    bucket = (owners >> U(32)) * U(buckets) >> U(32)
+    order = np.lexsort((owners, bucket))
+    keys, owners, counts, bucket = keys[order], owners[order], counts[order], bucket[order]
+    edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
+    out = []
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        s = slice(int(edge[b]), int(edge[b + 1]))
+        own, lens = np.unique(owners[s], return_counts=True)
+        out.append((b, own.tobytes(), lens.astype("<u4").tobytes(), keys[s].tobytes(), counts[s].astype("<u4").tobytes(), b"", b"", b""))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in COUNTED.split(",")])
+
+
+def _single(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry for each key and set, in order."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    keep = np.r_[True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])] if len(keys) else np.zeros(0, bool)
+    return keys[keep], owners[keep]
+
+
+SPLIT = "part long, salt long, keys binary, owners binary"
+
+
+def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The entries of one salt of a range, each once, in rows of bounded size."""
+    keys, owners = _single(*_unpack(rows))
+    cut = range(0, len(keys), CHUNK_KEYS)
+    return pd.DataFrame([(key[0], key[1], keys[a : a + CHUNK_KEYS].tobytes(), owners[a : a + CHUNK_KEYS].tobytes()) for a in cut], columns=["part", "salt", "keys", "owners"])
+
+
+def _partial(batches):
+    """Counts of the keys of a row."""
+    for batch in batches:
+        out = []
+        for part, raw in zip(batch["part"], batch["keys"], strict=True):
+            keys, n = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
+            out.append((part, keys.tobytes(), n.astype("<u8").tobytes()))
+        yield pd.DataFrame(out, columns=["part", "keys", "counts"])
+
+
+def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The keys of a range that more than one class has, with their counts."""
+    keys = np.concatenate([np.frombuffer(x, "<u8") for x in rows["keys"]])
+    n = np.concatenate([np.frombuffer(x, "<u8") for x in rows["counts"]]).astype(np.int64)
+    keys, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, n).astype(np.int64)
+    many = total > 1
+    return pd.DataFrame([(key[0], keys[many].tobytes(), np.minimum(total[many], (1 << 32) - 1).astype("<u4").tobytes())], columns=["part", "common", "counts"])
+
+
+def _counted_again(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for raw, own, common, counts in zip(batch["keys"], batch["owners"], batch["common"], batch["counts"], strict=True):
+                keys, owners = np.frombuffer(raw, "<u8"), np.frombuffer(own, "<u8")
+                known, n = np.frombuffer(common, "<u8"), np.frombuffer(counts, "<u4")
+                at = np.searchsorted(known, keys)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == keys[hit]
+                yield _by_bucket(keys[hit], owners[hit], n[at[hit]], buckets)
+
+    return run
+
+
+def _frequent(docs: DataFrame, k: int, parts: int, salts: dict[int, int], buckets: int, scratch: Scratch) -> DataFrame:
+    """What :func:`_counter` gives, for the ranges that are dealt over salts: no task holds more than one salt's entries, or one range's different keys."""
+    sent = docs.mapInPandas(_sender(k, parts, salts, True), SENT).repartition(sum(salts.values()), "part", "salt")
+    held = scratch.keep(sent.groupBy("part", "salt").applyInPandas(_gather, SPLIT))
+    counts = held.select("part", "keys").mapInPandas(_partial, "part long, keys binary, counts binary")
+    common = counts.repartition(len(salts), "part").groupBy("part").applyInPandas(_summed, "part long, common binary, counts binary")
+    spark = docs.sparkSession
+    many = spark.createDataFrame(sorted(salts.items()), "part long, salts long")
+    each = scratch.keep(common).join(F.broadcast(many), "part").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return held.join(each.hint("shuffle_hash"), ["part", "salt"]).select("keys", "owners", "common", "counts").mapInPandas(_counted_again(buckets), COUNTED)
 
 
 def _counter(buckets: int):
@@ -122,35 +246,21 @@ def _counter(buckets: int):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            out = [(-1, s, b"", b"", b"", i, n) for s, i, n in zip(rows["sets"], rows["ids"], rows["sizes"], strict=True)]
+            out = [(-1, s, b"", b"", b"", i, z, n) for s, i, z, n in zip(rows["sets"], rows["ids"], rows["nulls"], rows["sizes"], strict=True)]
             return pd.DataFrame(out, columns=names)
         keys, owners = _unpack(rows)
         order = np.argsort(keys, kind="stable")
         keys, owners = keys[order], owners[order]
         new = np.r_[True, keys[1:] != keys[:-1]]
         many = ~(new & np.r_[new[1:], True])
-        keys, owners = keys[many], owners[many]
-        order = np.lexsort((owners, keys))  # one entry for each key and set
-        keys, owners = keys[order], owners[order]
+        keys, owners = _single(keys[many], owners[many])
         if not len(keys):
             return pd.DataFrame([], columns=names)
-        keep = np.r_[True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])]
-        keys, owners = keys[keep], owners[keep]
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.diff(np.r_[start, len(keys)])
         counts = np.repeat(counts, counts)
         common = counts > 1
-        keys, owners, counts = keys[common], owners[common], counts[common]
-        bucket = (owners >> U(32)) * U(buckets) >> U(32)
-        order = np.lexsort((owners, bucket))
-        keys, owners, counts, bucket = keys[order], owners[order], counts[order], bucket[order]
-        edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
-        out = []
-        for b in np.flatnonzero(np.diff(edge)).tolist():
-            s = slice(int(edge[b]), int(edge[b + 1]))
-            own, lens = np.unique(owners[s], return_counts=True)
-            out.append((b, own.tobytes(), lens.astype("<u4").tobytes(), keys[s].tobytes(), counts[s].astype("<u4").tobytes(), b"", b""))
-        return pd.DataFrame(out, columns=names)
+        return _by_bucket(keys[common], owners[common], counts[common], buckets)
 
     return run
 
@@ -170,7 +280,7 @@ def _classes_of(buckets: int):
                 bucket = (sets[order] >> U(32)) * U(buckets) >> U(32)
                 for b in np.unique(bucket).tolist():
                     own = order[bucket == b]
-                    out.append((b, sets[own].tobytes(), b"", b"", b"", ids[own].tobytes(), sizes[own].tobytes()))
+                    out.append((b, sets[own].tobytes(), b"", b"", b"", ids[own].tobytes(), b"", sizes[own].tobytes()))
             yield pd.DataFrame(out, columns=names)
 
     return run
@@ -206,6 +316,11 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _size_class(n: Column, num: int, den: int) -> Column:
+    """Classes such that sizes of a pair that may link are of the same or of neighbouring ones; a little wider than the ratio, for rounding."""
+    return F.floor(F.log(n.cast("double")) / (math.log(den / num) + 1e-6)).cast("long") if num < den else n
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose sets have a Jaccard similarity of at least num / den."""
     left = classes.select(F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
@@ -295,14 +410,22 @@ def _left_over(classes: DataFrame, labels: DataFrame, scratch: Scratch, num: int
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, F.col("a.token") == F.col("b.token")).where((F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.label") != F.col("b.label")) & _sizes_fit(F.col("a.n"), F.col("b.n"), num, den))
     pairs = pairs.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y"))
-    many = open_.where(F.col("m") > FEW).join(own.select("set_id", "prefix"), "set_id")
-    sides = F.ceil(F.col("m") / SIDE).cast("long")
-    many = many.withColumn("sides", sides).withColumn("at", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("sides")))
-    square = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    # blocks hold one class of sizes, and only those of the same or the next class meet: all others differ too much to link
+    many = open_.where(F.col("m") > FEW).join(own.select("set_id", "prefix"), "set_id").withColumn("c", _size_class(F.col("n"), num, den))
+    sides = many.groupBy("token", "c").agg(F.ceil(F.count("*") / SIDE).cast("long").alias("sides"))
+    many = scratch.keep(many.join(sides, ["token", "c"]).withColumn("at", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("sides"))))
+    zero = F.lit(0).cast("long")
+    within = many.withColumn("other", F.explode(F.sequence(zero, F.col("sides") - 1)))
     # a pair of different blocks has one side each; a block with itself has both
     facing = F.when(F.col("at") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("at") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-    square = square.withColumn("side", F.explode(facing)).select("token", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "side", "set_id", "n", "label", "prefix")
-    pairs_many = square.groupBy("token", "i", "j").applyInPandas(_in_blocks(num, den), "x long, y long")
+    columns = ["set_id", "n", "label", "prefix"]
+    within = within.withColumn("side", F.explode(facing)).select("token", "c", F.lit(False).alias("next"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "side", *columns)
+    above = sides.select("token", (F.col("c") - 1).alias("c"), F.col("sides").alias("others"))
+    below = sides.select("token", (F.col("c") + 1).alias("c"), F.col("sides").alias("others"))
+    lower = many.join(above, ["token", "c"]).withColumn("other", F.explode(F.sequence(zero, F.col("others") - 1))).select("token", "c", F.lit(True).alias("next"), F.col("at").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *columns)
+    upper = many.join(below, ["token", "c"]).withColumn("other", F.explode(F.sequence(zero, F.col("others") - 1))).select("token", (F.col("c") - 1).alias("c"), F.lit(True).alias("next"), F.col("other").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), *columns)
+    square = within.unionByName(lower).unionByName(upper)
+    pairs_many = square.groupBy("token", "c", "next", "i", "j").applyInPandas(_in_blocks(num, den), "x long, y long")
     return pairs.unionByName(pairs_many).distinct()
 
 
@@ -323,13 +446,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, round(chars / 6 / PART_KEYS))
     buckets = max(1, parts // 2)
-    sent = given(docs, "text").mapInPandas(_sender(k, parts), SENT)
+    known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    loads = known.mapInPandas(_loads(k, parts), "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    salts = {r["part"]: -(-r["n"] // PART_KEYS) for r in loads.where(F.col("n") > 4 * PART_KEYS).collect()}  # at most a quarter of the ranges
+    sent = known.mapInPandas(_sender(k, parts, salts, False), SENT)
     # some ranges to a task, one after the other, whatever the session's number of partitions
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(max(-(-parts // 4), least), "part")
     counted = scratch.keep(sent.groupBy("part").applyInPandas(_counter(buckets), COUNTED))
     blocks_, tokens = counted.where("bucket < 0"), counted.where("bucket >= 0")
-    members = scratch.keep(blocks_.mapInPandas(_members, "doc_id long, n_shingles long, set_id long"))
+    if salts:
+        tokens = tokens.unionByName(_frequent(known, k, parts, salts, buckets, scratch))
+    members = scratch.keep(blocks_.mapInPandas(_members, "doc_id long, no_id boolean, n_shingles long, set_id long"))
     both = tokens.unionByName(blocks_.mapInPandas(_classes_of(buckets), COUNTED)).repartition(max(-(-buckets // 4), least), "bucket")
     classes = scratch.keep(both.groupBy("bucket").applyInPandas(_cutter(num, den), CLASS))
     linkable = classes.where("keys is not null")
@@ -344,11 +472,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     labelled = classes.select("set_id", "id").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "id", F.coalesce("label", "set_id").alias("label"))
     labelled = scratch.keep(labelled)
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    final = scratch.keep(labelled.join(least, "label").select("set_id", "component_id"))
-    out = members.join(final, "set_id", "left")
+    final = scratch.keep(labelled.join(least, "label").select("set_id", "label", "component_id"))
+    # NO_ID is the greatest id: a component of that name has no id, unless a document of it has this very one
+    greatest = scratch.keep(members.where(F.col("doc_id") == F.lit(NO_ID)).where("not no_id").select("set_id").distinct().join(final.where(F.col("component_id") == F.lit(NO_ID)), "set_id").select("label").distinct())
+    named = F.col("component_id") != F.lit(NO_ID)
+    if not greatest.isEmpty():
+        final = final.join(greatest.withColumn("real", F.lit(True)), "label", "left")
+        named = named | F.coalesce("real", F.lit(False))
+    out = members.join(final.select("set_id", F.when(named, F.col("component_id")).alias("component_id")), "set_id", "left")
     scratch.drop(counted)
-    least_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return returned(out.select("doc_id", "n_shingles", F.nullif(least_id, F.lit(NO_ID)).alias("component_id")))
+    doc_id = F.when(~F.col("no_id"), F.col("doc_id"))
+    return out.select(doc_id.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(doc_id).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -371,5 +505,5 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
 def _members(batches):
     for batch in batches:
-        for s, i, n in zip(batch["sets"], batch["ids"], batch["sizes"], strict=True):
-            yield pd.DataFrame({"doc_id": np.frombuffer(i, "<i8"), "n_shingles": np.frombuffer(n, "<i8"), "set_id": np.frombuffer(s, "<i8")})
+        for s, i, z, n in zip(batch["sets"], batch["ids"], batch["nulls"], batch["sizes"], strict=True):
+            yield pd.DataFrame({"doc_id": np.frombuffer(i, "<i8"), "no_id": np.frombuffer(z, np.uint8).astype(bool), "n_shingles": np.frombuffer(n, "<i8"), "set_id": np.frombuffer(s, "<i8")})

@@ -21,7 +21,7 @@ GROUP = 50_000
 # Fixed value: the pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def byte_letters() -> dict[str, int]:
@@ -161,16 +161,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, scratch:
     rest = cut.where(F.col("length") < capacity)
     groups = max(1, round(rest.count() / group))
     kinds = [f for f in cut.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in kinds) + ", sequence_id long, offset long"
 
     def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
         bins, places = two_passes(lengths, capacity)
         rows["sequence_id"], rows["offset"] = bins * groups + key[0], places
         return rows.drop(columns="group")
 
-    dealt = given(rest, *[c for c in rest.columns if c != "doc_id"]).select(*rest.columns).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(groups)))
+    dealt = given(rest, *[c for c in rest.columns if c != "doc_id"]).select(*rest.columns).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))  # equal rows too are dealt apart
     packed = returned(dealt.groupBy("group").applyInPandas(fill, schema))
     alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(alone)

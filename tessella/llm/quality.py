@@ -224,4 +224,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             value = m.network.probability(features(block["text"].tolist(), m.vectors))
             yield pd.DataFrame({"doc_id": block["doc_id"], "score": value})
 
-    return returned(given(docs, "text").mapInPandas(run, "doc_id long, score double"))
+    return returned(given(docs, "text").mapInPandas(run, "doc_id string, score double"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessella.llm.packing import byte_letters
 from tessella.llm.words import given, returned, tune
 
-FINDINGS = "doc_id long, start long, length int, kind string, score double, secret boolean, digest string"
+FINDINGS = "doc_id string, start long, length int, kind string, score double, secret boolean, digest string"
 THRESHOLD = 0.5
 CONTEXT = 40
 MARKER = "<secret>"

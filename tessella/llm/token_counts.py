@@ -144,4 +144,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, end_mark: str = "</w>") -> Da
             total = np.r_[0, np.cumsum(each[which])] if len(which) else np.zeros(1, np.int64)
             yield pd.DataFrame({"doc_id": block["doc_id"], "n_words": np.diff(words.first), "n_tokens": np.diff(total[words.first])})
 
-    return returned(given(docs, "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long"))
+    return returned(given(docs, "text").mapInPandas(run, "doc_id string, n_words long, n_tokens long"))

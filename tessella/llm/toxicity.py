@@ -317,7 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             value = [1 - (1 - m.base) * math.prod(1 - m.toxic[w] for w in sorted(x)) for x in found]
             yield pd.DataFrame({"doc_id": block["doc_id"], "score": value, "words": [",".join(sorted(x)) for x in found]})
 
-    return returned(given(docs, "text").mapInPandas(run, "doc_id long, score double, words string"))
+    return returned(given(docs, "text").mapInPandas(run, "doc_id string, score double, words string"))
 
 
 def toxic_column(model: Model, docs: DataFrame) -> Column:

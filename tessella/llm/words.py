@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tessella.plans.ship import ship
 
 U = np.uint64
-NO_ID = (1 << 63) - 1
+#: Settings of batch sizes, with Spark's defaults.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "4096", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 4096
 
@@ -124,17 +125,23 @@ def blocks(batches: Iterable[pd.DataFrame], text: str = "text", max_bytes: int =
 
 
 def given(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id and other columns for a Python function; a null id travels as NO_ID, since pandas would turn a column with nulls into doubles and round large ids."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), *columns)
+    """doc_id, as text, and other columns for a Python function: pandas would turn whole numbers beside nulls into doubles and round large ones."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *columns)
 
 
 def returned(found: DataFrame) -> DataFrame:
     """The inverse of :func:`given`, for what the function gave back."""
-    return found.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def tune(spark) -> None:
-    """Small batches, of Arrow and of the Parquet reader: a worker then holds few long texts, and a task few wide binary rows, at once."""
+    """Small batches, of Arrow and of the Parquet reader: a worker then holds few long texts, and a task few wide binary rows, at once.
+
+    Plans read these settings when they run, after an operator has returned,
+    so that they stay with the session.  A value that the session was given
+    before is not changed.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    for name, default in BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, "512")

@@ -151,6 +151,28 @@ def test_jaccard_join_over_many_ranges(spark, monkeypatch):
     assert components_of(ngram_join.jaccard_components(docs(spark, texts).repartition(5), 4, 85, 100)) == brute_components(enumerate(texts), 4, 85, 100)
 
 
+def test_jaccard_join_with_a_shingle_in_every_document(spark, monkeypatch):
+    """The range of a very frequent shingle is dealt over several tasks; counts and links stay the same."""
+    monkeypatch.setattr(ngram_join, "PART_KEYS", 60)
+    dealt = []
+    frequent = ngram_join._frequent
+    monkeypatch.setattr(ngram_join, "_frequent", lambda docs, k, parts, salts, *more: dealt.append(salts) or frequent(docs, k, parts, salts, *more))
+    r = random.Random(31)
+    texts = [t + " one passage of all texts" for t in near_copies(6, 40)] + ["one passage of all texts " + " ".join(r.choice(WORDS) + str(r.randrange(999)) for _ in range(12)) for _ in range(330)] + ["one passage of all", None]
+    df = docs(spark, texts).repartition(6)
+    assert components_of(ngram_join.jaccard_components(df, 4, 85, 100)) == brute_components(enumerate(texts), 4, 85, 100)
+    assert dealt and max(dealt[0].values()) > 4
+
+
+def test_greatest_id_is_no_null(spark):
+    last = (1 << 63) - 1
+    t = " ".join(WORDS)
+    df = docs(spark, [t, t, "x y z u v w", "x y z u v w", None, ""], ids=[last, None, None, None, last, 4])
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+    assert got == Counter({(last, last): 2, (None, last): 1, (None, None): 2, (4, 4): 1})
+    assert Counter(r["doc_id"] for r in media.digest(df).collect()) == Counter([last, last, None, None, None, 4])
+
+
 def test_jaccard_join_edges(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
     t = "a b c d e f g"
@@ -620,7 +642,7 @@ def test_pack_whole_table(spark):
     r = random.Random(6)
     rows = [(i, k, 0, n, 0) for i in range(3000) for k, n in enumerate([r.randint(1, 1024)] + [1024] * r.choice([0, 0, 1]))]
     rows += [(7, 0, 0, 5, 0)] * 3 + [(None, 0, 0, 9, 0)]
-    df = spark.createDataFrame(rows, packing.PIECES)
+    df = spark.createDataFrame(rows, packing.PIECES.replace("doc_id string", "doc_id long"))
     out = packing.pack(df, group=700).collect()
     assert len(out) == len(rows)
     assert check_packed(out) <= 1.02 * sum(x[3] for x in rows) / 1024 + 4
