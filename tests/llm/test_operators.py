@@ -310,7 +310,6 @@ def vectors(spark, rows):
 def test_topk_is_brute_force(spark, monkeypatch, shape):
     monkeypatch.setattr(topk, "DATA_BLOCK", 300)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
-    monkeypatch.setattr(topk, "LEAF", 16)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 12))
     if shape == "clusters":
@@ -323,13 +322,70 @@ def test_topk_is_brute_force(spark, monkeypatch, shape):
     assert sorted(tuple(r) for r in got) == brute_topk(rows, lambda i: i % 20 == 0, 10)
 
 
-def test_topk_prunes():
+def clustered():
     rng = np.random.default_rng(1)
-    x = np.floor(rng.normal(size=(40, 8))[rng.integers(0, 40, 6000)] * 5000 + rng.normal(size=(6000, 8)) * 20)
+    return np.floor(rng.normal(size=(40, 8))[rng.integers(0, 40, 6000)] * 5000 + rng.normal(size=(6000, 8)) * 20)
+
+
+def test_cover_tree_invariants():
+    x = clustered()[:1500]
+    x[100:140] = x[100]
+    seen = []
+
+    def check(node):
+        off = np.linalg.norm(x[node.rows] - node.centre, axis=1)
+        assert off.max() <= node.radius
+        if node.level is None:
+            assert off.max() < 1e-3
+        else:
+            assert off.max() <= topk.BASE**node.level * (1 + 1e-9)
+        if not node.children:
+            seen.extend(node.rows.tolist())
+            return
+        assert (node.children[0].centre == node.centre).all()  # nesting
+        assert all(c.level is None or c.level < node.level for c in node.children)
+        centres = np.array([c.centre for c in node.children])
+        apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) + np.where(np.eye(len(centres)), np.inf, 0)
+        cover = max(np.linalg.norm(x[c.rows] - c.centre, axis=1).max() for c in node.children)
+        assert apart.min() > cover - 1e-6  # separation is more than what a child covers
+        for c in node.children:
+            check(c)
+
+    check(topk.Node(x, np.arange(len(x)), 16))
+    assert sorted(seen) == list(range(len(x)))
+
+
+def test_topk_prunes():
+    x = clustered()
     s = topk.Search(x[:200], np.arange(200), x, np.arange(6000), 10)
-    leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
-    both = leaves(topk.Node(x[:200], np.arange(200))) * leaves(topk.Node(x, np.arange(6000)))
-    assert s.pairs < 0.5 * both
+    assert s.products < 0.3 * 200 * 6000
+
+
+def test_topk_prunes_blocks_before_the_shuffle(spark, monkeypatch):
+    """Queries go only to blocks whose bound passes what their own block gave."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 150)
+    visits = []
+    own = topk._visits
+
+    def counted(pivots, radii):
+        visits.append((pivots, radii))
+        return own(pivots, radii)
+
+    monkeypatch.setattr(topk, "_visits", counted)
+    x = clustered()[:3000]
+    x += np.sign(x) * 3000
+    rows = [(i, [float(c) / 1024 for c in v]) for i, v in enumerate(x)]
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute_topk(rows, lambda i: i % 100 == 0, 10)
+    pivots, radii = visits[0]
+    blocks_ = sum(s for _, s in radii.values())
+    import pandas as pd
+
+    whole = np.array([[np.floor(1024 * np.float64(np.float32(c / 1024))) for c in v] for v in x])
+    best = {q: min(r["score"] for r in got if r["query_id"] == q) for q in range(0, 3000, 100)}
+    frame = pd.DataFrame({"dim": 8, "vec_id": list(best), "v": [whole[q].astype(np.int64) for q in best], "least": [float(b) for b in best.values()], "pivot": -1, "salt": 0})
+    sent = sum(len(b) for b in own(pivots, radii)([frame]))
+    assert blocks_ >= 20 and sent < 0.7 * blocks_ * len(best)
 
 
 def test_topk_edges(spark):
