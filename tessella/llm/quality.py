@@ -1,11 +1,13 @@
 """Quality of text: random-indexing word vectors, pooled per document, and a small network.
 
-Each word, and each shape of a word (case, last sign, length), falls into one
-of BUCKETS buckets, which has a fixed sparse index vector of +1 and -1.  The
-vector of a bucket is the sum of the index vectors that stand near it in all
-documents.  A document's features are pooled from its words' and shapes'
-vectors; a two-layer network in numpy turns them into a
-probability, whose temperature is set on rows that it was not trained on.
+Each word that makes up at least one in OWN of all words has a vector of its
+own; so there are at most OWN of them, whatever the corpus.  Rarer words share
+RARE vectors by hash, and shapes of words (case, last sign, length) have
+SHAPES.  A row has a fixed sparse index vector of +1 and -1; its vector is the
+sum of the index vectors that stand near it in all documents.  A document's
+features are pooled from its words' and shapes' vectors; a two-layer network
+in numpy turns them into a probability, whose temperature is set on rows that
+it was not trained on.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.llm.labelled import SAMPLE, with_labels
 from tessella.llm.words import U, Words, blocks, given, mix, returned, tune, utf8
+from tessella.plans.store import Scratch
 
-BUCKETS, DIM, ONES, WINDOW = 1 << 14, 32, 2, 2
-CHUNK = 256
+OWN, RARE, SHAPES = 1 << 14, 1 << 13, 1 << 13
+BUCKETS, DIM, ONES, WINDOW = OWN + RARE + SHAPES, 32, 2, 2
+CHUNK, SLICE = 256, 128
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-3
 
 
@@ -39,8 +44,23 @@ _LETTER[65:91] = _LETTER[97:123] = 1
 _LETTER[128:] = 1
 
 
-def buckets(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words of a block with the buckets of each word and of its shape."""
+def frequent_words(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that make up at least one in OWN of all words, counted over all whole texts."""
+
+    def run(batches):
+        for block in blocks(batches, max_bytes=8 << 20, max_rows=1 << 14):
+            words, n = np.unique(Words([utf8(x) for x in block["text"]]).hash, return_counts=True)
+            yield pd.DataFrame({"word": words.view(np.int64), "n": n})
+
+    counted = docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = Scratch(docs.sparkSession, "words").keep(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.where(F.col("n") * OWN >= total).select("word").toPandas()  # at most OWN rows
+    return np.sort(rows["word"].to_numpy(np.int64).view(U))
+
+
+def buckets(texts: list[str | None], own: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of a block with the rows of each word and of its shape; ``own`` are the hashes of words with rows of their own."""
     raw = [utf8(x, lower=False) for x in texts]
     words = Words([x.lower() for x in raw])
     data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
@@ -53,21 +73,25 @@ def buckets(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
     twice = (sign > 0) & (last == before) & (n > 1)
     size = np.select([n == 1, n < 4, n < 8, n < 16], [0, 1, 2, 3], 4)
     shape = ((case * 256 + sign) * 2 + twice) * 5 + size
-    half = U(BUCKETS // 2)
-    return words, (words.hash % half).astype(np.int64), (mix(shape.astype(U) + U(5)) % half + half).astype(np.int64)
+    row = (words.hash % U(RARE)).astype(np.int64) + OWN
+    if len(own):
+        at = np.minimum(np.searchsorted(own, words.hash), len(own) - 1)
+        row = np.where(own[at] == words.hash, at, row)
+    return words, row, (mix(shape.astype(U) + U(5)) % U(SHAPES)).astype(np.int64) + (OWN + RARE)
 
 
-def context_sums(docs: DataFrame) -> np.ndarray:
-    """The vector of each bucket: for words the index vectors of words within WINDOW, for shapes those of the shapes beside them, for both each other's, summed over all whole texts.
+def context_sums(docs: DataFrame, own: np.ndarray) -> np.ndarray:
+    """The vector of each row: for words the index vectors of words within WINDOW, for shapes those of the shapes beside them, for both each other's, summed over all whole texts.
 
     Each task adds up a table of fixed size and sends it in CHUNK-row pieces,
     so that the sums are merged piece by piece in parallel.
     """
+    known = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
         signed = np.zeros(2 * BUCKETS * DIM, np.int64)
         for block in blocks(batches, max_bytes=4 << 20, max_rows=1 << 14):
-            words, w, s = buckets(block["text"].tolist())
+            words, w, s = buckets(block["text"].tolist(), known.value)
             if not len(w):
                 continue
             doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
@@ -83,7 +107,8 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         parts = signed.reshape(BUCKETS, 2, DIM)
         total = parts[:, 0] - parts[:, 1]
         table = total.reshape(-1, CHUNK * DIM)
-        yield pd.DataFrame({"piece": np.arange(len(table), dtype=np.int32), "sums": [x.astype("<i8").tobytes() for x in table]})
+        some = np.flatnonzero(table.any(axis=1))
+        yield pd.DataFrame({"piece": some.astype(np.int32), "sums": [table[i].astype("<i8").tobytes() for i in some]})
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<i8") for x in rows["sums"])
@@ -97,7 +122,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Unit vectors: the sums, centred, with a share of the bucket's own index vector so that rare words differ."""
+    """Unit vectors: the sums, centred, with a share of the row's own index vector so that rare words differ."""
     own = np.zeros((BUCKETS, DIM))
     for j in range(ONES):
         np.add.at(own, (np.arange(BUCKETS), PLACE[:, j]), SIGN[:, j])
@@ -111,9 +136,9 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 FEATURES = 3 * DIM + 3
 
 
-def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+def features(texts: list[str | None], vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
     """A row per text: the mean of its words' vectors and its length, mean and deviation of its shapes' vectors, the logarithm of the number of words, the part of words that are different.  Texts without words have zeros."""
-    words, w, s = buckets(texts)
+    words, w, s = buckets(texts, own)
     n = np.diff(words.first)
     out = np.zeros((len(n), FEATURES))
     some = np.flatnonzero(n)
@@ -122,13 +147,18 @@ def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     at, count = words.first[:-1][some], n[some][:, None]
     doc = np.repeat(np.arange(len(n)), n)
     mean = np.add.reduceat(vectors[w], at, axis=0) / count
-    kinds = np.flatnonzero(np.bincount(s, minlength=BUCKETS))  # a text has few different shapes
-    place = np.zeros(BUCKETS, np.int64)
-    place[kinds] = np.arange(len(kinds))
-    part = np.bincount(doc * len(kinds) + place[s], minlength=len(n) * len(kinds)).reshape(len(n), len(kinds))[some] / count
-    shape = part @ vectors[kinds]
-    out[some, :DIM], out[some, DIM : 2 * DIM] = mean, shape
-    out[some, 2 * DIM : 3 * DIM] = np.sqrt(np.maximum(0, part @ vectors[kinds] ** 2 - shape**2))
+    out[some, :DIM] = mean
+    for a in range(0, len(n), SLICE):  # a text has few different shapes: their counts, some texts at a time
+        lo, hi = words.first[a], words.first[min(a + SLICE, len(n))]
+        if lo == hi:
+            continue
+        kinds, place = np.unique(s[lo:hi], return_inverse=True)
+        rows = min(SLICE, len(n) - a)
+        part = np.bincount((doc[lo:hi] - a) * len(kinds) + place, minlength=rows * len(kinds)).reshape(rows, len(kinds))
+        part = part / np.maximum(1, n[a : a + rows, None])
+        shape = part @ vectors[kinds]
+        out[a : a + rows, DIM : 2 * DIM] = shape
+        out[a : a + rows, 2 * DIM : 3 * DIM] = np.sqrt(np.maximum(0, part @ vectors[kinds] ** 2 - shape**2))
     out[some, -3] = np.linalg.norm(mean, axis=1)
     pair = np.unique(doc * BUCKETS + w)
     out[:, -2] = np.log1p(n)
@@ -192,6 +222,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 0) -> Network:
 
 @dataclass
 class Model:
+    own: np.ndarray
     vectors: np.ndarray
     network: Network
 
@@ -200,28 +231,29 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """Word vectors from all documents; the network from at most ``bound`` labelled ones."""
     spark = docs.sparkSession
     tune(spark)
-    vectors = word_vectors(context_sums(docs))
-    kept = spark.sparkContext.broadcast(vectors)  # of fixed size: BUCKETS * DIM numbers
+    own = frequent_words(docs)
+    vectors = word_vectors(context_sums(docs, own))
+    kept = spark.sparkContext.broadcast((vectors, own))  # of fixed size: BUCKETS * DIM numbers, OWN hashes
 
     def run(batches):
         for block in blocks(batches):
-            x = features(block["text"].tolist(), kept.value)
+            x = features(block["text"].tolist(), *kept.value)
             yield pd.DataFrame({"doc_id": block["doc_id"], "label": block["label"], "x": [r.tobytes() for r in x]})
 
     rows = with_labels(docs, labels, "quality", bound).mapInPandas(run, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
     x = np.array([np.frombuffer(r) for r in rows["x"]]).reshape(len(rows), FEATURES)
-    return Model(vectors, train(x, rows["label"].to_numpy(np.float64)))
+    return Model(own, vectors, train(x, rows["label"].to_numpy(np.float64)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text -> doc_id, score.  Texts without words and null texts have the network's value for a text without words; repeated rows stay."""
+    """doc_id, text -> doc_id, score.  Texts without words and null texts have the network's value for a text without words; null ids stay null; repeated rows stay; other columns are ignored; an empty table gives an empty table."""
     tune(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = kept.value
         for block in blocks(batches):
-            value = m.network.probability(features(block["text"].tolist(), m.vectors))
+            value = m.network.probability(features(block["text"].tolist(), m.vectors, m.own))
             yield pd.DataFrame({"doc_id": block["doc_id"], "score": value})
 
     return returned(given(docs, "text").mapInPandas(run, "doc_id string, score double"))

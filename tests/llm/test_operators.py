@@ -849,9 +849,17 @@ def test_quality(spark):
     assert quality.fit(empty(spark), labels.where("false")).network.probability(np.zeros((1, quality.FEATURES)))[0] == pytest.approx(0.5)
 
 
+def test_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(quality, "OWN", 4)
+    own = quality.frequent_words(docs(spark, ["a A b", "b a c d", None, "a"]))
+    assert own.tolist() == sorted(Words([b"a b"]).hash.tolist())
+    assert len(quality.frequent_words(empty(spark))) == 0
+
+
 def test_context_sums_are_brute_force(spark):
     texts = ["a b c a", "B c.", None, "x"]
-    got = quality.context_sums(docs(spark, texts))
+    own = np.sort(Words([b"a c"]).hash)
+    got = quality.context_sums(docs(spark, texts), own)
     want = np.zeros_like(got)
 
     def add(to, of):
@@ -859,7 +867,8 @@ def test_context_sums_are_brute_force(spark):
             want[to, quality.PLACE[of, j]] += quality.SIGN[of, j]
 
     for t in texts:
-        _, w, s = quality.buckets([t])
+        _, w, s = quality.buckets([t], own)
+        assert all((x < quality.OWN) == (y in (b"a", b"c")) for x, y in zip(w, brute_words(t), strict=True))
         for i in range(len(w)):
             add(w[i], s[i])
             add(s[i], w[i])
