@@ -608,20 +608,144 @@ def test_digest(spark):
     assert media.digest(empty(spark)).count() == 0
 
 
+class Writer:
+    """A baseline encoder of given coefficients, written for the tests: all codes have 8 bits."""
+
+    DC, AC = list(range(12)), [r * 16 + n for r in range(16) for n in range(11) if n or r in (0, 15)]
+
+    def __init__(self):
+        self.bits = ""
+
+    def value(self, v):
+        n = abs(v).bit_length()
+        self.bits += f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def block(self, values, last):
+        d = int(values[0]) - last
+        self.bits += f"{self.DC.index(abs(d).bit_length()):08b}"
+        self.value(d)
+        run = 0
+        for v in map(int, values[1:]):
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                self.bits, run = self.bits + f"{self.AC.index(0xF0):08b}", run - 16
+            self.bits += f"{self.AC.index(run * 16 + abs(v).bit_length()):08b}"
+            self.value(v)
+            run = 0
+        if run:
+            self.bits += f"{self.AC.index(0):08b}"
+        return int(values[0])
+
+    def flush(self):
+        self.bits += "1" * (-len(self.bits) % 8)
+        out = bytes(int(self.bits[i : i + 8], 2) for i in range(0, len(self.bits), 8)).replace(b"\xff", b"\xff\x00")
+        self.bits = ""
+        return out
+
+
+def jpeg(blocks_, quant, width, height, parts, every):
+    """blocks_: per unit the blocks of all components, in order; parts: (horizontal, vertical) sampling."""
+    seg = media._segment
+    table = lambda kind, symbols: seg(0xC4, bytes([kind]) + bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols))
+    head = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, b"\x00" + bytes(quant)) + seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i + 1, h * 16 + v, 0]) for i, (h, v) in enumerate(parts)))
+    head += table(0, Writer.DC) + table(0x10, Writer.AC) + (seg(0xDD, every.to_bytes(2, "big")) if every else b"")
+    head += seg(0xDA, bytes([len(parts)]) + b"".join(bytes([i + 1, 0]) for i in range(len(parts))) + b"\x00\x3f\x00")
+    w, out, last = Writer(), b"", [0] * len(parts)
+    for u, unit in enumerate(blocks_):
+        if every and u and u % every == 0:
+            out += w.flush() + bytes([0xFF, 0xD0 + (u // every - 1) % 8])
+            last = [0] * len(parts)
+        for c, own in enumerate(unit):
+            for b in own:
+                last[c] = w.block(b, last[c])
+    return head + out + w.flush() + b"\xff\xd9"
+
+
+def plain_pixels(values, quant):
+    """One block by the formula of the inverse transform."""
+    grid = np.zeros((8, 8))
+    i = j = 0
+    for v, q in zip(values, quant, strict=True):
+        grid[i, j] = v * q
+        if (i + j) % 2 == 0:
+            i, j = (i + 1, j) if j == 7 else (i, j + 1) if i == 0 else (i - 1, j + 1)
+        else:
+            i, j = (i, j + 1) if i == 7 else (i + 1, j) if j == 0 else (i + 1, j - 1)
+    out = np.zeros((8, 8))
+    c = lambda k: np.sqrt(0.5) if k == 0 else 1.0
+    for y in range(8):
+        for x in range(8):
+            out[y, x] = sum(c(u) * c(v) * grid[v, u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) / 4
+    return np.clip(np.rint(out + 128), 0, 255)
+
+
+@pytest.mark.parametrize(("parts", "every"), [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_any_baseline_frame_is_decoded(parts, every):
+    rng = np.random.default_rng(9)
+    quant = rng.integers(1, 20, 64).tolist()
+    h, v = parts[0]
+    across, down = 3, 2
+
+    def block():
+        out = np.zeros(64, int)
+        some = rng.choice(64, rng.integers(0, 9), replace=False)
+        out[some] = rng.integers(-40, 41, len(some))
+        out[0] = rng.integers(-30, 30)
+        return out
+
+    units = [[[block() for _ in range(a * b)] for a, b in parts] for _ in range(across * down)]
+    width, height = across * 8 * h - 3, down * 8 * v - 5
+    got = media.decode_frame(jpeg(units, quant, width, height, parts, every))
+    want = np.zeros((down * 8 * v, across * 8 * h))
+    for u, unit in enumerate(units):
+        for k, b in enumerate(unit[0]):
+            y, x = (u // across * v + k // h) * 8, (u % across * h + k % h) * 8
+            want[y : y + 8, x : x + 8] = plain_pixels(b, quant)
+    assert got.shape == (height, width) and np.abs(got - want[:height, :width]).max() <= 1
+
+
+def test_payload_frames_decode_to_the_same_pixels():
+    body = bytes(random.Random(4).randrange(256) for _ in range(3000)).ljust(3008, b"\0")
+    frames = media.encode_frames(body)
+    quick = media.pixels_of(media.decode_frames(frames)).reshape(len(frames), media.HEIGHT // 8, media.WIDTH // 8, 8, 8).transpose(0, 1, 3, 2, 4).reshape(len(frames), media.HEIGHT, media.WIDTH)
+    for f, want in zip(frames, quick, strict=True):
+        assert np.abs(media.decode_frame(f).astype(int) - want).max() <= 1
+    for bad in (b"", b"\xff\xd8", frames[0].replace(b"\xff\xc0", b"\xff\xc2", 1), b"\xff\xd8" + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))):
+        with pytest.raises(ValueError):
+            media.decode_frame(bad)
+
+
 def test_shots_and_clips(spark):
     flat = np.full((30, 2048), 40, np.uint8)
     flat[12:] = 200
-    assert media.shots(flat) == [0, 12]
-    assert media.shots(flat[:1]) == [0]
-    stored = media.media(docs(spark, ["a" * 2048 * 6 + "\x01" * 2048 * 6, None]))
+    assert media.shots(media.histograms(flat)) == [0, 12]
+    assert media.shots(media.histograms(flat[:1])) == [0]
+    texts = ["a" * 2048 * 6 + "\x01" * 2048 * 6, None]
+    stored = media.media(docs(spark, texts))
     got = sorted(tuple(r) for r in media.clips(stored).collect())
     assert [(r[0], r[1], r[2], r[3]) for r in got] == [(0, 0, 0, 6), (0, 1, 6, 6), (1, 0, 0, 1)]
     assert got[1][4] == pytest.approx(6 / 25)
+    own = {r["doc_id"]: [tuple(c) for c in r["clips"]] for r in media.digest(docs(spark, texts)).collect()}
+    assert own == {i: [r[2:] for r in got if r[0] == i] for i in (0, 1)}
     for bad in (b"RIFF", b"x" * 40):
         with pytest.raises(Exception):  # noqa: B017
             media.read_avi(bad)
 
 
+def test_other_avi_files(spark):
+    """A file without index and length, of ordinary frames of which the later ones are brighter."""
+    dark, light = ([[[np.r_[dc, np.zeros(63, int)]]]] * 2 for dc in (-60, 60))
+    frames = [jpeg(x, [8] * 64, 16, 8, [(1, 1)], 0) for x in [dark] * 12 + [light] * 10]
+    chunk = media._chunk
+    avih = np.array([40_000, 0, 0, 0, len(frames), 0, 1, 0, 16, 8, 0, 0, 0, 0], "<u4").tobytes()
+    strh = b"vidsMJPG" + np.zeros(3, "<u4").tobytes() + np.array([1, 25], "<u4").tobytes() + bytes(28)
+    body = b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"avih", avih) + chunk(b"LIST", b"strl" + chunk(b"strh", strh))) + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in frames))
+    got = media.clips(spark.createDataFrame([(1, chunk(b"RIFF", body)), (2, None)], "doc_id long, media binary")).collect()
+    assert sorted((r["doc_id"], r["first_frame"], r["n_frames"]) for r in got) == [(1, 0, 12), (1, 12, 10)]
+
+
 # 7: packing
 
 
