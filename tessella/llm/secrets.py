@@ -16,7 +16,7 @@ import json
 import math
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,7 +30,8 @@ from tessella.llm.words import given, returned, tune
 
 FINDINGS = "doc_id string, start long, length int, kind string, score double, secret boolean, digest string"
 THRESHOLD = 0.5
-CONTEXT = 40
+NEAR = 6  # neighbouring words on each side that a candidate is seen with, whole ones
+BOUND = 20_000  # labelled findings that the driver takes from a table
 MARKER = "<secret>"
 
 # Names that announce a secret, words that speak against one, prefixes of public providers' keys.
@@ -45,6 +46,7 @@ NAMED = re.compile(r"(?:" + "|".join(TELLING) + r")[\w-]{0,40}[\"']?\s{0,40}(?:=
 VALUE = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|((?:(?![;,&][\w-]+[=:])\S)+)")
 LOGIN = re.compile(r"://[^\s/:@]{0,80}:$")
 LOGINS = re.compile(r"://[^\s/:@]{0,80}:([^\s/@]+)@")
+TOKEN = re.compile(r"[^\s=:]+")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = ("length", "transitions", "dictionary", "digits", "upper", "entropy", "signs", "repeats", "hex", "prefix", "assigned", "telling", "against", "path", "quoted")
@@ -113,6 +115,23 @@ def describe(value: str, before: str, after: str, path: str | None, vocabulary:
     ]
 
 
+class Neighbours:
+    """The words of a text, found once, and the stretches of NEAR whole ones before and after a place."""
+
+    def __init__(self, text: str):
+        self.text = text
+        spans = [m.span() for m in TOKEN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def before(self, at: int) -> str:
+        k = bisect_left(self.starts, at) - NEAR
+        return self.text[self.starts[k] if k > 0 else 0 : at]
+
+    def after(self, at: int) -> str:
+        k = bisect_right(self.ends, at) + NEAR - 1
+        return self.text[at : self.ends[k] if k < len(self.ends) else len(self.text)]
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind of what may be a secret in a whole text."""
     given_to: dict[int, int] = {}
@@ -135,6 +154,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.append((start, end, "prefix" if text.startswith(tuple(PREFIXES), start) else "assigned"))
             last = end
     starts, ends = [a for a, _, _ in out], [b for _, b, _ in out]
+    near = Neighbours(text) if CANDIDATE.search(text) else None
     for m in CANDIDATE.finditer(text):
         value = m.group(0).rstrip(".-_/")
         name = value.rstrip("=").rfind("=") + 1
@@ -144,7 +164,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             continue
         prefixed = value.startswith(tuple(PREFIXES))
         both = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        assigned = bool(ASSIGNED.search(text[max(0, start - CONTEXT) : start]))
+        assigned = bool(ASSIGNED.search(near.before(start)))
         if prefixed or assigned or both:
             out.append((start, start + len(value), "prefix" if prefixed else "assigned" if assigned else "mixed"))
     return sorted(out)
@@ -304,12 +324,20 @@ def fit(findings: list[tuple[str, str, str, str, int]] | None = None, vocabulary
     return grow(x, np.array([label for *_, label in rows], float))
 
 
+def findings_of(table: DataFrame, bound: int = BOUND) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings of a table (value, before, after, path, label) for :func:`fit`: at most ``bound`` of them, which ones a hash of the value decides.  Rows without value or label are left out; other nulls count as empty."""
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("before", "after", "path")]
+    rows = table.where("value is not null and value <> '' and label is not null").select("value", *text, F.col("label").cast("int").alias("label"))
+    return [tuple(r) for r in rows.orderBy(F.xxhash64("value"), "value", "before").limit(bound).collect()]
+
+
 def judged(text: str, path: str | None, forest: Forest, vocabulary: str | None) -> list[tuple[int, int, str, float]]:
     """start, end, kind, score of each candidate of a whole text."""
     found = candidates(text)
     if not found:
         return []
-    x = np.array([describe(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path, vocabulary) for a, b, _ in found])
+    near = Neighbours(text)
+    x = np.array([describe(text[a:b], near.before(a), near.after(b), path, vocabulary) for a, b, _ in found])
     return [(a, b, kind, float(p)) for (a, b, kind), p in zip(found, forest.probability(x), strict=True)]
 
 
@@ -335,7 +363,7 @@ def scan(docs: DataFrame, forest: Forest, vocabulary: str | None = None, thresho
 
 
 def redact(docs: DataFrame, forest: Forest, vocabulary: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """All documents and columns, with each secret in the text replaced by MARKER; n_chars follows where it exists.  Null texts stay null."""
+    """All documents and columns, with each secret in the text replaced by MARKER; n_chars follows where it exists.  Null texts stay null, empty ones empty; repeated rows each; an empty table gives an empty table."""
     tune(docs.sparkSession)
 
     @F.pandas_udf("string")
