@@ -4,7 +4,8 @@ A word's greedy word pieces are the longest pieces of the vocabulary that
 match from the left.  A trie of all pieces has, for each node, a failure link
 and the number of pieces that are popped when it is followed; both are
 computed once, so that each symbol of a word is read once and no piece is ever
-built.  All different words of a block go through the automaton together.
+built.  All different words of a block go through the automaton together, but
+for very long ones, which go one by one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from tessella.llm.words import Words, blocks, given, returned, tune, utf8
 END = 256
 SYMBOLS = 257
 NONE = -1
+LONG = 4096  # bytes from which a word is walked by itself: the others are read abreast, a step for each byte of the longest
 
 
 class Automaton:
@@ -62,6 +65,7 @@ class Automaton:
         at = np.array([(u * SYMBOLS + c, v) for u, row in enumerate(goto) for c, v in row.items()], np.int64).reshape(-1, 2)
         at = at[np.argsort(at[:, 0])]
         self.key, self.to = np.ascontiguousarray(at[:, 0]), np.ascontiguousarray(at[:, 1])
+        self.next: dict[int, int] = {}
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The trie's next nodes; NONE where there is none."""
@@ -69,8 +73,35 @@ class Automaton:
         i = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return np.where(self.key[i] == want, self.to[i], NONE) if len(self.key) else np.full(len(state), NONE)
 
+    def walk(self, word: bytes) -> int:
+        """Number of pieces of one word + END, symbol by symbol."""
+        if not self.next:
+            self.next = dict(zip(self.key.tolist(), self.to.tolist(), strict=True))
+            self.plain = self.link.tolist(), self.pops.tolist()
+        (link, pops), step = self.plain, self.next
+        state = count = 0
+        for symbol in chain(word, (END,)):
+            while (to := step.get(state * SYMBOLS + symbol, NONE)) == NONE:
+                if link[state] == NONE:
+                    return 1
+                count, state = count + pops[state], link[state]
+            state = to
+        while state:
+            if link[state] == NONE:
+                return 1
+            count, state = count + pops[state], link[state]
+        return count
+
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Number of pieces of each word data[start:end] + END."""
+        long = end - start > LONG
+        out = np.empty(len(start), np.int64)
+        out[~long] = self._abreast(data, start[~long], end[~long])
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.walk(data[start[i] : end[i]].tobytes())
+        return out
+
+    def _abreast(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = end - start
         order = np.argsort(-n, kind="stable")  # longest first: those still read are a prefix
         start, n = start[order], n[order]
@@ -130,8 +161,9 @@ def automaton(path: str, end_mark: str = "</w>") -> Automaton:
 def count_tokens(docs: DataFrame, vocabulary: str, end_mark: str = "</w>") -> DataFrame:
     """doc_id, text -> doc_id, n_words, n_tokens: words of the lower-cased whole text, and their greedy word pieces.
 
-    Null and empty texts have none of either; repeated rows give repeated
-    rows; other columns are ignored.
+    Null and empty texts have none of either; null ids stay null; repeated
+    rows give repeated rows; other columns are ignored; an empty table gives an
+    empty table.
     """
     tune(docs.sparkSession)
 
