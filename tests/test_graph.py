@@ -1,4 +1,5 @@
 import math
+import random
 from collections import deque
 
 import pytest
@@ -7,7 +8,10 @@ from hypothesis import strategies as st
 
 from tessella.operators import centrality, community, components, cores, edges, generators, independent, partition, spanning, traversal, triangles
 from tessella.operators import degree as degrees
+from tessella.plans.layout import Layout
+from tessella.plans.store import Scratch
 
+# Core numbers of the karate club; G6 and its centralities, below.
 KARATE_CORES = [4, 4, 4, 4, 3, 3, 3, 4, 4, 2, 3, 1, 2, 4, 2, 2, 2, 2, 2, 3, 2, 2, 2, 3, 3, 3, 2, 3, 3, 3, 4, 3, 4, 4]
 G6 = [(0, 1), (0, 2), (2, 0), (2, 1), (2, 4), (3, 4), (3, 5), (4, 3), (4, 5), (5, 3)]
 FEW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -37,24 +41,44 @@ def karate(spark):
     return generators.karate_club_graph(spark).cache()
 
 
+def random_pairs(n=14, m=40, seed=5):
+    r = random.Random(seed)
+    return [(r.randrange(n) * 3, r.randrange(n) * 3) for _ in range(m)]
+
+
 def test_edge_steps(spark):
-    e = graph(spark, list(zip([1, 1, 1, 3, 3, 8, 8, 1], [1, 2, 3, 1, 4, 8, 5, 2], strict=True)))
-    assert pairs_of(edges.remove_loops(e)) == sorted([(1, 2), (1, 3), (3, 1), (3, 4), (8, 5), (1, 2)])
-    assert pairs_of(edges.remove_duplicates(e)) == [(1, 1), (1, 2), (1, 3), (3, 1), (3, 4), (8, 5), (8, 8)]
+    pairs = random_pairs()
+    e = graph(spark, pairs)
+    plain = {p for p in pairs if p[0] != p[1]}
+    assert pairs_of(edges.remove_loops(e)) == sorted(p for p in pairs if p[0] != p[1])
+    assert pairs_of(edges.remove_duplicates(e)) == sorted(set(pairs))
     out, labels = edges.standardize_edges(e, return_labels=True)
-    assert values(labels, "label") == [1, 2, 3, 4, 5, 8]
-    assert pairs_of(out) == [(0, 1), (0, 2), (2, 0), (2, 3), (5, 4)]
+    names = sorted({x for p in plain for x in p})
+    assert values(labels, "label") == names
+    assert pairs_of(out) == sorted((names.index(a), names.index(b)) for a, b in plain)
     both = edges.standardize_edges(e, symmetric=True, sort=True)
-    assert [tuple(r) for r in both.collect()] == list(zip([0, 0, 1, 2, 2, 3, 4, 5], [1, 2, 0, 0, 3, 2, 5, 4], strict=True))
+    assert [tuple(r) for r in both.collect()] == sorted({(names.index(a), names.index(b)) for p in plain for a, b in (p, p[::-1])})
     with pytest.raises(ValueError, match="weights"):
         edges.standardize_edges(e, weight_reduce="sum")
 
 
 def test_subgraph(spark):
-    p4 = generators.path_graph(spark, 4)
-    nodes = spark.range(3)
-    assert pairs_of(edges.subgraph(p4, nodes)) == [(0, 1), (1, 0), (1, 2), (2, 1)]
-    assert pairs_of(edges.subgraph(p4, nodes, one_hop=True)) == [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)]
+    pairs = random_pairs(seed=6)
+    e, nodes = graph(spark, pairs), spark.range(0, 20)
+    assert pairs_of(edges.subgraph(e, nodes)) == sorted(p for p in pairs if p[0] < 20 and p[1] < 20)
+    assert pairs_of(edges.subgraph(e, nodes, one_hop=True)) == sorted(p for p in pairs if p[0] < 20 or p[1] < 20)
+
+
+@pytest.mark.parametrize("light", [5, 100_000])
+def test_layout_joins_as_a_join_does(spark, light):
+    """With and without heavy nodes, whose edges lie in several slots."""
+    pairs = [(0, i) for i in range(60)] + [(7, i) for i in range(30)] + random_pairs()
+    values_ = spark.createDataFrame([(i, i * 2) for i in range(0, 45)], "id long, x long")
+    laid = Layout(graph(spark, pairs), "src", Scratch(spark, "test"), light)
+    assert (laid.heavy is None) == (light > 100)
+    assert sorted(tuple(r) for r in laid.join(values_).select("src", "dst", "x").collect()) == sorted((a, b, 2 * a) for a, b in pairs)
+    plan = laid.join(values_.hint("shuffle_merge"))._jdf.queryExecution().executedPlan().toString() if laid.heavy is None else "Bucketed: true"
+    assert "Bucketed: true" in plan
 
 
 @FEW
@@ -70,12 +94,14 @@ def test_pack_refuses_large_labels(spark):
 
 
 def test_degrees(spark):
-    e = graph(spark, list(zip([0, 1, 2, 3, 4, 5, 5, 5], [5, 5, 5, 5, 5, 6, 7, 8], strict=True)))
-    assert values(degrees.out_degree(e), "degree") == [1, 1, 1, 1, 1, 3, 0, 0, 0]
-    assert values(degrees.in_degree(e), "degree") == [0, 0, 0, 0, 0, 5, 1, 1, 1]
-    assert values(degrees.degree(e), "degree") == [1, 1, 1, 1, 1, 8, 1, 1, 1]
-    w = graph(spark, pairs_of(e), w=[float(i) for i in range(1, 9)])
-    assert values(degrees.degree(w), "degree") == [1, 2, 3, 4, 5, 36, 6, 7, 8]
+    pairs = random_pairs(9, 25, 7)
+    e, n = graph(spark, pairs), max(max(p) for p in pairs) + 1
+    assert values(degrees.out_degree(e), "degree") == [sum(a == i for a, _ in pairs) for i in range(n)]
+    assert values(degrees.in_degree(e), "degree") == [sum(b == i for _, b in pairs) for i in range(n)]
+    names = sorted({x for p in pairs for x in p})
+    assert values(degrees.degree(e), "degree") == [len({b for a, b in pairs if a == i} | {a for a, b in pairs if b == i}) for i in names]
+    w = graph(spark, pairs, w=[float(i) for i in range(len(pairs))])
+    assert values(degrees.degree(w), "degree") == [sum(k * ((a == i) + (b == i)) for k, (a, b) in enumerate(pairs)) for i in names]
     assert sum(values(degrees.degree(e, normalize=True), "degree")) == pytest.approx(1)
 
 
@@ -125,10 +151,20 @@ def test_bfs(spark, karate):
 
 
 def test_sssp(spark):
-    w = [0.5, 0.2, 0.1, 1.0, 0.4]
-    e = graph(spark, [(0, 1), (0, 2), (2, 1), (1, 3), (2, 3)], True, w)
-    assert values(traversal.sssp_bf(e, 0), "dist") == pytest.approx([0, 0.3, 0.2, 0.6])
-    assert values(traversal.sssp_bf(e, 0), "parent") == [0, 2, 0, 2]
+    r = random.Random(9)
+    pairs = list({tuple(sorted(r.sample(range(10), 2))) for _ in range(18)})
+    w = [r.randint(1, 9) / 10 for _ in pairs]
+    both = {p: x for (a, b), x in zip(pairs, w, strict=True) for p in ((a, b), (b, a))}
+    dist = {pairs[0][0]: 0.0}
+    for _ in range(10):
+        for (a, b), x in both.items():
+            if a in dist and dist[a] + x < dist.get(b, 99):
+                dist[b] = dist[a] + x
+    found = traversal.sssp_bf(graph(spark, pairs, True, w), pairs[0][0], full=False)
+    for row in found.collect():
+        assert row["dist"] == pytest.approx(dist.get(row["id"], -1))
+        if row["dist"] > 0:
+            assert dist[row["parent"]] + both[row["parent"], row["id"]] == pytest.approx(row["dist"])
 
 
 def two_parts(spark):
@@ -171,10 +207,30 @@ def test_cdlp(spark):
 
 
 def test_mis(spark, karate):
-    found = independent.maximal_independent_set(karate)
-    assert [i for i, m in enumerate(values(found, "member")) if m] == [0, 9, 14, 15, 16, 18, 20, 22, 23, 24, 26, 28, 30]
+    by_id = karate.selectExpr("src as id", "src as place").distinct()
+    found = independent.maximal_independent_set(karate, by_id)
+    near, inside = {}, set()
+    for a, b in pairs_of(karate):
+        near.setdefault(a, set()).add(b)
+    for i in sorted(near):
+        if not near[i] & inside:
+            inside.add(i)
+    assert {i for i, m in enumerate(values(found, "member")) if m} == inside
     assert independent.valid_mis(karate, found).first()[0]
     assert not independent.valid_mis(karate, found.selectExpr("id", "false as member")).first()[0]
+    for bad in (by_id.where("id > 0"), by_id.selectExpr("id", "id % 7 as place")):
+        with pytest.raises(ValueError, match="permutation"):
+            independent.maximal_independent_set(karate, bad)
+
+
+def test_mis_in_random_order_takes_few_rounds(spark, monkeypatch):
+    path = generators.path_graph(spark, 1000)
+    made = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *p: made.append(1) or keep(self, df, *p))
+    found = independent.maximal_independent_set(path, seed=3).cache()
+    assert independent.valid_mis(path, found).first()[0]
+    assert len(made) < 5 * 2 * math.log2(1000)
 
 
 def kruskal(rows):
@@ -201,11 +257,9 @@ def test_msf_is_kruskals(spark, rows):
     assert pairs_of(spanning.msf_boruvka(edges.symmetrize_edges(df))[1]) == kruskal(rows)
 
 
-def test_msf_golden(spark):
-    rows = [(0, 1, 7), (0, 3, 5), (1, 2, 8), (1, 3, 9), (1, 4, 7), (2, 4, 5), (3, 4, 15), (3, 5, 6), (4, 5, 8), (4, 6, 9), (5, 6, 11)]
-    labels, forest = spanning.msf_boruvka(graph(spark, [r[:2] for r in rows], True, [float(r[2]) for r in rows]))
-    assert pairs_of(forest) == [(0, 1, 7), (0, 3, 5), (1, 4, 7), (2, 4, 5), (3, 5, 6), (4, 6, 9)]
-    assert set(values(labels, "component")) == {0}
+def test_msf_labels(spark):
+    labels, forest = spanning.msf_boruvka(graph(spark, [(0, 1), (1, 2), (4, 5)], True, [2.0, 1.0, 3.0]))
+    assert values(labels, "component") == [0, 0, 0, 4, 4] and forest.count() == 3
 
 
 def test_centrality_goldens(spark):
@@ -242,6 +296,8 @@ def test_triangles(spark, karate):
 
 
 def test_generators(spark):
+    sides = generators.karate_club_sides(spark).collect()
+    assert len(sides) == 34 and sum(r["community"] for r in sides) == 17
     tree = generators.random_tree(spark, 40)
     assert tree.count() == 78 and components.component_count(components.star_components(tree)).first()[0] == 1
     r = generators.rmat(spark, 6, 4)

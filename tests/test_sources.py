@@ -95,7 +95,24 @@ def test_packed_strings(spark):
     assert [r["value"] for r in sorted(packed.unpack_strings(out).collect())] == ["ab", "", "ñ€", ""]
     blob = spark.createDataFrame([(b"".join(bytes(r["bytes"]) for r in sorted(out.collect())),)], "values binary")
     cuts = out.select("key", "offset", F.octet_length("bytes").alias("n"))
-    assert [r["value"] for r in sorted(packed.slice_strings(blob, cuts).collect())] == ["ab", "", "ñ€", ""]
+    for piece in (1 << 20, 2, 3):
+        assert [r["value"] for r in sorted(packed.slice_strings(blob, cuts, piece=piece).collect())] == ["ab", "", "ñ€", ""]
+
+
+def test_save_and_insert(spark, tmp_path):
+    frame = spark.createDataFrame([(i, i, "a") for i in range(6)], "idx long, v long, s string")
+    rows = spark.createDataFrame([(5, None), (9, 70)], "idx long, v long")
+    out = sorted(csv_ingest.insert_rows(frame, rows, 2).collect())
+    assert [r["v"] for r in out] == [0, 1, None, 70, 4, 5] and {r["s"] for r in out} == {"a"}
+    with pytest.raises(ValueError, match="fit"):
+        csv_ingest.insert_rows(frame, rows, 5)
+    assert csv_ingest.insert_rows(frame, rows.where("false"), 0).count() == 6
+    assert csv_ingest.save(frame, str(tmp_path / "f"), attempts=1)
+    (tmp_path / "g").write_text("x")
+    with pytest.warns(UserWarning, match="not written"):
+        assert not csv_ingest.save(frame, str(tmp_path / "g" / "h"), attempts=2, interval=0.01)
+    with pytest.raises(Exception):  # noqa: B017
+        csv_ingest.save(frame, str(tmp_path / "g" / "h"), raise_errors=True)
 
 
 def test_frames(spark, tmp_path):

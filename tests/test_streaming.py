@@ -77,6 +77,13 @@ def test_metrics(spark):
     assert info["version"] == spark.version
 
 
+def test_metrics_loop(spark):
+    seen = []
+    assert metrics.run_loop(lambda: 1, seen.append, 0.0, 3) == 3 and seen == [1, 1, 1]
+    with pytest.warns(UserWarning, match="no connection"):
+        assert metrics.run_loop(lambda: 1, seen.append, 0.0, 1, lambda: False) == 0
+
+
 def test_jobs(spark):
     jobs = Jobs(spark)
     name = jobs.submit(lambda s: s.range(10).count())
