@@ -16,9 +16,10 @@ import json
 import math
 import random
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -116,20 +117,25 @@ def describe(value: str, before: str, after: str, path: str | None, vocabulary:
 
 
 class Neighbours:
-    """The words of a text, found once, and the stretches of NEAR whole ones before and after a place."""
+    """The stretches of NEAR whole words before and after a place of a text; only what lies there is read."""
 
     def __init__(self, text: str):
         self.text = text
-        spans = [m.span() for m in TOKEN.finditer(text)]
-        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
 
     def before(self, at: int) -> str:
-        k = bisect_left(self.starts, at) - NEAR
-        return self.text[self.starts[k] if k > 0 else 0 : at]
+        reach = 256
+        while True:
+            low = max(0, at - reach)
+            starts = [m.start() for m in TOKEN.finditer(self.text, low, at)]
+            if len(starts) > NEAR:  # the first one may be cut
+                return self.text[starts[-NEAR] : at]
+            if not low:
+                return self.text[:at]
+            reach *= 4
 
     def after(self, at: int) -> str:
-        k = bisect_right(self.ends, at) + NEAR - 1
-        return self.text[at : self.ends[k] if k < len(self.ends) else len(self.text)]
+        words = list(islice(TOKEN.finditer(self.text, at), NEAR))
+        return self.text[at : words[-1].end() if len(words) == NEAR else len(self.text)]
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -154,7 +160,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.append((start, end, "prefix" if text.startswith(tuple(PREFIXES), start) else "assigned"))
             last = end
     starts, ends = [a for a, _, _ in out], [b for _, b, _ in out]
-    near = Neighbours(text) if CANDIDATE.search(text) else None
+    near = Neighbours(text)
     for m in CANDIDATE.finditer(text):
         value = m.group(0).rstrip(".-_/")
         name = value.rstrip("=").rfind("=") + 1
