@@ -6,16 +6,30 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.reducers import reducer
-from tessella.plans.rank import with_running_sum
+from tessella.plans.rank import with_rank, with_running_sum
+from tessella.plans.ship import ship
 
 #: Products from which spgemm warns before it expands them.
 MANY_PRODUCTS = 10**10
 
 
+def _runs(batches):
+    """Each batch (row, col, val, rank) as lists, one row for each run of ranks that follow each other."""
+    for batch in batches:
+        if batch.num_rows:
+            rank = batch.column("rank").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(rank) != 1) + 1, [len(rank)]])
+            ends = pa.array(cuts, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(rank[cuts[:-1]]), *[pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("row", "col", "val")]], names=["start", "row", "col", "val"])
+
+
 @dataclass(eq=False)
 class SparseMatrix:
     """layout: 'coo', 'csr' (ordered by row) or 'csc' (by column); it says how entries are ordered when they are listed, not how they are computed with."""
@@ -65,9 +79,12 @@ class SparseMatrix:
     def to_csc(self) -> SparseMatrix:
         return replace(self, layout="csc")
 
+    def _order(self) -> tuple[str, str]:
+        return ("col", "row") if self.layout == "csc" else ("row", "col")
+
     def listed(self) -> DataFrame:
         """Entries in the order of the layout."""
-        return self.entries.orderBy(*(("col", "row") if self.layout == "csc" else ("row", "col")))
+        return self.entries.orderBy(*self._order())
 
     def indptr(self, axis: str = "row") -> DataFrame:
         """i, ptr for i from 0 to the number of rows (columns): how many entries lie before row i."""
@@ -214,10 +231,20 @@ class SparseMatrix:
     def __repr__(self) -> str:
         return f"SparseMatrix({self.shape[0]} x {self.shape[1]}, {self.layout})"
 
+    def array_blocks(self) -> DataFrame:
+        """start, row, col, val: the arrays (row, col, val) in the layout's order, cut into runs; each run is made where its entries lie, and start is its place."""
+        ship(self.spark)
+        kind = self.entries.schema["val"].dataType.simpleString()
+        ranked = with_rank(self.entries.select("row", "col", "val"), *self._order(), name="rank")
+        return ranked.select("row", "col", "val", "rank").mapInArrow(_runs, f"start long, row array<long>, col array<long>, val array<{kind}>")
+
     def to_arrays(self):
-        """numpy arrays (row, col, val) in the layout's order, for a matrix that fits the driver."""
-        rows = self.listed().toPandas()
-        return tuple(rows[c].to_numpy() for c in ("row", "col", "val"))
+        """numpy arrays (row, col, val) in the layout's order, for a matrix that fits the driver; blocks come one after the other."""
+        blocks = [tuple(pd.Series(x).to_numpy() for x in r) for r in self.array_blocks().orderBy("start").select("row", "col", "val").toLocalIterator()]
+        if not blocks:
+            rows = self.listed().toPandas()
+            return tuple(rows[c].to_numpy() for c in ("row", "col", "val"))
+        return tuple(np.concatenate(x) for x in zip(*blocks, strict=True))
 
 
 def to_scipy(matrix: SparseMatrix, layout: str | None = None):
