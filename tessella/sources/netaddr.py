@@ -36,7 +36,8 @@ def halves(texts: pd.Series) -> pd.DataFrame:
             out.append((n, 0) if a.version == 4 else (_signed(n >> 64), _signed(n & (1 << 64) - 1)))
         except ValueError:
             out.append((None, None))
-    return pd.DataFrame(out, columns=["hi", "lo"]).astype("Int64")
+    # column by column: beside a missing one, numbers in a plain frame would turn into doubles
+    return pd.DataFrame({c: pd.array([x[k] for x in out], dtype="Int64") for k, c in enumerate(("hi", "lo"))})
 
 
 def split_ip(df: DataFrame, columns: list[str], suffix1: str = "", suffix2: str = "2", v6: bool = True) -> DataFrame:
