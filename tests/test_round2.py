@@ -2,12 +2,14 @@
 
 import ipaddress
 import os
+import random
 
 import duckdb
 import pandas as pd
 import pytest
 
 import tessella.queries as core
+from tessella.operators import icws
 from tessella.operators.matrix import SparseMatrix
 from tessella.sources import netaddr
 
@@ -67,3 +69,38 @@ def test_sym_edges_where_labels_meet(spark, tmp_path):
     s = core.SUPPLIERS
     pairs = [(s + 1, 2), (s + 2, 1), (s + 2, 1), (s + 3, 3), (5, 1), (5, 1), (s + 1, 2)]
     against_sql(spark, "sym_edges", tmp_path, lineitem=pd.DataFrame([(p, q, 1.0) for p, q in pairs], columns=["l_partkey", "l_suppkey", "l_quantity"]))
+
+
+@pytest.mark.parametrize("bands", [3, 4, 10])
+def test_band_links_and_pairs_lose_none(spark, bands):
+    rng = random.Random(bands)
+    known = {i: [rng.randrange(3 * bands) for _ in range(2 * bands)] for i in range(90)}
+    known |= {i + 90: list(known[i]) for i in range(0, 90, 7)}
+    for i in range(0, 60, 2):  # sets of the same band
+        b = rng.randrange(bands)
+        known[i + 1][2 * b : 2 * b + 2] = known[i][2 * b : 2 * b + 2]
+    table = spark.createDataFrame([(i, h, e) for i, v in known.items() for h, e in enumerate(v)], "set_id long, hash int, elt long")
+    cut = {i: [tuple(v[2 * b : 2 * b + 2]) for b in range(bands)] for i, v in known.items()}
+    links = {i: {j for j in cut if j != i and any(x == y for x, y in zip(cut[i], cut[j], strict=True))} for i in cut}
+    label = {i: i for i in cut}
+    for _ in cut:
+        label = {i: min([label[i], *(label[j] for j in links[i])]) for i in cut}
+    assert {tuple(r) for r in icws.band_links(table, 2).collect()} == {(i, label[i], len(links[i])) for i in cut}
+    found = {tuple(r) for r in icws.band_pairs(table, 2).collect()}
+    head = {i: min(j for j in cut if cut[j] == cut[i]) for i in cut}
+    heads = {(a, b) for a in set(head.values()) for b in links[a] if a < b and head[b] == b}
+    assert found == heads | {(head[i], i) for i in cut if head[i] != i}
+
+
+def test_minhash_in_several_passes(spark):
+    sets = spark.createDataFrame([(s, e, 1.0 + (s * e) % 4) for s in range(5) for e in range(20)], "set_id long, elt long, weight double")
+    whole = {tuple(r) for r in icws.minhash(sets, 37).collect()}
+    assert len(whole) == 5 * 37
+    assert {r for r in whole if r[1] < 16} == {tuple(r) for r in icws.minhash(sets.repartition("set_id"), 16, gathered=True).collect()}
+
+
+@needs_data
+def test_icws_bands_gives_every_document(spark):
+    found = core.QUERIES["icws_bands"](spark, DATA)
+    assert found.count() == spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").distinct().count()
+    assert found.where("n_links > 0").count() > 0
