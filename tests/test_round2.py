@@ -104,3 +104,22 @@ def test_icws_bands_gives_every_document(spark):
     found = core.QUERIES["icws_bands"](spark, DATA)
     assert found.count() == spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").distinct().count()
     assert found.where("n_links > 0").count() > 0
+
+
+def test_products_move_sums_only(spark):
+    n = 64  # dense: n * n cells, n ** 3 products
+    cells = spark.range(n * n).selectExpr("id div 64 as row", "id % 64 as col", "1.0d as val")
+    m = SparseMatrix.from_coo(cells.repartition(4))
+    entries = m.transpose().spgemm(m).entries
+    assert {tuple(r) for r in entries.collect()} == {(i, j, float(n)) for i in range(n) for j in range(n)}
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(k" in plan and "Join" not in plan
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["spgemm", "spgemm_min_plus", "jaccard_rows"])
+def test_products_by_more_ranges_than_partitions(spark, monkeypatch, name):
+    whole = {tuple(round(x, 6) for x in r) for r in core.QUERIES[name](spark, DATA).collect()}
+    monkeypatch.setattr("tessella.operators.matrix.RANGE", 7)
+    monkeypatch.setattr("tessella.operators.matrix.FEW_ROWS", 1)
+    assert {tuple(round(x, 6) for x in r) for r in core.QUERIES[name](spark, DATA).collect()} == whole
