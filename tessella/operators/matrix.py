@@ -21,6 +21,8 @@ from tessella.plans.store import Scratch
 MANY_PRODUCTS = 10**10
 #: Inner indices of one range of a product, and how many ranges at most.
 RANGE, MANY_RANGES = 1 << 15, 2000
+#: Entries of one part where duplicates are summed.
+PART = 1 << 19
 #: Rows up to which their sizes are sent to every task.
 FEW_ROWS = 1 << 20
 
@@ -64,12 +66,15 @@ class SparseMatrix:
         """Any table with row, col and val (default 1).  Without a shape, the least that holds all entries."""
         val = F.col("val") if "val" in entries.columns else F.lit(1).cast("long")
         rows = entries.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), val.alias("val"))
-        lo, r, c = rows.agg(F.min(F.least("row", "col")), F.max("row"), F.max("col")).first()
+        lo, r, c, n = rows.agg(F.min(F.least("row", "col")), F.max("row"), F.max("col"), F.count("*")).first()
         if lo is not None and lo < 0:
             raise ValueError("indices must not be negative")
         least = (0 if r is None else r + 1, 0 if c is None else c + 1)
         if shape is not None and (shape[0] < least[0] or shape[1] < least[1]):
             raise ValueError(f"entries up to {least} do not fit into {shape}")
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if sum_duplicates and n // PART > parts:  # tasks stay of one size; sums and joins by cell keep these parts
+            rows = rows.repartition(n // PART, "row", "col")
         out = cls(rows, tuple(shape) if shape else least)
         return out.sum_duplicates() if sum_duplicates else out
 
