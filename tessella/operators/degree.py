@@ -8,6 +8,10 @@ from pyspark.sql.window import Window as W
 
 from tessella.operators.edges import weighted
 from tessella.plans.rank import with_rank
+from tessella.plans.store import Scratch
+
+#: Ends of edges in one part where different neighbours are counted.
+PART = 1 << 20
 
 
 def node_count(edges: DataFrame) -> int:
@@ -54,10 +58,16 @@ def degree(edges: DataFrame, normalize: bool = False, symmetric: bool = False) -
     if symmetric:
         value = F.sum("w") if weighted(edges) else F.count("*")
         return _share(edges.groupBy(F.col("src").alias("id")).agg(value.alias("degree")), normalize)
+    if not weighted(edges):
+        # tasks stay of one size: each end moves once, to its pair of nodes, and counts move from there
+        edges = Scratch(edges.sparkSession, "degree").keep(edges.select("src", "dst"))
+        parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * edges.count() // PART)
     both = F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other"))))
     ends = edges.select(both.alias("e"), *([F.col("w")] if weighted(edges) else [])).select("e.*", *(["w"] if weighted(edges) else []))
-    value = F.sum("w") if weighted(edges) else F.countDistinct("other")
-    return _share(ends.groupBy("id").agg(value.alias("degree")), normalize)
+    if weighted(edges):
+        return _share(ends.groupBy("id").agg(F.sum("w").alias("degree")), normalize)
+    pairs = ends.repartition(parts, "id", "other").distinct()
+    return _share(pairs.groupBy("id").agg(F.count("other").alias("degree")), normalize)
 
 
 def degree_order(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import tessella.queries as core
+from tessella.operators import degree as degrees
 from tessella.operators import icws
 from tessella.operators.matrix import SparseMatrix
 from tessella.sources import netaddr
@@ -123,3 +124,21 @@ def test_products_by_more_ranges_than_partitions(spark, monkeypatch, name):
     monkeypatch.setattr("tessella.operators.matrix.RANGE", 7)
     monkeypatch.setattr("tessella.operators.matrix.FEW_ROWS", 1)
     assert {tuple(round(x, 6) for x in r) for r in core.QUERIES[name](spark, DATA).collect()} == whole
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["mat_equal", "degree"])
+def test_parts_grow_with_the_rows(spark, monkeypatch, name):
+    whole = sorted(map(tuple, core.QUERIES[name](spark, DATA).collect()))
+    seen = []
+    move = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *c: seen.append(n) or move(self, n, *c))
+    for module in ("tessella.operators.matrix", "tessella.operators.degree", "tessella.queries"):
+        monkeypatch.setattr(f"{module}.PART", 500)
+    assert sorted(map(tuple, core.QUERIES[name](spark, DATA).collect())) == whole
+    assert any(isinstance(n, int) and n >= 11 for n in seen)
+
+
+def test_degree_counts_neighbours_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (1, 3), (4, 4)], "src long, dst long")
+    assert sorted(map(tuple, degrees.degree(edges).collect())) == [(1, 2), (2, 1), (3, 1), (4, 1)]
