@@ -119,7 +119,7 @@ def band_links(signatures: DataFrame, rows: int) -> DataFrame:
     bands = classes.select("head", F.explode("bands").alias("b"))
     hubs = bands.groupBy("b").agg(F.min("head").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = bands.join(hubs, "b").where("hub <> head").select(F.col("hub").alias("src"), F.col("head").alias("dst")).distinct()
-    labels = star_components(stars, scratch).select(F.col("id").alias("head"), "label")
+    labels = star_components(stars, scratch, spread=True).select(F.col("id").alias("head"), "label")
     named = scratch.keep(links.join(labels, "head", "left").select("head", F.coalesce("label", "head").alias("class_id"), F.col("n_links").cast("long").alias("n_links")))
     return members.join(named, "head").select("set_id", "class_id", "n_links")
 

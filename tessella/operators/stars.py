@@ -18,10 +18,10 @@ from tessella.plans.store import Scratch
 SMALL = 100_000
 
 
-def _towards_least(pairs: DataFrame, both: bool) -> DataFrame:
+def _towards_least(pairs: DataFrame, both: bool, spread: bool = False) -> DataFrame:
     """pairs (u, v): for every u the edges (v, m) and, for small stars, (u, m); m is the least of u and its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    joined = pairs.join(least, pairs["u"] == F.col("k"))
+    joined = pairs.join(least.hint("merge") if spread else least, pairs["u"] == F.col("k"))
     if both:  # large star: only the larger neighbours move
         return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     moved = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -45,12 +45,15 @@ def _in_one_task(batches):
     yield pd.DataFrame({"id": list(parent), "label": [find(x) for x in parent]}, dtype="int64")
 
 
-def star_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 64, small: int = SMALL) -> DataFrame:
+def star_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 64, small: int = SMALL, spread: bool = False) -> DataFrame:
     """edges (src, dst) -> (id, label): the least id of each end's component.
 
     Up to ``small`` edges, which are counted first, one task joins them; more
     edges go through the steps.  Both ways give the same labels.
 
+    spread: no round's table goes through the driver to every task, however
+    small its files make it look; compressed ids are far larger in memory.
+
     Loops, repeated edges and both directions are allowed; rows with a null
     end are ignored.  An empty table gives an empty table.
     """
@@ -68,11 +71,12 @@ def star_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds
         if state == before:
             break
         before = state
-        large = _towards_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
-        small = _towards_least(large.where("u > v"), False).where("u <> v").distinct()
+        large = _towards_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True, spread)
+        small = _towards_least(large.where("u > v"), False, spread).where("u <> v").distinct()
         fresh = scratch.keep(small)
         scratch.drop(now)
         now = fresh
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    found = now.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    return ids.join(found.hint("merge") if spread else found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))

@@ -10,7 +10,7 @@ import pytest
 
 import tessella.queries as core
 from tessella.operators import degree as degrees
-from tessella.operators import icws
+from tessella.operators import icws, spanning, stars
 from tessella.operators.matrix import SparseMatrix
 from tessella.sources import netaddr
 
@@ -142,3 +142,31 @@ def test_parts_grow_with_the_rows(spark, monkeypatch, name):
 def test_degree_counts_neighbours_once(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (1, 3), (4, 4)], "src long, dst long")
     assert sorted(map(tuple, degrees.degree(edges).collect())) == [(1, 2), (2, 1), (3, 1), (4, 1)]
+
+
+def test_forest_sends_no_table_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(spanning, "star_components", lambda edges, scratch, **k: stars.star_components(edges, scratch, small=0, **k))
+    plans = []
+    keep = spanning.Scratch.keep
+
+    def watched(self, df, *partitions):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, *partitions)
+
+    monkeypatch.setattr(spanning.Scratch, "keep", watched)
+    rng = random.Random(5)
+    known = {(a, b): rng.randrange(9) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(150)) if a < b}
+    _, forest = spanning.msf_boruvka(spark.createDataFrame([(a, b, w) for (a, b), w in known.items()], "src long, dst long, w long"))
+    root, want = {}, set()
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for w, a, b in sorted((w, a, b) for (a, b), w in known.items()):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b, w))
+    assert {tuple(r) for r in forest.collect()} == want
+    assert not any("BroadcastHashJoin" in p for p in plans)
