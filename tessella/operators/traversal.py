@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.degree import dense, node_count
@@ -68,24 +68,49 @@ def bfs_forest(edges: DataFrame, source, depth_limit: int | None = None, full: b
     return _spread(edges, _levels(edges, source, depth_limit, Scratch(edges.sparkSession, "bfs")).select("id", "parent"), full, parent=-1)
 
 
-def sssp_bf(edges: DataFrame, source: int, full: bool = True) -> DataFrame:
+def sssp_bf(edges: DataFrame, source: int | DataFrame | None, full: bool = True, parents: bool = True) -> DataFrame:
     """id, parent, dist by Bellman-Ford over non-negative weights; -1 where no path leads.
 
-    Only nodes whose distance fell in the last round pass it on.  Of equally
-    short ways the one over the least parent counts.
+    Of the nodes whose distance fell and was not passed on yet, a round passes
+    on those within a third of the greatest weight of the nearest one; farther
+    ones wait, as most of them fall again.  Of equally short ways one of the
+    fewest edges counts, and of these the one over the least parent.  Without
+    ``parents`` there is no such column, and ties need no care.  No source: the
+    least label is one.
     """
     scratch = Scratch(edges.sparkSession, "sssp")
     edges = scratch.keep(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
-    by_src = Layout(edges, "src", scratch)
-    start = _sources(edges.sparkSession, source).select("id", F.col("id").alias("parent"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
+    by_src = Layout(edges, "src", scratch, packed=True)
+    known = ["dist", "hops", "parent"] if parents else ["dist"]
+    most, count, least = edges.agg(F.max("w"), F.count("*"), F.min(F.least("src", "dst"))).first()
+    source = source if source is not None else [] if least is None else least
+    start = _sources(edges.sparkSession, source).select("id", F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("hops"), F.col("id").alias("parent"))
+    width, limit = (most or 0.0) / 3, 0.0
+
+    def key(columns: list[str]) -> Column:
+        found = [F.col(c) for c in columns]
+        return found[0] if len(found) == 1 else F.struct(*found)
 
     def relax(state: DataFrame, _: int) -> DataFrame:
-        lead = state.where("fresh").select("id", F.col("dist").alias("d"))
-        ways = by_src.join(lead).select(F.col("dst").alias("id"), F.col("src").alias("parent"), (F.col("d") + F.col("w")).alias("dist"), F.lit(True).alias("fresh"))
-        old = state.select("id", "parent", "dist", F.lit(False).alias("fresh"))
-        best = F.min(F.struct("dist", "fresh", "parent")).alias("b")
-        return old.unionByName(ways).groupBy("id").agg(best).select("id", "b.parent", "b.dist", "b.fresh")
-
-    n = node_labels(edges).count()
-    state, _, _ = fixpoint(start, relax, lambda s, _: s.where("fresh").isEmpty(), max(1, n + 1), scratch)
-    return _spread(edges, state.select("id", "parent", "dist"), full, parent=-1, dist=-1.0)
+        lead = F.col("fresh") & (F.col("dist") <= limit)
+        ways = by_src.join(state.where(lead).select("id", *[F.col(c).alias(f"from_{c}") for c in known if c != "parent"]))
+        step = {"dist": F.col("from_dist") + F.col("w"), "hops": F.col("from_hops") + 1, "parent": F.col("src")}
+        ways = ways.select(F.col("dst").alias("id"), *[step[c].alias(c) for c in known], F.lit(True).alias("fresh"))
+        old = state.select("id", *known, (F.col("fresh") & ~lead).alias("fresh"))
+        length = [c for c in known if c != "parent"]
+        met = old.unionByName(ways).groupBy("id").agg(F.min(key(known)).alias("b"), F.min(F.when(~F.col("fresh"), key(length))).alias("passed"))
+        met = met.select("id", *([f"b.{c}" for c in known] if parents else [F.col("b").alias("dist")]), "passed")
+        return met.select("id", *known, (F.col("passed").isNull() | (key(length) < F.col("passed"))).alias("fresh"))
+
+    def done(state: DataFrame, _: int) -> bool:
+        nonlocal limit
+        nearest = state.where("fresh").agg(F.min("dist")).first()[0]
+        if nearest is None:
+            return True
+        limit = nearest + width
+        return False
+
+    # the nearest one is settled when it is passed on: as many rounds as nodes at most
+    state, _, _ = fixpoint(start.select("id", *known, F.lit(True).alias("fresh")), relax, done, count + 2, scratch)
+    found = state.select("id", "parent", "dist") if parents else state.select("id", "dist")
+    return _spread(edges, found, full, **({"parent": -1} if parents else {}), dist=-1.0)

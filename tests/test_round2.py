@@ -10,7 +10,7 @@ import pytest
 
 import tessella.queries as core
 from tessella.operators import degree as degrees
-from tessella.operators import icws, solvers, spanning, stars
+from tessella.operators import icws, solvers, spanning, stars, traversal
 from tessella.operators.matrix import SparseMatrix
 from tessella.sources import netaddr
 
@@ -186,3 +186,38 @@ def test_preconditioner_reads_its_entries_once(spark):
     for _ in range(3):
         assert {tuple(r) for r in precon(x).collect()} == {(i, 1 / (2.0 + i)) for i in range(20)}
     assert reads.value == 20
+
+
+def _random_graph(nodes, count, seed):
+    rng = random.Random(seed)
+    known = {(a, b): float(rng.randrange(1, 98)) for a, b in ((rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)) if a < b}
+    return known | {(b, a): w for (a, b), w in known.items()}
+
+
+def test_shortest_paths_pass_edges_on_about_once(spark, monkeypatch):
+    known = _random_graph(300, 6000, 4)
+    moved = []
+    join = traversal.Layout.join
+
+    def watched(self, values, how="inner"):
+        out = join(self, values, how)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(traversal.Layout, "join", watched)
+    monkeypatch.setattr(traversal.Layout.__init__, "__defaults__", (5, *traversal.Layout.__init__.__defaults__[1:]))
+    edges = spark.createDataFrame([(*p, w) for p, w in known.items()], "src long, dst long, w double")
+    best = {7: (0.0, 0, 7)}  # distance, edges, parent
+    for _ in range(300):
+        fresh = dict(best)
+        for (a, b), w in known.items():
+            if a in best:
+                fresh[b] = min(fresh.get(b, (1e9, 0, 0)), (best[a][0] + w, best[a][1] + 1, a))
+        if fresh == best:
+            break
+        best = fresh
+    found = traversal.sssp_bf(edges, 7, full=False)
+    assert {r["id"]: (r["dist"], r["parent"]) for r in found.collect()} == {i: (b[0], b[2]) for i, b in best.items()}
+    assert sum(moved) < 2 * len(known)  # Bellman-Ford without waiting: 2.96 times
+    found = traversal.sssp_bf(edges, 7, full=False, parents=False)
+    assert {r["id"]: r["dist"] for r in found.collect()} == {i: b[0] for i, b in best.items()}
