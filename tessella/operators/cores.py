@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tessella.operators.degree import dense, node_count
 from tessella.operators.edges import node_labels
 from tessella.plans.layout import Layout
+from tessella.plans.ship import ship
 from tessella.plans.store import Scratch
 
 
@@ -65,26 +69,101 @@ def k_core_decomp(edges: DataFrame, k_max: int = 0) -> tuple[int, int, DataFrame
         core = fresh
 
 
+#: Nodes or edges in one part of the core numbers' state, about.
+PART = 1 << 20
+STATE = "part int, ids binary, cores binary, counts binary, id long, old long, new long"
+
+
+def _settle(part: int, ids: np.ndarray, was: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """A row with the part's state after a fall to the h-index, and one for each node that fell.
+
+    ``counts`` holds was + 1 counts a node: of its neighbours by their number,
+    cut at the node's own.
+    """
+    start = np.cumsum(was + 1) - (was + 1)
+    level = np.arange(len(counts)) - np.repeat(start, was + 1)
+    upto = np.cumsum(counts)
+    atleast = np.repeat(upto[start + was], was + 1) - upto + counts
+    now = np.maximum.reduceat(np.where(atleast >= level, level, 0), start)
+    cut = np.repeat(now, was + 1)
+    counts = np.where(level == cut, atleast, counts)[level <= cut]
+    fell = np.flatnonzero(now < was)
+    none = [None] * len(fell)
+    columns = [np.full(len(fell) + 1, part, "int32")]
+    columns += [pa.array([x.astype("int64").tobytes(), *none], pa.binary()) for x in (ids, now, counts)]
+    columns += [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x[fell].astype("int64"))]) for x in (ids, was, now)]
+    return pa.table([pa.array(columns[0]), *columns[1:]], names=["part", "ids", "cores", "counts", "id", "old", "new"])
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table[name].to_numpy() for name in names]
+
+
+def _first(key: tuple, told: pa.Table) -> pa.Table:
+    ids, new, n = _numbers(told, "id", "new", "n")
+    ids, place = np.unique(ids, return_inverse=True)
+    degree = np.bincount(place, n).astype("int64")
+    start = np.cumsum(degree + 1) - (degree + 1)
+    counts = np.bincount(start[place] + np.minimum(new, degree[place]), n, int((degree + 1).sum())).astype("int64")
+    return _settle(key[0].as_py(), ids, degree, counts)
+
+
+def _next(key: tuple, state: pa.Table, told: pa.Table) -> pa.Table:
+    ids, cores, counts = (np.frombuffer(state[c][0].as_py(), "int64") for c in ("ids", "cores", "counts"))
+    if told.num_rows:
+        to, old, new, n = _numbers(told, "id", "old", "new", "n")
+        place = np.searchsorted(ids, to)
+        own = cores[place]
+        old, new = np.minimum(old, own), np.minimum(new, own)
+        start = (np.cumsum(cores + 1) - (cores + 1))[place]
+        counts = counts + (np.bincount(start + new, n, len(counts)) - np.bincount(start + old, n, len(counts))).astype("int64")
+    return _settle(key[0].as_py(), ids, cores, counts)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, cores in zip(batch["ids"], batch["cores"], strict=True):
+            yield pa.record_batch([np.frombuffer(x.as_py(), "int64") for x in (ids, cores)], names=["id", "core"])
+
+
 def core_number(edges: DataFrame, max_iter: int | None = None) -> DataFrame:
     """id, core: each node's number falls to the h-index of its neighbours' numbers until none changes.
 
-    Neighbours are counted by their number, cut at the node's own, before they
-    meet, so that a hub brings as many rows as there are different numbers.
+    Only nodes whose number fell tell it to their neighbours, which keep counts
+    of the numbers they know, cut at their own.  The counts lie in parts of
+    about ``PART`` edges; what nodes tell a hub is added up before it moves.
     """
-    scratch = Scratch(edges.sparkSession, "core")
+    spark = edges.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "core")
     edges = scratch.keep(edges.select("src", "dst"))
-    by_dst = Layout(edges, "dst", scratch)
-    now = scratch.keep(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")))
-    k, before = 0, None
+    degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
+    if max_iter is not None and max_iter < 1:
+        return degrees
+    by_dst = Layout(edges, "dst", scratch, packed=True)
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), edges.count() // PART)
+
+    def told(values: DataFrame) -> DataFrame:
+        """What the neighbours (id) of nodes get to know of their values."""
+        news = by_dst.join(values).drop("dst").withColumnRenamed("src", "id")
+        one = F.lit(1).cast("long").alias("n")
+        if by_dst.heavy is None:
+            news = news.select("*", one)
+        else:
+            named = news.columns
+            hub = news.join(F.broadcast(by_dst.heavy), F.col("id") == F.col("node"), "left")
+            news = hub.where("node is null").select(*named, one).unionByName(hub.where("node is not null").groupBy(*named).agg(F.count("*").alias("n")))
+        return news.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+
+    now = scratch.keep(told(degrees.withColumnRenamed("core", "new")).groupBy("part").applyInArrow(_first, STATE))
+    k = 1
     while max_iter is None or k < max_iter:
-        total = now.agg(F.sum("core")).first()[0]
-        if total == before:
+        fell = now.where("id is not null").select("id", "old", "new")
+        if fell.isEmpty():
             break
-        before, k = total, k + 1
-        seen = by_dst.join(now.select("id", F.col("core").alias("c"))).groupBy(F.col("src").alias("id"), "c").agg(F.count("*").alias("n"))
-        counts = seen.join(now, "id").groupBy("id", F.least("c", "core").alias("c")).agg(F.sum("n").alias("n"))
-        atleast = F.sum("n").over(W.partitionBy("id").orderBy(F.desc("c")))
-        fresh = scratch.keep(counts.withColumn("m", atleast).groupBy("id").agg(F.max(F.least("c", "m")).alias("core")))
+        k += 1
+        state = now.where("ids is not null").select("part", "ids", "cores", "counts")
+        fresh = scratch.keep(state.groupBy("part").cogroup(told(fell).groupBy("part")).applyInArrow(_next, STATE))
         scratch.drop(now)
         now = fresh
-    return now
+    return now.where("ids is not null").select("ids", "cores").mapInArrow(_opened, "id long, core long")

@@ -10,7 +10,7 @@ import pytest
 
 import tessella.queries as core
 from tessella.operators import degree as degrees
-from tessella.operators import icws, solvers, spanning, stars, traversal
+from tessella.operators import cores, icws, solvers, spanning, stars, traversal
 from tessella.operators.matrix import SparseMatrix
 from tessella.sources import netaddr
 
@@ -221,3 +221,34 @@ def test_shortest_paths_pass_edges_on_about_once(spark, monkeypatch):
     assert sum(moved) < 2 * len(known)  # Bellman-Ford without waiting: 2.96 times
     found = traversal.sssp_bf(edges, 7, full=False, parents=False)
     assert {r["id"]: r["dist"] for r in found.collect()} == {i: b[0] for i, b in best.items()}
+
+
+def test_core_numbers_move_what_fell_only(spark, monkeypatch):
+    moved = []
+    join = cores.Layout.join
+
+    def watched(self, values, how="inner"):
+        out = join(self, values, how)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(cores.Layout, "join", watched)
+    monkeypatch.setattr(cores.Layout.__init__, "__defaults__", (5, *cores.Layout.__init__.__defaults__[1:]))
+    path = [(1000 + i, 1001 + i) for i in range(30)]  # falls from its ends, a node a round
+    hub = [(0, i) for i in range(1, 60)]
+    known = {p for a, b in path + hub + list(_random_graph(60, 400, 8)) if a != b for p in ((a, b), (b, a))}
+    near = {}
+    for a, b in known:
+        near.setdefault(a, set()).add(b)
+    degree, want, k = {i: len(x) for i, x in near.items()}, {}, 0
+    while degree:
+        i = min(degree, key=degree.get)
+        k = want[i] = max(k, degree.pop(i))
+        for j in near[i] & degree.keys():
+            degree[j] -= 1
+    edges = spark.createDataFrame(sorted(known), "src long, dst long")
+    assert {tuple(r) for r in cores.core_number(edges).collect()} == set(want.items())
+    assert len(moved) > 14 and sum(moved) < 4 * len(known)
+    one = {i: max(min(c, sum(len(near[j]) >= c for j in near[i])) for c in range(len(near[i]) + 1)) for i in near}
+    assert {tuple(r) for r in cores.core_number(edges, 1).collect()} == set(one.items())
+    assert cores.core_number(edges.limit(0)).count() == 0
