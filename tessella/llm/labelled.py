@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import U, Words, blocks, mix, shingles, utf8
+from tessella.llm.words import U, Words, blocks, lean, mix, shingles, utf8
 
 #: At most so many labelled rows train a classifier; which, a hash of their ids decides.
 SAMPLE = 20_000
@@ -59,8 +60,8 @@ def family_heads(signatures: np.ndarray) -> np.ndarray:
 
 def one_per_family(sample: DataFrame) -> DataFrame:
     """The labelled sample without near copies.  Its size is bounded, and so are the signatures that the driver sees and the ids that are broadcast."""
-    rows = sample.mapInPandas(_signatures, "doc_id long, signature binary").toPandas().sort_values("doc_id")
+    rows = sample.mapInPandas(lean(_signatures), "doc_id long, signature binary").toPandas().sort_values("doc_id")
     signatures = np.array([np.frombuffer(x, U) for x in rows["signature"]], U).reshape(len(rows), HASHES)
-    kept = pd.DataFrame({"kept_id": rows["doc_id"].to_numpy(np.int64)[family_heads(signatures)]}, dtype="int64")
-    ids = sample.sparkSession.createDataFrame(kept, "kept_id long").distinct()
+    kept = pa.table({"kept_id": pa.array(rows["doc_id"].to_numpy(np.int64)[family_heads(signatures)], pa.int64())})
+    ids = sample.sparkSession.createDataFrame(kept).distinct()  # rows of Python would start workers of another kind, which stay
     return sample.join(F.broadcast(ids), F.col("doc_id") == F.col("kept_id"), "left_semi")

@@ -33,10 +33,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import U, Words, blocks, mix, shingles, tune, utf8
+from tessella.llm.words import U, Words, blocks, lean, lean_group, mix, shingles, tune, utf8
 from tessella.operators.stars import star_components
 from tessella.plans.store import Scratch
 
@@ -231,14 +232,14 @@ def _counted_again(buckets: int):
 
 def _frequent(docs: DataFrame, k: int, parts: int, salts: dict[int, int], buckets: int, scratch: Scratch) -> DataFrame:
     """What :func:`_counter` gives, for the ranges that are dealt over salts: no task holds more than one salt's entries, or one range's different keys."""
-    sent = docs.mapInPandas(_sender(k, parts, salts, True), SENT).repartition(sum(salts.values()), "part", "salt")
-    held = scratch.keep(sent.groupBy("part", "salt").applyInPandas(_gather, SPLIT))
-    counts = held.select("part", "keys").mapInPandas(_partial, "part long, keys binary, counts binary")
-    common = counts.repartition(len(salts), "part").groupBy("part").applyInPandas(_summed, "part long, common binary, counts binary")
+    sent = docs.mapInPandas(lean(_sender(k, parts, salts, True)), SENT).repartition(sum(salts.values()), "part", "salt")
+    held = scratch.keep(sent.groupBy("part", "salt").applyInPandas(lean_group(_gather), SPLIT))
+    counts = held.select("part", "keys").mapInPandas(lean(_partial), "part long, keys binary, counts binary")
+    common = counts.repartition(len(salts), "part").groupBy("part").applyInPandas(lean_group(_summed), "part long, common binary, counts binary")
     spark = docs.sparkSession
-    many = spark.createDataFrame(sorted(salts.items()), "part long, salts long")
+    many = spark.createDataFrame(pa.table({"part": pa.array(salts.keys(), pa.int64()), "salts": pa.array(salts.values(), pa.int64())}))
     each = scratch.keep(common).join(F.broadcast(many), "part").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    return held.join(each.hint("shuffle_hash"), ["part", "salt"]).select("keys", "owners", "common", "counts").mapInPandas(_counted_again(buckets), COUNTED)
+    return held.join(each.hint("shuffle_hash"), ["part", "salt"]).select("keys", "owners", "common", "counts").mapInPandas(lean(_counted_again(buckets)), COUNTED)
 
 
 def _counter(buckets: int):
@@ -337,7 +338,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
                 ok.append(den * shared >= num * (nx + ny - shared))
             yield batch.loc[ok, ["x", "y"]]
 
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "kx", "ky").mapInPandas(run, "x long, y long")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "kx", "ky").mapInPandas(lean(run), "x long, y long")
 
 
 def _in_blocks(num: int, den: int):
@@ -425,7 +426,7 @@ def _left_over(classes: DataFrame, labels: DataFrame, scratch: Scratch, num: int
     lower = many.join(above, ["token", "c"]).withColumn("other", F.explode(F.sequence(zero, F.col("others") - 1))).select("token", "c", F.lit(True).alias("next"), F.col("at").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *columns)
     upper = many.join(below, ["token", "c"]).withColumn("other", F.explode(F.sequence(zero, F.col("others") - 1))).select("token", (F.col("c") - 1).alias("c"), F.lit(True).alias("next"), F.col("other").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), *columns)
     square = within.unionByName(lower).unionByName(upper)
-    pairs_many = square.groupBy("token", "c", "next", "i", "j").applyInPandas(_in_blocks(num, den), "x long, y long")
+    pairs_many = square.groupBy("token", "c", "next", "i", "j").applyInPandas(lean_group(_in_blocks(num, den)), "x long, y long")
     return pairs.unionByName(pairs_many).distinct()
 
 
@@ -447,19 +448,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     parts = max(1, round(chars / 6 / PART_KEYS))
     buckets = max(1, parts // 2)
     known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    loads = known.mapInPandas(_loads(k, parts), "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    loads = known.mapInPandas(lean(_loads(k, parts)), "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
     salts = {r["part"]: -(-r["n"] // PART_KEYS) for r in loads.where(F.col("n") > 4 * PART_KEYS).collect()}  # at most a quarter of the ranges
-    sent = known.mapInPandas(_sender(k, parts, salts, False), SENT)
+    sent = known.mapInPandas(lean(_sender(k, parts, salts, False)), SENT)
     # some ranges to a task, one after the other, whatever the session's number of partitions
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(max(-(-parts // 4), least), "part")
-    counted = scratch.keep(sent.groupBy("part").applyInPandas(_counter(buckets), COUNTED))
+    counted = scratch.keep(sent.groupBy("part").applyInPandas(lean_group(_counter(buckets)), COUNTED))
     blocks_, tokens = counted.where("bucket < 0"), counted.where("bucket >= 0")
     if salts:
         tokens = tokens.unionByName(_frequent(known, k, parts, salts, buckets, scratch))
-    members = scratch.keep(blocks_.mapInPandas(_members, "doc_id long, no_id boolean, n_shingles long, set_id long"))
-    both = tokens.unionByName(blocks_.mapInPandas(_classes_of(buckets), COUNTED)).repartition(max(-(-buckets // 4), least), "bucket")
-    classes = scratch.keep(both.groupBy("bucket").applyInPandas(_cutter(num, den), CLASS))
+    members = scratch.keep(blocks_.mapInPandas(lean(_members), "doc_id long, no_id boolean, n_shingles long, set_id long"))
+    both = tokens.unionByName(blocks_.mapInPandas(lean(_classes_of(buckets)), COUNTED)).repartition(max(-(-buckets // 4), least), "bucket")
+    classes = scratch.keep(both.groupBy("bucket").applyInPandas(lean_group(_cutter(num, den)), CLASS))
     linkable = classes.where("keys is not null")
     # groups: equal prefix and size
     shape = linkable.select("set_id", "n", F.md5(F.to_json(F.struct("prefix", "n"))).alias("shape"))

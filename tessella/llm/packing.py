@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import given, returned, tune
+from tessella.llm.words import given, lean, lean_group, returned, tune
 from tessella.plans.store import Scratch
 
 CAPACITY = 1024
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
                     out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return returned(given(docs, "text").mapInPandas(cut, PIECES))
+    return returned(given(docs, "text").mapInPandas(lean(cut), PIECES))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, late: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +171,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, scratch:
         return rows.drop(columns="group")
 
     dealt = given(rest, *[c for c in rest.columns if c != "doc_id"]).select(*rest.columns).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))  # equal rows too are dealt apart
-    packed = returned(dealt.groupBy("group").applyInPandas(fill, schema))
+    packed = returned(dealt.groupBy("group").applyInPandas(lean_group(fill), schema))
     alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(alone)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.labelled import SAMPLE, one_per_family, with_labels
-from tessella.llm.words import Words, blocks, given, returned, tune, utf8
+from tessella.llm.words import Words, blocks, given, lean, returned, tune, utf8
 
 # Which letters a sign may stand for; "" means that it may be a mere mark.
 CHANNEL = {
@@ -230,7 +230,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"gram": at, "n": total[at]})
 
     out = np.zeros(size)
-    rows = docs.select("text").mapInPandas(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInPandas(lean(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out[rows["gram"].to_numpy(np.int64)] = rows["n"]
     return out.reshape(LETTERS, LETTERS, LETTERS)
 
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
         yield pd.DataFrame([(w, a, b) for w, (a, b) in total.items()], columns=["word", "clean", "toxic"])
 
     sample = one_per_family(with_labels(docs, labels, "toxic", bound))
-    counts = sample.mapInPandas(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.mapInPandas(lean(run), "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rows = counts.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).collect()  # words of several documents of the bounded sample
     n = next((r["clean"] + r["toxic"] for r in rows if r["word"] == ""), 0)
     rows = [r for r in rows if r["word"]]
@@ -296,7 +296,7 @@ def _base(sample: DataFrame, model: Model) -> float:
             none = [not x for x in found_words(block["text"].tolist(), model, True)]
             yield pd.DataFrame({"label": block["label"].to_numpy()[none]})
 
-    n, k = sample.mapInPandas(run, "label int").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    n, k = sample.mapInPandas(lean(run), "label int").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     return min(0.5, (k + 1) / (n + 2))
 
 
@@ -317,7 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             value = [1 - (1 - m.base) * math.prod(1 - m.toxic[w] for w in sorted(x)) for x in found]
             yield pd.DataFrame({"doc_id": block["doc_id"], "score": value, "words": [",".join(sorted(x)) for x in found]})
 
-    return returned(given(docs, "text").mapInPandas(run, "doc_id string, score double, words string"))
+    return returned(given(docs, "text").mapInPandas(lean(run), "doc_id string, score double, words string"))
 
 
 def toxic_column(model: Model, docs: DataFrame) -> Column:

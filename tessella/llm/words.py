@@ -8,10 +8,14 @@ words share a hash with a probability of about 2**-56.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +26,58 @@ U = np.uint64
 BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "4096", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 4096
+EVERY_S = 0.2
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _places = np.zeros(0, U)
 
 
+@lru_cache(maxsize=1)
+def _trimmer() -> Callable[[int], int] | None:
+    """glibc's function that gives free pages of the heap back, which Arrow uses from now on too; None with another C library."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        pa.set_memory_pool(pa.system_memory_pool())
+    return trim
+
+
+def give_back() -> None:
+    """Returns the freed memory of this process to the system."""
+    trim = _trimmer()
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches for mapInPandas whose worker gives back at a task's end what the task has freed.
+
+    Workers live as long as their executor; one that keeps the most it ever
+    used takes that from all later stages.
+    """
+
+    def own(batches):
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of key and rows for applyInPandas; after groups that take less than EVERY_S, not after each."""
+    last = 0.0
+
+    def own(key, rows):
+        nonlocal last
+        out = run(key, rows)
+        if time.monotonic() - last >= EVERY_S:
+            give_back()
+            last = time.monotonic()
+        return out
+
+    return own
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads each bit over all others."""
     x = x ^ (x >> U(30))
