@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import sys
 import unicodedata
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.labelled import SAMPLE, one_per_family, with_labels
-from tessella.llm.words import Words, blocks, given, lean, returned, tune, utf8
+from tessella.llm.words import U, Words, blocks, given, lean, returned, tune, utf8
 
 # Which letters a sign may stand for; "" means that it may be a mere mark.
 CHANNEL = {
@@ -33,6 +34,7 @@ CHANNEL = {
 }
 MARKS = set(".-_*~'`^:,;/\\=#%&\"?")
 EDGE = ".,;:!?\"'()[]{}<>«»…-–—*#%&~`/\\|_=+^$@"
+BEFORE, AFTER = "\"'([{«¿¡", ".,;:!?\"')]}»…"  # marks at a word's ends that are never letters
 
 LONGEST, STEP = 32, 8  # runs of equal characters that are read at once; from one reading of a longer token to the next
 SUBSTITUTE, STRETCH, MARK, PLAIN = math.log(0.05), math.log(0.05), math.log(0.05), math.log(0.9)
@@ -79,9 +81,10 @@ class Model:
         self.seen: dict[str, str] = {}
         self.read: dict[bytes, list[str]] = {}
         self.begun: tuple[int, frozenset[str]] = (0, frozenset([""]))
+        self.headed: tuple[int, np.ndarray] = (-1, np.zeros(0, U))
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}, "read": {}, "begun": (0, frozenset([""]))}
+        return self.__dict__ | {"seen": {}, "read": {}, "begun": (0, frozenset([""])), "headed": (-1, np.zeros(0, U))}
 
     def starts(self) -> frozenset[str]:
         """All beginnings of known words, made anew once the words change."""
@@ -89,6 +92,13 @@ class Model:
             self.begun = len(self.words), frozenset(w[:k] for w in self.words for k in range(len(w) + 1)) | {""}
         return self.begun[1]
 
+    def heads(self) -> np.ndarray:
+        """What Cores.heads() gives for the toxic words, in order, made anew once their number changes; the greatest number stands at the end."""
+        if self.headed[0] != len(self.toxic):
+            raw = [RUN.sub(r"\1", w).encode()[:8].ljust(8, b"\0") for w in self.toxic]
+            self.headed = len(self.toxic), np.r_[np.unique(np.frombuffer(b"".join(raw), "<u8")), ~U(0)]
+        return self.headed[1]
+
     def said(self, word: bytes) -> list[str]:
         """The readings of a word; those of the last words are kept."""
         got = self.read.get(word)
@@ -154,10 +164,70 @@ def viterbi(token: str, model: Model) -> str:
 
 def strip(word: str) -> str:
     """A word without the marks around it; signs of three or more in a row count as marks, a single one at an edge may be a letter."""
-    core = re.sub(r"^(\W|_)\1{2,}|(\W|_)\2{2,}$", "", word).rstrip(".,;:!?\"')]}»…").lstrip("\"'([{«¿¡")
+    core = re.sub(r"^(\W|_)\1{2,}|(\W|_)\2{2,}$", "", word).rstrip(AFTER).lstrip(BEFORE)
     return core if any(c.isalnum() for c in core) else ""
 
 
+def _among(signs: str) -> np.ndarray:
+    """For each byte whether it is one of the signs of one byte."""
+    return np.isin(np.arange(256), [ord(c) for c in signs if c.isascii()])
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, the end included."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
+TRIMMED = 3  # marks of a kind that Cores takes off an end
+MARK_BEFORE, MARK_AFTER, SMALL = _among(BEFORE), _among(AFTER), _among(string.ascii_lowercase)
+SIGN = _among("".join(map(chr, range(128)))) & ~_among(string.ascii_letters + string.digits)
+
+
+class Cores:
+    """What the bytes of words tell of their cores, for all words of a block at once.
+
+    letters: the word has LONGEST bytes at most, and strip() leaves a-z and À-ÿ
+    only; once: and none of them twice in a row, so that the core is all that
+    readings() gives; begin, end: where the core lies.  A word without
+    ``letters`` has to be read.
+    """
+
+    def __init__(self, words: Words):
+        data = np.frombuffer(words.buf, np.uint8)
+        letter = SMALL[data]
+        self.again = np.r_[False, data[1:] == data[:-1]] & letter
+        two = np.flatnonzero(data[:-1] == 0xC3)  # of the letters À-ÿ the first of two bytes
+        second = data[two + 1]
+        letter[two] = letter[two + 1] = ((second & 0xC0) == 0x80) & (second != 0x97) & (second != 0xB7)  # not × and ÷
+        self.again[two[1:]] = self.again[two[1:] + 1] = (np.diff(two) == 2) & (second[1:] == second[:-1])
+        self.buf, self.data = words.buf, data
+        begin, end = words.start.copy(), words.end.copy()
+        last = data[end - 1]
+        three = SIGN[last] & (data[end - 2] == last) & (data[end - 3] == last)
+        for _ in range(TRIMMED):
+            end -= three & (data[end - 1] == last)
+        for _ in range(TRIMMED):
+            begin += MARK_BEFORE[data[begin]]
+            end -= MARK_AFTER[data[end - 1]]
+        end = np.maximum(begin, end)
+        self.begin, self.end = begin, end
+        others, self.agains = _before(~letter), _before(self.again)
+        self.letters = (begin < end) & (words.end - words.start <= LONGEST) & (others[end] == others[begin])
+        self.once = self.letters & (self.agains[end] == self.agains[begin])
+
+    def text(self, i: int) -> str:
+        return self.buf[self.begin[i] : self.end[i]].decode()
+
+    def heads(self) -> np.ndarray:
+        """Each core's first eight bytes as a number, with one letter for several equal ones in a row, and zeros after its end."""
+        raw = self.data[~self.again].tobytes() + bytes(8)
+        begin, end = self.begin - self.agains[self.begin], self.end - self.agains[self.end]
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        return eight[begin] & (~U(0) >> (U(64) - U(8) * np.clip(end - begin, 1, 8).astype(U)))
+
+
 def readings(word: str, model: Model) -> list[str]:
     """What a word may say: its core, the words between the marks in it, and the word restored from it; of more than LONGEST characters also the toxic words in it, and of more than LONGEST runs those in overlapping windows."""
     long = len(word) > LONGEST
@@ -183,31 +253,45 @@ def readings(word: str, model: Model) -> list[str]:
     return out
 
 
-def spelled(words: Words, first: int, last: int) -> list[tuple[int, int]]:
-    """Runs of three or more words of one character, of however many bytes."""
-    a, b = words.start[first:last], words.end[first:last]
-    if not len(a):
-        return []
-    rest = np.r_[0, np.cumsum((np.frombuffer(words.buf[a[0] : b[-1]], np.uint8) & 0xC0) == 0x80)]  # bytes that carry a character on
-    single = np.r_[False, b - a - rest[b - a[0]] + rest[a - a[0]] == 1, False]
-    edge = np.flatnonzero(single[1:] != single[:-1])
-    return [(first + a, first + b) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= 3]
+def spelled(words: Words) -> dict[int, list[tuple[int, int]]]:
+    """Of each text that has any, the runs of three or more words of one character, of however many bytes."""
+    rest = _before((np.frombuffer(words.buf, np.uint8) & 0xC0) == 0x80)  # bytes that carry a character on
+    single = words.end - words.start - rest[words.end] + rest[words.start] == 1
+    new = np.zeros(len(single) + 1, bool)  # another text begins, or none
+    new[words.first] = True
+    first = np.flatnonzero(single & (new[:-1] | ~np.r_[False, single][:-1]))
+    last = np.flatnonzero(single & (new[1:] | ~np.r_[single, False][1:])) + 1
+    long = last - first >= 3
+    out: dict[int, list[tuple[int, int]]] = {}
+    for k, i, j in zip((np.searchsorted(words.first, first[long], "right") - 1).tolist(), first[long].tolist(), last[long].tolist(), strict=True):
+        out.setdefault(k, []).append((i, j))
+    return out
 
 
 def found_words(texts: list[str | None], model: Model, wanted: bool) -> list[set[str]]:
-    """For each text the restored words; if ``wanted``, only those that the model holds for toxic.  Each different word of a block is read once."""
+    """For each text the restored words; if ``wanted``, only those that the model holds for toxic.  Each different word of a block is read once.
+
+    Not read are words whose core is all that they say and, if ``wanted``,
+    those of letters only that no toxic word can be behind: the channel makes
+    such letters but fewer in a row, and no toxic word begins like them.
+    """
     words = Words([utf8(x) for x in texts])
-    _, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
+    cores, chosen = Cores(words), np.arange(len(words.hash))
+    if wanted:
+        toxic, own = model.heads(), cores.heads()
+        chosen = np.flatnonzero(~cores.letters | (toxic[np.searchsorted(toxic[:-1], own)] == own))
+    _, at, which = np.unique(words.hash[chosen], return_index=True, return_inverse=True)
     said: list[list[str]] = []
-    for i in at.tolist():
-        got = model.said(words.text(i))
+    for i in chosen[at].tolist():
+        got = [cores.text(i)] if cores.once[i] else model.said(words.text(i))
         said.append([x for x in got if x in model.toxic] if wanted and got else got)
     telling = np.array([bool(x) for x in said], bool)
     use = telling[which] if len(which) else np.zeros(0, bool)
-    out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+    out, apart = [], spelled(words)
+    bounds = np.searchsorted(chosen, words.first).tolist()
+    for text, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         mine = {x for k in set(which[a:b][use[a:b]].tolist()) for x in said[k]}
-        for i, j in spelled(words, a, b):
+        for i, j in apart.get(text, ()):
             joined = b"".join(words.text(k) for k in range(i, j)).decode("utf-8", "replace")
             for k in range(0, len(joined), STEP):  # overlapping pieces, so that any word of a run is whole in one
                 piece = model.restore(joined[k : k + LONGEST])

@@ -1024,6 +1024,39 @@ def test_disguises_in_long_tokens_and_other_scripts():
     assert toxicity.found_words(["ba dw ord", "", None], model, True) == [set()] * 3
 
 
+def toy_model():
+    """A model whose toxic words have doubled letters, accents and a sign."""
+    toxic = dict.fromkeys(("badword", "crétin", "noodles", "schuft", "añña", "no-way"), 0.9)
+    return toxicity.Model(-np.ones((toxicity.LETTERS,) * 3), dict.fromkeys((*toxic, "common"), -3.0), toxic, 0.1)
+
+
+def test_words_that_no_toxic_word_is_behind_are_not_read():
+    model = toy_model()
+    text = "Plain words, (with) marks!!! and \"quotes\"; école déjà vu: allee common kaffee*** bookkeeper tooo déé"
+    assert toxicity.found_words([text, text.upper()], model, True) == [set()] * 2 and not model.read
+    assert toxicity.found_words(["(badword), noodle's 3 noodles?!"], model, True) == [{"badword", "noodles"}]
+    assert set(model.read) == {b"noodle's", b"3", b"noodles?!"}
+    model.read.clear()
+    assert toxicity.found_words(["Words, école (x)"], model, False) == [{"words", "école", "x"}] and not model.read
+
+
+def test_found_words_are_those_of_readings():
+    r, model = random.Random(21), toy_model()
+    parts = [*model.toxic, "b4d", "word", "nood", "less", "é", "É", "ññ", "aña", "oo", "tt", "!!!", "***", "%%%%", "(", "\"", "'", ",", ".", "?!", "«", "»…", "¿", "×", "÷", "à×", "-", "_", "ж", "漢", "0", "\x00", "\x1f", "\ud800", "Ã", "s" * 12]
+    words = ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(6000)]
+    words += [a + "".join(c * r.randint(1, 3) for c in w) + b for w in model.toxic for a in ("", "(", "***") for b in ("", "!", ",###", "&&&&", ")))))") for _ in range(4)]
+    read = [toxicity.readings(toxicity.utf8(w).decode("utf-8", "replace"), model) for w in words]
+    assert toxicity.found_words(words, model, False) == [set(x) for x in read]
+    assert toxicity.found_words(words, model, True) == [{x for x in got if x in model.toxic} for got in read]
+    assert sum(bool(set(x) & set(model.toxic)) for x in read) > 500
+
+
+def test_spelled_words_end_with_their_text():
+    model = toy_model()
+    texts = ["x b a d", "w o r d", "", "b a d w o r d", "n o", "say c r é t i n", "s c h u f t now b a d w o r d"]
+    assert toxicity.found_words(texts, model, True) == [set(), set(), set(), {"badword"}, set(), {"crétin"}, {"schuft", "badword"}]
+
+
 def test_quality(spark):
     df, labels, _, good = labelled_corpus(spark)
     model = quality.fit(df, labels)
